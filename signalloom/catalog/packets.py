@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from signalloom.catalog.base import Inputs, joined, r, register
 from signalloom.operators import packets as ops
-from signalloom.plans.ranks import rows_at_ranks  # noqa: F401
 
 
 def _classified(t: Inputs) -> DataFrame:
@@ -86,7 +85,7 @@ def _(t: Inputs) -> DataFrame:
     FROM (SELECT dst_port AS port, transport FROM fx_packets) GROUP BY 1, 2, 3""",
 )
 def _(t: Inputs) -> DataFrame:
-    tech = ops.technology_of(F.col("dst_port"), F.col("transport")).alias("technology")
+    tech = ops.technology_of("dst_port", "transport").alias("technology")
     return t.packets.groupBy(F.col("dst_port").alias("port"), "transport", tech).agg(
         F.count(F.lit(1)).alias("packets")
     )

@@ -6,10 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def sql_text(value: str | int | float) -> str:
+    """A constant as SQL text."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def sql_list(values: list) -> str:
+    """Constants as the inside of an ``IN (...)``."""
+    return ", ".join(sql_text(v) for v in values)
+
+
 def lookup(table: dict, key: Column) -> Column:
     """Value of ``key`` in a constant table, NULL when absent. Constant-folded by Catalyst."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = sql_list([x for item in table.items() for x in item])
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def first_match(text: Column, words: dict[str, str] | list[tuple[str, str]]) -> Column:

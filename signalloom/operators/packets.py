@@ -152,152 +152,168 @@ def sip_failure(payload_text: Column) -> Column:
     return F.when(code >= 400, F.struct(code.alias("code"), reason.alias("reason")))
 
 
-def technology_of(port: Column, protocol: Column) -> Column:
-    """Technology of a port or protocol name."""
-    out = None
-    for name, ports, protocols in TECHNOLOGY_RULES:
-        hit = F.coalesce(port.isin(ports), F.lit(False)) | F.coalesce(
-            protocol.isin(protocols), F.lit(False)
-        )
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("Unknown")
+def technology_of(port: str, protocol: str) -> Column:
+    """Technology of a port or protocol name (both column names)."""
+    cases = " ".join(
+        f"WHEN {port} IN ({dims.sql_list(ports)}) OR {protocol} IN ({dims.sql_list(names)})"
+        f" THEN '{tech}'"
+        for tech, ports, names in TECHNOLOGY_RULES
+    )
+    return F.expr(f"CASE {cases} ELSE 'Unknown' END")
 
 
 def classify_packets(packets: DataFrame) -> DataFrame:
-    """Add ``protocol`` (stack joined with ``/``) and ``technology`` from ports and layers."""
-    src, dst = F.col("src_port"), F.col("dst_port")
-    gtp_type = optional(packets, "gtp_type", "int")
-    layers = {
-        "Diameter": optional(packets, "diameter_app_id", "bigint").isNotNull(),
-        "DNS": optional(packets, "dns_qr", "int").isNotNull(),
-        "RTP": (F.col("transport") == "UDP")
-        & rtp_payload_type(optional(packets, "payload", "binary"), src, dst).isNotNull(),
-    }
-    http_layer = F.coalesce(optional(packets, "http", "boolean"), F.lit(False))
-
-    def on(ports: list[int]) -> Column:
-        return src.isin(ports) | dst.isin(ports) if ports else F.lit(False)
-
-    user_plane = (gtp_type == 255) | on([2152])
-    # The GTP layer names itself first; a port adds the other plane behind it.
-    control_layer = gtp_type.isNotNull() & (gtp_type != 255)
-    parts = [
-        F.when(control_layer, "GTP-C").when(user_plane, "GTP-U"),
-        F.when(control_layer & on([2152]), "GTP-U").when(
-            on([2123]) & ~F.coalesce(control_layer, F.lit(False)), "GTP-C"
-        ),
-    ]
-    techs = [
-        F.when(gtp_type == 255, "3G/4G/5G").when(gtp_type.isNotNull(), "3G/4G"),
-        F.when(on([2152]), "3G/4G/5G"),
-        F.when(on([2123]), "3G/4G"),
-    ]
-    for name, ports, tech in PORT_RULES:
-        hit = F.coalesce(on(ports) | layers.get(name, F.lit(False)), F.lit(False))
-        parts.append(F.when(hit, name))
-        if tech:
-            techs.append(F.when(hit, tech))
-    parts.append(F.when(http_layer, "HTTP"))
-    stack = F.array_compact(F.array(*parts))
+    """Add ``protocol`` (stack joined with ``/``) and ``technology`` from ports and layers.
+
+    Each port and layer names at most one protocol, with its place in the stack; the technology is
+    that of the last name that has one. Ports are NULL for packets without a transport.
+    """
+    place = {name: i + 3 for i, (name, _, _) in enumerate(PORT_RULES)}
+    implied = {name: tech for name, _, tech in PORT_RULES}
+
+    def entry(i: int, name: str, tech: str | None) -> str:
+        tech_text = f"'{tech}'" if tech else "CAST(NULL AS STRING)"
+        return f"named_struct('i', {i}, 'name', '{name}', 'tech', {tech_text})"
+
+    ports = {2152: entry(1, "GTP-U", "3G/4G/5G"), 2123: entry(2, "GTP-C", "3G/4G")}
+    for name, listed, tech in PORT_RULES:
+        ports.update({port: entry(place[name], name, tech) for port in listed})
+    table = "map(" + ", ".join(f"{port}, {e}" for port, e in ports.items()) + ")"
+    parts = [f"try_element_at({table}, src_port)", f"try_element_at({table}, dst_port)"]
+    if "gtp_type" in packets.columns:
+        user, control = entry(0, "GTP-U", "3G/4G/5G"), entry(0, "GTP-C", "3G/4G")
+        parts.append(f"CASE WHEN gtp_type = 255 THEN {user} WHEN gtp_type <> 255 THEN {control} END")
+    out = packets
+    layers = {"diameter_app_id": "Diameter", "dns_qr": "DNS"}
+    if "payload" in packets.columns:
+        media = rtp_payload_type(F.col("payload"), F.col("src_port"), F.col("dst_port"))
+        out = out.withColumn("_rtp", F.when(F.col("transport") == "UDP", media))
+        layers["_rtp"] = "RTP"
+    for column, name in layers.items():
+        if column in out.columns:
+            named = entry(place[name], name, implied[name])
+            parts.append(f"IF({column} IS NOT NULL, {named}, NULL)")
+    if "http" in packets.columns:
+        parts.append(f"IF(http, {entry(99, 'HTTP', None)}, NULL)")
     web = (
-        F.when(on([80, 8080]), "HTTP")
-        .when(on([443, 8443]), "HTTPS")
-        .when(F.col("transport").isin("SCTP", "TCP", "UDP", "ICMP"), F.col("transport"))
-        .otherwise("Unknown")
-    )
-    out = packets.withColumns(
-        {"_stack": stack, "_tech": F.coalesce(*reversed(techs)), "_web": web}
+        "CASE WHEN src_port IN (80, 8080) OR dst_port IN (80, 8080) THEN 'HTTP'"
+        " WHEN src_port IN (443, 8443) OR dst_port IN (443, 8443) THEN 'HTTPS'"
+        " WHEN transport IN ('SCTP', 'TCP', 'UDP', 'ICMP') THEN transport ELSE 'Unknown' END"
     )
-    empty = F.size("_stack") == 0
-    return out.withColumns(
-        {
-            "protocol": F.when(empty, F.col("_web")).otherwise(F.array_join("_stack", "/")),
-            "technology": F.coalesce(
-                "_tech",
-                F.when(empty & (F.col("_web") == "HTTPS"), "5G/SBI").when(
-                    empty & (F.col("_web") == "SCTP"), "Signaling"
+    return (
+        out.withColumn("_stack", F.expr(f"array_sort(array_compact(array({', '.join(parts)})))"))
+        .withColumn("_bare", F.expr(f"IF(size(_stack) = 0, {web}, NULL)"))
+        .withColumns(
+            {
+                "protocol": F.expr("coalesce(_bare, array_join(array_distinct(_stack.name), '/'))"),
+                "technology": F.expr(
+                    "coalesce(try_element_at(array_compact(_stack.tech), -1), CASE _bare"
+                    " WHEN 'HTTPS' THEN '5G/SBI' WHEN 'SCTP' THEN 'Signaling' ELSE 'Unknown' END)"
                 ),
-                F.lit("Unknown"),
-            ),
-        }
-    ).drop("_stack", "_tech", "_web")
+            }
+        )
+        .drop("_stack", "_bare", "_rtp")
+    )
 
 
 def with_flow_key(packets: DataFrame) -> DataFrame:
     """Packets that carry both addresses, with the direction-normalised 5-tuple columns."""
-    src = F.struct(F.col("src_ip").alias("ip"), F.coalesce("src_port", F.lit(0)).alias("port"))
-    dst = F.struct(F.col("dst_ip").alias("ip"), F.coalesce("dst_port", F.lit(0)).alias("port"))
-    return packets.filter("src_ip is not null and dst_ip is not null").withColumns(
+    ported = packets.filter("src_ip is not null and dst_ip is not null").withColumns(
         {
-            "ip_a": F.least(src, dst)["ip"],
-            "port_a": F.least(src, dst)["port"],
-            "ip_b": F.greatest(src, dst)["ip"],
-            "port_b": F.greatest(src, dst)["port"],
-            "transport": F.coalesce("transport", F.lit("Unknown")),
+            "src_port": F.expr("coalesce(src_port, 0)"),
+            "dst_port": F.expr("coalesce(dst_port, 0)"),
+            "transport": F.expr("coalesce(transport, 'Unknown')"),
         }
     )
+    forward = "src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port)"
+    return ported.withColumn("forward", F.expr(forward)).selectExpr(
+        "*",
+        "IF(forward, src_ip, dst_ip) AS ip_a",
+        "IF(forward, src_port, dst_port) AS port_a",
+        "IF(forward, dst_ip, src_ip) AS ip_b",
+        "IF(forward, dst_port, src_port) AS port_b",
+    )
 
 
-def primary_technology(technologies: Column) -> Column:
-    """First technology in display order that occurs, else the first one, else Unknown."""
-    ranked = [F.when(F.array_contains(technologies, t), t) for t in dims.PRIMARY_TECHNOLOGIES]
-    return F.coalesce(*ranked, F.get(technologies, F.lit(0)), F.lit("Unknown"))
+def primary_technology(technologies: str) -> Column:
+    """First technology in display order that an array column holds, else its first entry."""
+    ranked = ", ".join(
+        f"IF(array_contains({technologies}, '{t}'), '{t}', NULL)"
+        for t in dims.PRIMARY_TECHNOLOGIES
+    )
+    return F.expr(f"coalesce({ranked}, get({technologies}, 0), 'Unknown')")
 
 
 def flows(packets: DataFrame) -> DataFrame:
-    """One row per bidirectional 5-tuple. One shuffle on the flow key after map-side combine.
+    """One row per bidirectional 5-tuple.
 
-    Sets are kept for the names, whose number is fixed; tunnel ids and application ids are
-    unbounded per flow and live in :func:`flow_teids` / :func:`flow_applications`.
+    Packets are first reduced per 5-tuple and name combination with fixed-width buffers only (hash
+    aggregation with map-side combine, so a hot flow is one row per task before the shuffle); the
+    name sets are collected from those few rows. Tunnel ids and application ids are unbounded per
+    flow and live in :func:`flow_teids` / :func:`flow_applications`.
     """
-    keyed = with_flow_key(packets)
-    teid = optional(packets, "gtp_teid", "bigint")
-    app = optional(packets, "diameter_app_id", "bigint")
-    status = optional(packets, "sip_status", "int")
-    ends = F.struct("src_ip", "dst_ip", "src_port", "dst_port")
-    grouped = keyed.groupBy(*FLOW_KEY).agg(
-        F.count(F.lit(1)).alias("packet_count"),
-        F.sum(F.coalesce("length", F.lit(0))).cast("bigint").alias("total_bytes"),
-        F.min("ts_us").alias("start_us"),
-        F.max("ts_us").alias("end_us"),
-        F.min("frame_number").alias("first_frame"),
-        F.min_by(ends, "frame_number").alias("_ends"),
-        F.array_sort(F.collect_set(F.coalesce("protocol", F.lit("Unknown")))).alias("protocols"),
-        F.array_sort(F.collect_set("technology")).alias("technologies"),
-        F.array_sort(F.collect_set(optional(packets, "tcp_flags", "string"))).alias("tcp_flags"),
-        F.coalesce(F.max(teid != 0), F.lit(False)).alias("is_gtp"),
-        F.coalesce(F.max(app != 0), F.lit(False)).alias("is_diameter"),
-        F.count_if(status >= 400).alias("failures"),
+
+    def given(name: str, kind: str) -> str:
+        return name if name in packets.columns else f"CAST(NULL AS {kind})"
+
+    names = {
+        "protocol": F.expr(f"coalesce({given('protocol', 'string')}, 'Unknown')"),
+        "technology": F.expr(given("technology", "string")),
+        "tcp_flags": F.expr(given("tcp_flags", "string")),
+    }
+    cells = (
+        with_flow_key(packets)
+        .withColumns(names)
+        .groupBy(*FLOW_KEY, *names)
+        .agg(
+            F.expr("count(1) AS n"),
+            F.expr("sum(cast(coalesce(length, 0) as bigint)) AS bytes"),
+            F.expr("min(ts_us) AS start_us"),
+            F.expr("max(ts_us) AS end_us"),
+            F.expr("min(IF(forward, frame_number, NULL)) AS out_frame"),
+            F.expr("min(IF(forward, NULL, frame_number)) AS back_frame"),
+            F.expr(f"coalesce(max({given('gtp_teid', 'bigint')} != 0), false) AS is_gtp"),
+            F.expr(f"coalesce(max({given('diameter_app_id', 'bigint')} != 0), false) AS is_dia"),
+            F.expr(f"count_if({given('sip_status', 'int')} >= 400) AS failures"),
+        )
+    )
+    grouped = cells.groupBy(*FLOW_KEY).agg(
+        F.expr("sum(n) AS packet_count"),
+        F.expr("sum(bytes) AS total_bytes"),
+        F.expr("min(start_us) AS start_us"),
+        F.expr("max(end_us) AS end_us"),
+        F.expr("least(min(out_frame), min(back_frame)) AS first_frame"),
+        F.expr("least(min(out_frame), min(back_frame)) <=> min(out_frame) AS _out"),
+        F.expr("array_sort(collect_set(protocol)) AS protocols"),
+        F.expr("array_sort(collect_set(technology)) AS technologies"),
+        F.expr("array_sort(collect_set(tcp_flags)) AS tcp_flags"),
+        F.expr("max(is_gtp) AS is_gtp"),
+        F.expr("max(is_dia) AS is_diameter"),
+        F.expr("sum(failures) AS failures"),
     )
-    seconds = (F.col("end_us") - F.col("start_us")) / 1e6
-    return grouped.select(
+    return grouped.selectExpr(
         *FLOW_KEY,
-        F.col("_ends.src_ip").alias("src_ip"),
-        F.col("_ends.dst_ip").alias("dst_ip"),
-        F.coalesce("_ends.src_port", F.lit(0)).alias("src_port"),
-        F.coalesce("_ends.dst_port", F.lit(0)).alias("dst_port"),
+        "IF(_out, ip_a, ip_b) AS src_ip",
+        "IF(_out, ip_b, ip_a) AS dst_ip",
+        "IF(_out, port_a, port_b) AS src_port",
+        "IF(_out, port_b, port_a) AS dst_port",
         "packet_count",
         "total_bytes",
         "start_us",
         "end_us",
         "first_frame",
-        seconds.alias("duration"),
-        F.when(seconds > 0, F.col("packet_count") / seconds)
-        .otherwise(F.col("packet_count").cast("double"))
-        .alias("pps"),
+        "(end_us - start_us) / 1e6D AS duration",
+        "packet_count / IF(end_us > start_us, (end_us - start_us) / 1e6D, 1D) AS pps",
         "protocols",
-        F.array_join("protocols", "/").alias("protocol"),
+        "array_join(protocols, '/') AS protocol",
         "technologies",
-        F.when(F.size("technologies") > 0, F.array_join("technologies", "/"))
-        .otherwise("Unknown")
-        .alias("technology"),
-        primary_technology(F.col("technologies")).alias("primary_tech"),
+        "IF(size(technologies) > 0, array_join(technologies, '/'), 'Unknown') AS technology",
         "tcp_flags",
         "is_gtp",
         "is_diameter",
         "failures",
-        (F.col("failures") > 0).alias("has_errors"),
-    )
+        "failures > 0 AS has_errors",
+    ).withColumn("primary_tech", primary_technology("technologies"))
 
 
 def flow_teids(packets: DataFrame) -> DataFrame:
@@ -353,17 +369,20 @@ def packets_per_technology(packets: DataFrame) -> DataFrame:
 
 
 def _families(flow_table: DataFrame) -> DataFrame:
-    def member(ports: list[int], flag: str | None, name: str) -> Column:
-        hit = F.col("protocol").contains(name)
+    def member(ports: list[int], flag: str | None, name: str) -> str:
+        tests = [f"contains(protocol, '{name}')"]
         if ports:
-            hit = hit | F.col("src_port").isin(ports) | F.col("dst_port").isin(ports)
-        return hit | F.col(flag) if flag else hit
-
-    names = [
-        F.when(member(ports, flag, name), family)
+            listed = dims.sql_list(ports)
+            tests.append(f"src_port IN ({listed}) OR dst_port IN ({listed})")
+        if flag:
+            tests.append(flag)
+        return " OR ".join(tests)
+
+    names = ", ".join(
+        f"IF({member(ports, flag, name)}, '{family}', NULL)"
         for family, _, _, ports, flag, name in SESSION_FAMILIES
-    ]
-    return flow_table.withColumn("type", F.explode(F.array_compact(F.array(*names))))
+    )
+    return flow_table.withColumn("type", F.expr(f"explode(array_compact(array({names})))"))
 
 
 def telecom_sessions(flow_table: DataFrame) -> DataFrame:

@@ -15,14 +15,25 @@ _BUCKET = "(_e * 2048L + shiftright(_v, cast(_e as int)))"
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    wanted: dict[str, float],
+    weight: str | None = None,
 ) -> DataFrame:
-    """``keys`` plus count / min / max / mean of ``value`` and one column per ``{name: p in 0..1}``."""
+    """``keys`` plus count / min / max / mean of ``value`` and one column per ``{name: p in 0..1}``.
+
+    With ``weight``, ``df`` is already one row per ``(keys, value)`` and ``weight`` its row count.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    if weight:
+        counts = rows.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_n"))
+    else:
+        counts = rows.groupBy(*keys, F.col(value).cast("bigint").alias("_v")).agg(
+            F.count(F.lit(1)).alias("_n")
+        )
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("bigint").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_e", F.expr("greatest(0, length(bin(_v)) - 11)"))
+        counts.withColumn("_e", F.expr("greatest(0, length(bin(_v)) - 11)"))
         .withColumn("_b", F.expr(_BUCKET))
         .drop("_e")
     )
