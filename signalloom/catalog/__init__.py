@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalloom.catalog import packets, transactions, voice  # noqa: F401
+from signalloom.catalog import lookups, packets, people, ran, transactions, voice  # noqa: F401
 from signalloom.catalog.base import CATALOG
 
 

@@ -824,18 +824,18 @@ def _(t: Inputs) -> DataFrame:
 
 
 @register(
-    "j11_rtp_packets_of_calls",
+    "j11_streams_of_calls",
     f"""WITH {_MEDIA}
-    SELECT m.capture_id, m.call_id, count(*) AS packets, count(DISTINCT p.ssrc) AS ssrcs
-    FROM (SELECT capture_id, dst_ip, dst_port, frame_number, ssrc FROM fx_rtp_packets) p
-    JOIN (SELECT DISTINCT capture_id, call_id, ip, port FROM fx_media WHERE phase IN ('offer', 'answer')) m
-      ON m.capture_id = p.capture_id AND m.ip = p.dst_ip AND m.port = p.dst_port GROUP BY 1, 2""",
+    SELECT m.capture_id, m.call_id, m.ip AS dst_ip, m.port AS dst_port, p.ssrc, count(*) AS packet_count,
+      count(*) - count(DISTINCT seq) AS duplicates
+    FROM fx_rtp_packets p JOIN (SELECT DISTINCT capture_id, call_id, ip, port FROM fx_media
+        WHERE phase IN ('offer', 'answer')) m
+      ON m.capture_id = p.capture_id AND m.ip = p.dst_ip AND m.port = p.dst_port GROUP BY 1, 2, 3, 4, 5""",
 )
 def _(t: Inputs) -> DataFrame:
-    attached = rtp.packets_of_calls(t.rtp_packets.drop("call_id"), _media(t))
-    # Each endpoint is counted once and the counts are spread to its calls.
-    return attached.groupBy("capture_id", "call_id").agg(
-        F.expr("count(1) AS packets"), F.count_distinct("ssrc").alias("ssrcs")
+    out = rtp.streams_of_calls(t.rtp_packets.drop("call_id"), _media(t), span=SAMPLE_SPAN)
+    return out.select(
+        "capture_id", "call_id", "dst_ip", "dst_port", "ssrc", "packet_count", "duplicates"
     )
 
 

@@ -15,22 +15,15 @@ from signalloom.plans.ordered import with_neighbours
 
 CALL = ["capture_id", "call_id"]
 STREAM = [*CALL, "ssrc"]
+ENDPOINT = ["capture_id", "dst_ip", "dst_port"]
 _RULES = RtpRules()
 
 
-def packets_of_calls(rtp_packets: DataFrame, media: DataFrame) -> DataFrame:
-    """Attach packets to the calls that advertised their destination: equi-join on the endpoint."""
-    ends = media.filter("phase in ('offer', 'answer') and ip is not null and port > 0").select(
-        *CALL, F.col("ip").alias("dst_ip"), F.col("port").alias("dst_port")
-    )
-    return rtp_packets.join(ends.distinct(), ["capture_id", "dst_ip", "dst_port"])
-
-
-def stream_loss(rtp_packets: DataFrame) -> DataFrame:
+def stream_loss(rtp_packets: DataFrame, keys: list[str] = STREAM) -> DataFrame:
     """Loss and duplicates per stream. Packets are first counted per sequence number (at most 65,536
     per stream); a spread over half the range means the 16-bit counter wrapped."""
-    seqs = rtp_packets.groupBy(*STREAM, "seq").agg(F.expr("count(1) AS n"))
-    raw = seqs.groupBy(*STREAM).agg(
+    seqs = rtp_packets.groupBy(*keys, "seq").agg(F.expr("count(1) AS n"))
+    raw = seqs.groupBy(*keys).agg(
         F.expr("sum(n) AS packet_count"),
         F.expr("count(1) AS _unique"),
         F.expr("max(seq) - min(seq) > 32768 AS wrapped"),
@@ -41,7 +34,7 @@ def stream_loss(rtp_packets: DataFrame) -> DataFrame:
     )
     spread = "IF(wrapped, _hi_wrapped - _lo_wrapped, _hi - _lo) + 1"
     return raw.selectExpr(
-        *STREAM,
+        *keys,
         "packet_count",
         "wrapped",
         "packet_count - _unique AS duplicates",
@@ -54,6 +47,7 @@ def stream_order(
     rules: RtpRules = _RULES,
     strict: bool = False,
     span: int = CHUNK_FRAMES,
+    keys: list[str] = STREAM,
 ) -> DataFrame:
     """Deviation sums and reorderings per stream, in arrival order (by sequence if ``strict``)."""
     per_step = 1_000_000 // rules.clock_rate
@@ -62,10 +56,10 @@ def stream_order(
         rows = rows.withColumn("_order", F.expr("shiftleft(cast(seq as bigint), 47) + _order"))
         span = 1 << 53
     before = F.struct("ts_us", "rtp_ts", "seq")
-    steps = with_neighbours(rows, STREAM, "_order", {"_p": ("lag", before)}, span)
+    steps = with_neighbours(rows, keys, "_order", {"_p": ("lag", before)}, span)
     moved = f"abs((ts_us - _p.ts_us) - (rtp_ts - _p.rtp_ts) * {per_step})"
     shifted = "IF({0} < 32768, {0} + 65536, {0})"
-    return steps.groupBy(*STREAM).agg(
+    return steps.groupBy(*keys).agg(
         F.expr(f"sum({moved}) FILTER (WHERE rtp_ts > _p.rtp_ts) AS deviation_us"),
         F.expr("count_if(rtp_ts > _p.rtp_ts) AS deviations"),
         F.expr("count_if(seq < _p.seq) AS _late"),
@@ -80,13 +74,14 @@ def rtp_streams(
     rules: RtpRules = _RULES,
     strict: bool = False,
     span: int = CHUNK_FRAMES,
+    keys: list[str] = STREAM,
 ) -> DataFrame:
-    """Metrics per stream (call and SSRC)."""
-    both = stream_loss(rtp_packets).join(
-        stream_order(rtp_packets, rules, strict, span), STREAM
+    """Metrics per stream (call and SSRC, or other ``keys``)."""
+    both = stream_loss(rtp_packets, keys).join(
+        stream_order(rtp_packets, rules, strict, span, keys), keys
     )
     out = both.selectExpr(
-        *STREAM,
+        *keys,
         "packet_count",
         "coalesce(deviation_us / nullif(deviations, 0) / 1000, 0D) AS jitter_ms",
         "packet_loss_pct",
@@ -97,6 +92,25 @@ def rtp_streams(
     return out.withColumn("quality_rating", mos_rating(F.col("mos_lqe")))
 
 
+def streams_of_calls(
+    rtp_packets: DataFrame,
+    media: DataFrame,
+    rules: RtpRules = _RULES,
+    strict: bool = False,
+    span: int = CHUNK_FRAMES,
+) -> DataFrame:
+    """Streams towards the media endpoints a call advertised, for packets without a call.
+
+    Packets are reduced to streams per endpoint and SSRC first; only those meet the calls, so an
+    endpoint that many calls share costs no packet pairs.
+    """
+    streams = rtp_streams(rtp_packets, rules, strict, span, [*ENDPOINT, "ssrc"])
+    ends = media.filter("phase in ('offer', 'answer') and ip is not null and port > 0").select(
+        *CALL, F.col("ip").alias("dst_ip"), F.col("port").alias("dst_port")
+    )
+    return ends.distinct().join(streams, ENDPOINT)
+
+
 def call_quality(streams: DataFrame, rules: RtpRules = _RULES) -> DataFrame:
     """Per call, over streams of enough packets: mean jitter and loss, lowest MOS."""
     out = (
