@@ -2,7 +2,16 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalloom.catalog import lookups, packets, people, ran, transactions, voice  # noqa: F401
+from signalloom.catalog import (  # noqa: F401
+    lookups,
+    packets,
+    people,
+    radio,
+    ran,
+    report,
+    transactions,
+    voice,
+)
 from signalloom.catalog.base import CATALOG
 
 

@@ -7,31 +7,26 @@ from pyspark.sql import functions as F
 
 from signalloom import dims
 from signalloom.config import CHUNK_FRAMES
-from signalloom.functions.causes import diameter_command, role_interface
 from signalloom.operators.packets import optional
 from signalloom.plans.ranks import rows_at_ranks
 
 NODE = ["capture_id", "ip"]
 
 
-def _voted_role(transactions: DataFrame):
-    code = F.regexp_replace("message_type", r"^(Proc-|PFCP-Msg-|GTP-Msg-|Cmd-)", "")
-    proc = F.when(F.col("message_type").startswith("Proc-"), code)
-    pfcp = F.when(F.col("message_type").startswith("PFCP-Msg-"), code)
-    gtp = F.when(F.col("message_type").startswith("GTP-Msg-"), code)
-    command = F.when(F.col("message_type").startswith("Cmd-"), diameter_command(code))
-    interface = role_interface(optional(transactions, "diameter_app", "string"))
-    by_interface = {
-        f"{i}/{c}": role for i, rules in dims.DIAMETER_ROLES.items() for c, role in rules.items()
-    }
-    by_command: dict[str, str] = {}
-    for name in dims.DIAMETER_ROLE_ORDER:
-        for c, role in dims.DIAMETER_ROLES[name].items():
-            by_command.setdefault(c, role)
-    diameter = F.coalesce(
-        dims.lookup(by_interface, F.concat(interface, F.lit("/"), command)),
-        dims.lookup(by_command, command),
-    )
+def _voted_role():
+    """Role of the sender by protocol, message type and Diameter application, from one table."""
+    table = {f"NGAP/Proc-{c}": role for c, role in dims.NGAP_ROLES.items()}
+    table.update({f"S1AP/Proc-{c}": role for c, role in dims.S1AP_ROLES.items()})
+    table.update({f"PFCP/PFCP-Msg-{c}": role for c, role in dims.PFCP_ROLES.items()})
+    table.update({f"GTPv2-C/GTP-Msg-{c}": role for c, role in dims.GTPV2_ROLES.items()})
+    named = {}
+    for code, command in dims.DIAMETER_COMMANDS.items():
+        for app, interface in dims.ROLE_APPS.items():
+            if command in dims.DIAMETER_ROLES.get(interface, {}):
+                named[f"{app}/Cmd-{code}"] = dims.DIAMETER_ROLES[interface][command]
+        for interface in dims.DIAMETER_ROLE_ORDER:
+            if command in dims.DIAMETER_ROLES[interface]:
+                table.setdefault(f"Diameter/Cmd-{code}", dims.DIAMETER_ROLES[interface][command])
     message = F.col("message_type")
     sip = (
         F.when(
@@ -42,23 +37,28 @@ def _voted_role(transactions: DataFrame):
         .when(message.contains("100") | message.contains("Trying"), "P-CSCF")
         .when(message.contains("180") | message.contains("Ring"), "Callee")
     )
-    protocol = F.col("protocol")
-    return (
-        F.when(protocol == "NGAP", dims.lookup(dims.NGAP_ROLES, proc))
-        .when(protocol == "S1AP", dims.lookup(dims.S1AP_ROLES, proc))
-        .when(protocol == "PFCP", dims.lookup(dims.PFCP_ROLES, pfcp))
-        .when(protocol == "Diameter", diameter)
-        .when(protocol == "GTPv2-C", dims.lookup(dims.GTPV2_ROLES, gtp))
-        .when(protocol == "SIP", sip)
+    by_application = dims.lookup(named, F.concat_ws("/", "_app", "message_type"))
+    return F.coalesce(
+        F.when(F.col("protocol") == "Diameter", by_application),
+        dims.lookup(table, F.concat_ws("/", "protocol", "message_type")),
+        F.when(F.col("protocol") == "SIP", sip),
     )
 
 
 def role_votes(transactions: DataFrame) -> DataFrame:
-    """Votes per address and role, from the senders of role-specific messages."""
-    rows = transactions.filter("src is not null and dst is not null")
-    rows = rows.withColumn("role", _voted_role(transactions)).filter("role is not null")
-    return rows.groupBy("capture_id", F.col("src").alias("ip"), "role").agg(
-        F.expr("count(1) AS votes"), F.min("frame_number").alias("first_frame")
+    """Votes per address and role, from the senders of role-specific messages.
+
+    Rows are counted per sender and message type first, so roles are looked up once per kind.
+    """
+    kinds = (
+        transactions.filter("src is not null and dst is not null")
+        .withColumn("_app", optional(transactions, "diameter_app", "string"))
+        .groupBy("capture_id", F.col("src").alias("ip"), "protocol", "message_type", "_app")
+        .agg(F.expr("count(1) AS n"), F.min("frame_number").alias("first"))
+    )
+    voted = kinds.withColumn("role", _voted_role()).filter("role is not null")
+    return voted.groupBy(*NODE, "role").agg(
+        F.sum("n").alias("votes"), F.min("first").alias("first_frame")
     )
 
 
@@ -242,9 +242,8 @@ def sample_messages(
     """Evenly spaced packets of each capture in time order: every ``n // max``-th, ``max`` in all."""
 
     def ranks(total):
-        step = F.greatest(F.floor(total / max_messages), F.lit(1))
-        last = F.least(total, F.lit(max_messages)) - 1
-        return F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: i * step)
+        step = F.greatest(F.floor(total / max_messages), F.lit(1)).cast("bigint")
+        return F.lit(0).cast("bigint"), step, F.least(total - 1, step * (max_messages - 1))
 
     addressed = packets.filter("src_ip is not null and dst_ip is not null")
     return rows_at_ranks(addressed, ["capture_id"], "ts_us", "frame_number", ranks, span)

@@ -47,29 +47,25 @@ def assign_subscribers(transactions: DataFrame) -> DataFrame:
     only rows with another kind of value ahead of it are looked up in the identity table.
     """
 
-    def candidate(i: int, name: str) -> Column:
-        raw = optional(transactions, name, "string")
-        value = F.coalesce(normalize_imsi(raw), extract_msisdn(raw))
-        if name in IMSI_COLUMNS:
-            own = normalize_imsi(raw)
-        else:
-            own = F.when(F.col("protocol") == "SIP", extract_msisdn(raw))
-        sure = F.coalesce(value == own, F.lit(False))
-        return F.when(
-            value.isNotNull(),
-            F.struct(F.lit(i).alias("pos"), value.alias("value"), sure.alias("sure")),
-        )
-
     names = [*IMSI_COLUMNS, "sip_from", "sip_to"]
-    cands = F.array_compact(F.array(*[candidate(i, n) for i, n in enumerate(names)]))
-    rows = transactions.withColumn("_c", cands).withColumn(
-        "_sure", F.get(F.filter("_c", lambda c: c["sure"]), F.lit(0))
+    given = [(i, n) for i, n in enumerate(names) if n in transactions.columns]
+    values = {}
+    for i, name in given:
+        values[f"_n{i}"] = normalize_imsi(F.col(name))
+        values[f"_m{i}"] = extract_msisdn(F.col(name))
+    items = ", ".join(
+        f"IF(coalesce(_n{i}, _m{i}) IS NOT NULL, named_struct('pos', {i},"
+        f" 'value', coalesce(_n{i}, _m{i}), 'sure', "
+        + (f"_n{i} IS NOT NULL" if n in IMSI_COLUMNS else f"protocol = 'SIP' AND _n{i} IS NULL")
+        + "), NULL)"
+        for i, n in given
     )
-    ahead = F.filter(
-        "_c",
-        lambda c: ~c["sure"] & (c["pos"] < F.coalesce(F.col("_sure.pos"), F.lit(len(names)))),
+    rows = transactions.withColumns(values)
+    rows = rows.withColumn("_c", F.expr(f"array_compact(array({items}))")).drop(*values)
+    rows = rows.withColumn("_sure", F.expr("get(filter(_c, c -> c.sure), 0)"))
+    rows = rows.withColumn(
+        "_open", F.expr("filter(_c, c -> not c.sure and c.pos < coalesce(_sure.pos, 99))")
     )
-    rows = rows.withColumn("_open", ahead)
     settled = rows.filter("size(_open) = 0").withColumn("subscriber", F.col("_sure.value"))
     doubtful = rows.filter("size(_open) > 0")
     known = identities(transactions).filter("kind <> 'imei'").select("capture_id", "value")

@@ -20,11 +20,11 @@ def rows_at_ranks(
     keys: list[str],
     ts: str,
     seq: str,
-    ranks: Callable[[Column], Column],
+    ranks: Callable[[Column], tuple[Column, Column, Column]],
     span: int,
 ) -> DataFrame:
-    """The rows of ``df`` whose 0-based rank in ``(ts, seq)`` order is in ``ranks(total)`` (an array
-    of bigint), with that rank as ``rank`` and the row count of the key as ``total``.
+    """The rows of ``df`` at given 0-based ranks in ``(ts, seq)`` order, with ``rank`` and ``total``
+    (the row count of the key). ``ranks(total)`` gives first, step and last rank as bigints.
 
     ``seq`` is unique within ``keys``; ``span`` is the width of a ``seq`` chunk.
     """
@@ -35,34 +35,39 @@ def rows_at_ranks(
         }
     )
 
-    def inside(wanted: Column, before: Column, n: Column) -> Column:
-        kept = F.filter(wanted, lambda r: (r["left"] >= before) & (r["left"] < before + n))
-        return F.transform(
-            kept, lambda r: F.struct(r["rank"].alias("rank"), (r["left"] - before).alias("left"))
-        )
-
     def running(group: list[str], order: list[str]) -> Column:
         w = Window.partitionBy(*group).orderBy(*order)
         return F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
     seconds = placed.groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n"))
+    counted = seconds.select(
+        "*",
+        (running(keys, ["_sec"]) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("total"),
+    )
+    start, step, last = ranks(F.col("total"))
     first = (
-        seconds.select(
-            "*",
-            (running(keys, ["_sec"]) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(*keys)).alias("total"),
+        counted.withColumns({"_start": start, "_step": step, "_last": last})
+        .withColumns(
+            {
+                "_k0": F.expr("greatest((_before - _start + _step - 1) div _step, 0L)"),
+                "_k1": F.expr("(least(_before + _n - 1, _last) - _start) div _step"),
+            }
         )
+        .filter("_k1 >= _k0 and _last >= _start and _before + _n > _start")
         .withColumn(
             "_want",
-            F.transform(
-                ranks(F.col("total")),
-                lambda r: F.struct(r.cast("bigint").alias("rank"), r.cast("bigint").alias("left")),
+            F.expr(
+                "transform(sequence(_k0, _k1), k -> named_struct('rank', _start + k * _step,"
+                " 'left', _start + k * _step - _before))"
             ),
         )
-        .withColumn("_want", inside(F.col("_want"), F.col("_before"), F.col("_n")))
-        .filter(F.size("_want") > 0)
         .select(*keys, "_sec", "total", "_want")
     )
+    kept = (
+        "transform(filter(_want, w -> w.left >= _before and w.left < _before + _n),"
+        " w -> named_struct('rank', w.rank, 'left', w.left - _before))"
+    )
     instants = (
         placed.join(first.select(*keys, "_sec"), [*keys, "_sec"], "left_semi")
         .groupBy(*keys, "_sec", ts, "_part")
@@ -71,7 +76,7 @@ def rows_at_ranks(
     second = (
         instants.withColumn("_before", running([*keys, "_sec"], [ts, "_part"]) - F.col("_n"))
         .join(first, [*keys, "_sec"])
-        .withColumn("_want", inside(F.col("_want"), F.col("_before"), F.col("_n")))
+        .withColumn("_want", F.expr(kept))
         .filter(F.size("_want") > 0)
         .select(*keys, ts, "_part", "total", "_want")
     )
