@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalloom.session import cut_lineage
 from signalloom.sources.sample_tables import TABLES, sample_table, table_sql
 
 
@@ -31,6 +32,10 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         return sample_table(self.spark, self.sf_dir, name)
 
+    def stored(self, name: str) -> DataFrame:
+        """The derived table written once, for queries that read it several times."""
+        return cut_lineage(sample_table(self.spark, self.sf_dir, name))
+
 
 def with_tables(sql: str) -> str:
     """Prefix the SQL with the derived tables (``fx_name``) it mentions."""

@@ -7,6 +7,7 @@ from signalloom.catalog.base import Inputs, joined, register
 from signalloom.catalog.packets import _CLASSIFIED, _classified
 from signalloom.operators import nodes
 from signalloom.operators import subscribers as ops
+from signalloom.session import cut_lineage
 from signalloom.sources.sample_tables import SAMPLE_SPAN
 
 _IDS = """
@@ -42,7 +43,7 @@ def _(t: Inputs) -> DataFrame:
     f"WITH {_IDS} SELECT capture_id, frame_number, subscriber FROM fx_sub",
 )
 def _(t: Inputs) -> DataFrame:
-    return ops.assign_subscribers(t.identified).select("capture_id", "frame_number", "subscriber")
+    return ops.assign_subscribers(t.stored("identified")).select("capture_id", "frame_number", "subscriber")
 
 
 @register(
@@ -54,7 +55,7 @@ def _(t: Inputs) -> DataFrame:
     FROM fx_sub WHERE subscriber <> 'UNIDENTIFIED' GROUP BY 1, 2""",
 )
 def _(t: Inputs) -> DataFrame:
-    rows = t.identified.withColumn("cause_label", F.lit(None).cast("string"))
+    rows = t.stored("identified").withColumn("cause_label", F.lit(None).cast("string"))
     return ops.journeys(ops.assign_subscribers(rows)).select(
         "capture_id",
         "subscriber",
@@ -72,7 +73,7 @@ def _(t: Inputs) -> DataFrame:
       count(*) FILTER (subscriber = 'UNIDENTIFIED') AS unidentified_count FROM fx_sub GROUP BY 1""",
 )
 def _(t: Inputs) -> DataFrame:
-    return ops.journey_summary(ops.assign_subscribers(t.identified))
+    return ops.journey_summary(ops.assign_subscribers(t.stored("identified")))
 
 
 @register(
@@ -80,7 +81,7 @@ def _(t: Inputs) -> DataFrame:
     f"WITH {_IDS} SELECT capture_id, frame_number, protocol FROM fx_sub WHERE subscriber = 'UNIDENTIFIED'",
 )
 def _(t: Inputs) -> DataFrame:
-    out = ops.without_subscriber(ops.assign_subscribers(t.identified))
+    out = ops.without_subscriber(ops.assign_subscribers(t.stored("identified")))
     return out.select("capture_id", "frame_number", "protocol")
 
 
@@ -114,7 +115,7 @@ fx_end AS (SELECT capture_id, src AS ip, dst AS peer, protocol, true AS sent FRO
 def _node_transactions(t: Inputs) -> DataFrame:
     from signalloom.operators.transactions import build_transactions
 
-    return build_transactions(t.fields)
+    return cut_lineage(build_transactions(t.fields))
 
 
 @register("a36_role_votes", f"WITH {_VOTES} SELECT * FROM fx_votes")
@@ -232,7 +233,8 @@ fx_seq AS (
 
 def _ladder(t: Inputs) -> DataFrame:
     roles = nodes.classify_nodes(nodes.role_votes(_node_transactions(t)))
-    return nodes.message_sequence(_classified(t), roles, *_map(t), span=SAMPLE_SPAN)
+    packets = cut_lineage(_classified(t))
+    return nodes.message_sequence(packets, roles, *_map(t), span=SAMPLE_SPAN)
 
 
 @register(
@@ -240,7 +242,7 @@ def _ladder(t: Inputs) -> DataFrame:
     f"WITH {_LADDER} SELECT capture_id, frame_number, rank FROM fx_seq",
 )
 def _(t: Inputs) -> DataFrame:
-    out = nodes.sample_messages(t.packets, span=SAMPLE_SPAN)
+    out = nodes.sample_messages(t.stored("packets"), span=SAMPLE_SPAN)
     return out.select("capture_id", "frame_number", "rank")
 
 

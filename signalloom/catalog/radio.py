@@ -7,6 +7,7 @@ from signalloom.catalog.base import Inputs, joined, r, register
 from signalloom.functions import radio as fn
 from signalloom.operators import correlate
 from signalloom.operators import radio as ops
+from signalloom.session import cut_lineage
 
 # Expected normalised events, straight from the event table the export rows are derived from.
 _EVENTS = """
@@ -41,6 +42,11 @@ def _norm(t: Inputs) -> DataFrame:
     return ops.normalize_rows(t.radio_rows)
 
 
+def _stored(t: Inputs) -> DataFrame:
+    """Normalised events, written once: the rules below read them several times."""
+    return cut_lineage(_norm(t))
+
+
 @register(
     "f11_normalize_radio_rows",
     f"""WITH {_EVENTS}
@@ -172,7 +178,7 @@ def _(t: Inputs) -> DataFrame:
       UNION SELECT DISTINCT trace_id, 'cell_id', cell_id FROM fx_norm) GROUP BY 1, 2""",
 )
 def _(t: Inputs) -> DataFrame:
-    out = ops.identifiers_found(_norm(t))
+    out = ops.identifiers_found(_stored(t))
     return out.select("trace_id", "kind", "values", joined("listed"))
 
 
@@ -205,7 +211,7 @@ fx_latency AS (SELECT trace_id, ts_us, event_time AS time_text, (ts_us - pts) /
     f"WITH {_RECONFIG} SELECT trace_id, ts_us, time_text, round(latency_ms, 3) AS latency_ms FROM fx_latency",
 )
 def _(t: Inputs) -> DataFrame:
-    out = ops.reconfiguration_latency(_norm(t))
+    out = ops.reconfiguration_latency(_stored(t))
     return out.withColumn("latency_ms", F.round("latency_ms", 3))
 
 
@@ -232,7 +238,7 @@ fx_rule AS (SELECT trace_id, rule, count(*) AS n, min(ts_us) AS first_us FROM fx
 
 @register("r2_r13_rule_hits", f"WITH {_HITS} SELECT * FROM fx_rule")
 def _(t: Inputs) -> DataFrame:
-    return ops.rule_hits(_norm(t)).select("trace_id", "rule", "n", "first_us")
+    return ops.rule_hits(_stored(t)).select("trace_id", "rule", "n", "first_us")
 
 
 _FINDINGS = (
@@ -257,7 +263,7 @@ fx_radio_finding AS (
 
 @register("r1_radio_findings", f"WITH {_FINDINGS} SELECT * FROM fx_radio_finding")
 def _(t: Inputs) -> DataFrame:
-    return ops.radio_findings(_norm(t)).select("trace_id", "finding_type", "confidence_pct")
+    return ops.radio_findings(_stored(t)).select("trace_id", "finding_type", "confidence_pct")
 
 
 @register(
@@ -269,7 +275,7 @@ def _(t: Inputs) -> DataFrame:
     FROM fx_norm GROUP BY 1 HAVING count(*) FILTER (rsrp_v < -110) > 0""",
 )
 def _(t: Inputs) -> DataFrame:
-    events = _norm(t)
+    events = _stored(t)
     out = ops.coverage_degradation(ops.radio_summary(events), ops.rule_hits(events))
     return out.select("trace_id", joined("evidence"))
 

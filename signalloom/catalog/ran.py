@@ -7,6 +7,7 @@ from signalloom.catalog.base import Inputs, joined, r, register
 from signalloom.operators import packets as packet_ops
 from signalloom.operators import ran as ops
 from signalloom.operators import transactions as tx_ops
+from signalloom.session import cut_lineage
 
 _KEYED = """
 fx_ue AS (
@@ -230,7 +231,7 @@ _ALL = (
 
 @register("d21_ran_findings", f"WITH {_ALL} SELECT * FROM fx_ran")
 def _(t: Inputs) -> DataFrame:
-    return ops.ran_findings(_events(t)).select(*_FINDING, "type")
+    return ops.ran_findings(cut_lineage(_events(t))).select(*_FINDING, "type")
 
 
 @register(

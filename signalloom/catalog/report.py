@@ -10,6 +10,7 @@ from signalloom.functions.causes import confidence_level
 from signalloom.operators import packets as packet_ops
 from signalloom.operators import ran as ran_ops
 from signalloom.operators import report as ops
+from signalloom.session import cut_lineage
 
 _OBSERVED = (
     _FLOWS
@@ -48,7 +49,7 @@ def _(t: Inputs) -> DataFrame:
     GROUP BY 1, 2, 3, 4""",
 )
 def _(t: Inputs) -> DataFrame:
-    found = ops.expert_findings(ran=ran_ops.ran_findings(_events(t)))
+    found = ops.expert_findings(ran=ran_ops.ran_findings(cut_lineage(_events(t))))
     kind = F.split_part("summary", F.lit(":"), F.lit(1)).alias("type")
     return found.groupBy("capture_id", "severity", "protocol", kind).agg(F.expr("count(1) AS n"))
 
@@ -61,7 +62,7 @@ def _(t: Inputs) -> DataFrame:
 )
 def _(t: Inputs) -> DataFrame:
     level = confidence_level(F.col("confidence_pct")).alias("level")
-    found = ran_ops.ran_findings(_events(t))
+    found = ran_ops.ran_findings(cut_lineage(_events(t)))
     return found.groupBy("capture_id", "confidence_pct", level).agg(F.expr("count(1) AS n"))
 
 
@@ -76,7 +77,7 @@ def _(t: Inputs) -> DataFrame:
 
 
 def _report(t: Inputs) -> DataFrame:
-    flows = _flows(t)
+    flows = cut_lineage(_flows(t))
     summary = packet_ops.capture_summary(t.packets, flows)
     return ops.trace_report(flows, packet_ops.telecom_sessions(flows), summary)
 

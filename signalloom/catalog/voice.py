@@ -7,6 +7,7 @@ from signalloom.catalog.base import Inputs, joined, r, register
 from signalloom.catalog.packets import _FLOWS, _flows
 from signalloom.functions import causes, quality, sdp
 from signalloom.operators import handover, media, rtp, sip
+from signalloom.session import cut_lineage
 from signalloom.sources.sample_tables import SAMPLE_SPAN
 
 # Dialogs of the derived messages. The set-up is decided by the first 200, 4xx, 5xx or CANCEL.
@@ -643,14 +644,17 @@ def _(t: Inputs) -> DataFrame:
     return out.select("capture_id", "call_id", "severity", "confidence")
 
 
-def _voice_findings(t: Inputs) -> DataFrame:
-    calls, streams = _calls(t), _streams(t)
+def _voice_findings(t: Inputs, calls: DataFrame) -> DataFrame:
+    messages = t.sip_messages
+    lines, flows = cut_lineage(media.media_lines(messages)), cut_lineage(_flows(t))
+    streams = media.media_streams(lines, flows)
+    presence = media.media_presence(lines, flows)
     return media.voice_findings(
         media.one_way_audio(streams, calls),
         media.silent_calls(streams, calls),
-        media.codec_findings(_media(t)),
-        media.precondition_findings(t.sip_messages, calls),
-        media.ringback_findings(_ringback(t)),
+        media.codec_findings(lines),
+        media.precondition_findings(messages, calls),
+        media.ringback_findings(media.ringback(messages, calls, presence)),
     )
 
 
@@ -685,7 +689,8 @@ fx_voice AS (
     f"WITH {_VOICE} SELECT capture_id, type, severity, count(*) AS findings FROM fx_voice GROUP BY 1, 2, 3",
 )
 def _(t: Inputs) -> DataFrame:
-    return _voice_findings(t).groupBy("capture_id", "type", "severity").agg(
+    calls = cut_lineage(_calls(t))
+    return _voice_findings(t, calls).groupBy("capture_id", "type", "severity").agg(
         F.expr("count(1) AS findings")
     )
 
@@ -699,8 +704,9 @@ def _(t: Inputs) -> DataFrame:
     JOIN (SELECT capture_id, count(*) AS media_issues FROM fx_voice GROUP BY 1) USING (capture_id)""",
 )
 def _(t: Inputs) -> DataFrame:
+    calls = cut_lineage(_calls(t))
     return sip.voice_statistics(
-        _calls(t), sip.registrations(t.sip_messages), _voice_findings(t)
+        calls, sip.registrations(t.sip_messages), _voice_findings(t, calls)
     )
 
 

@@ -11,18 +11,20 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _CLOCK = r"(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\.(\d{1,6}))?"
 _ZONED = (
     r"^(\d{4})-(\d{2})-(\d{2})[ T](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-    r"(?:Z|([+-])(\d{2}):(\d{2}))$"
+    r"(?:Z|[+-]\d{2}:\d{2})$"
 )
-_EMBEDDED = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})[\sT](\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,6}))?"
 
-# Local layouts in order of preference (pattern, position of year, month and day).
+# Layouts in order of preference, and the order of their groups as year-month-day.
 _LAYOUTS = [
-    (rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})(?:\s+|T){_CLOCK}Z?$", (1, 2, 3)),
-    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{_CLOCK}$", (3, 2, 1)),
-    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{_CLOCK}$", (3, 1, 2)),
-    (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})\s+{_CLOCK}$", (1, 2, 3)),
-    (rf"^(\d{{1,2}})-(\d{{1,2}})-(\d{{4}})\s+{_CLOCK}$", (3, 2, 1)),
-    (r"^(\d{4})(\d{2})(\d{2})\s*(\d{2})(\d{2})(\d{2})()$", (1, 2, 3)),
+    (_ZONED, "$1-$2-$3 $4:$5:$6.$7"),
+    (rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})(?:\s+|T){_CLOCK}Z?$", "$1-$2-$3 $4:$5:$6.$7"),
+    (rf"^(\d{{1,2}})[-/](0?[1-9]|1[0-2])[-/](\d{{4}})\s+{_CLOCK}$", "$3-$2-$1 $4:$5:$6.$7"),
+    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})\s+{_CLOCK}$", "$3-$1-$2 $4:$5:$6.$7"),
+    (r"^(\d{4})(\d{2})(\d{2})\s*(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6."),
+    (
+        r"^.*?(\d{4})[-/](\d{1,2})[-/](\d{1,2})[\sT](\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,6}))?.*$",
+        "$1-$2-$3 $4:$5:$6.$7",
+    ),
 ]
 
 
@@ -36,30 +38,12 @@ def zone_offset(zone: str | None) -> int:
     return dims.ZONE_OFFSETS.get(zone or dims.DEFAULT_ZONE, 10800)
 
 
-def _instant(text: Column, pattern: str, where: tuple[int, int, int]) -> Column:
-    """Microseconds of the local time in ``text``, NULL when it does not fit or is no date."""
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, pattern, i).try_cast("int")
-
-    fraction = F.rpad(F.substring(F.regexp_extract(text, pattern, 7), 1, 6), 6, "0")
-    moment = F.try_make_timestamp_ntz(
-        part(where[0]),
-        part(where[1]),
-        part(where[2]),
-        part(4),
-        part(5),
-        F.coalesce(part(6), F.lit(0)).cast("decimal(16,6)"),
-    )
-    seconds = F.timestamp_diff(
-        "SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), moment
-    )
-    return F.when(text.rlike(pattern), seconds * 1_000_000 + fraction.try_cast("int"))
-
-
 def parse_timestamp(value: Column, zone: str | None = None) -> Column:
     """Epoch in microseconds of a time given as epoch seconds or milliseconds, ISO text with a zone,
-    a local layout (day before month where both fit) or a local time inside a longer text."""
+    a local layout (day before month where both fit) or a local time inside a longer text.
+
+    The text is brought into one layout by the first pattern it fits and read once.
+    """
     text = F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")
     number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
     epoch = F.when(
@@ -67,16 +51,26 @@ def parse_timestamp(value: Column, zone: str | None = None) -> Column:
     ).when(
         (number > 946684800000) & (number < 4102444800000), F.round(number * 1e3).cast("bigint")
     )
-    hours = F.regexp_extract(text, _ZONED, 9).try_cast("int")
-    minutes = F.regexp_extract(text, _ZONED, 10).try_cast("int")
-    sign = F.when(F.regexp_extract(text, _ZONED, 8) == "-", -1).otherwise(1)
-    shift = F.coalesce(sign * (hours * 3600 + minutes * 60), F.lit(0)).cast("bigint")
-    zoned = _instant(text, _ZONED, (1, 2, 3)) - shift * 1_000_000
-    local = F.coalesce(
-        *[_instant(text, pattern, where) for pattern, where in _LAYOUTS],
-        _instant(F.regexp_extract(text, _EMBEDDED, 0), _EMBEDDED, (1, 2, 3)),
+    same = None
+    for pattern, order in _LAYOUTS:
+        moved = F.regexp_replace(text, pattern, order)
+        hit = text.rlike(pattern)
+        same = F.when(hit, moved) if same is None else same.when(hit, moved)
+    shift = F.when(text.endswith("Z"), 0).otherwise(
+        F.regexp_extract(text, r"([+-]\d{2}):\d{2}$", 1).try_cast("int") * 3600
+        + F.concat(
+            F.substring(text, -6, 1), F.regexp_extract(text, r"[+-]\d{2}:(\d{2})$", 1)
+        ).try_cast("int")
+        * 60
+    )
+    offset = F.when(text.rlike(_ZONED), shift).otherwise(zone_offset(zone))
+    padded = F.regexp_replace(same, r"([- :])(\d)(?=[- :.])", "$10$2")
+    padded = F.regexp_replace(F.regexp_replace(padded, r":\.$", ":00"), r"\.$", "")
+    moment = padded.try_cast("timestamp_ntz")
+    micros = F.timestamp_diff(
+        "MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), moment
     )
-    return F.coalesce(epoch, zoned, local - zone_offset(zone) * 1_000_000)
+    return F.coalesce(epoch, micros - offset.cast("bigint") * 1_000_000)
 
 
 def zone_hint(value: Column) -> Column:

@@ -89,7 +89,14 @@ def find_correlations(
         .join(ever, _VALUE, "left")
         .withColumn("_base", F.expr(f"CASE kind {base} END"))
         .withColumn("confidence_pct", F.expr(score))
-        .withColumn("event_no", F.expr("coalesce(_near.event_no, _ever)"))
+        .withColumn(
+            "event_no",
+            # Where the medium band adds nothing to the base, all events of the value are equal.
+            F.expr(
+                "IF(kind <> 'TIME' AND _near.level = 1 AND least(_base + 5, 95) <= _base, _ever,"
+                " coalesce(_near.event_no, _ever))"
+            ),
+        )
         .filter(F.col("confidence_pct") >= rules.min_confidence)
         .groupBy("trace_id", "row_no")
         .agg(F.min(F.struct((-F.col("confidence_pct")).alias("c"), "event_no")).alias("_b"))

@@ -73,7 +73,7 @@ PROTOCOL_ALIASES = {"S1-AP": "S1AP", "X2-AP": "X2AP", "GTP-C": "GTP", "GTPV2-C":
 
 def observed_protocols(flow_table: DataFrame) -> DataFrame:
     """Distinct protocol names per capture, upper case, one spelling each, stacks split."""
-    name = F.upper(F.explode(F.split("protocol", "/")))
+    name = F.explode(F.split(F.upper("protocol"), "/"))
     names = flow_table.select("capture_id", name.alias("_p")).distinct()
     return names.select(
         "capture_id",
