@@ -44,7 +44,7 @@ def assign_subscribers(transactions: DataFrame) -> DataFrame:
     UNIDENTIFIED.
 
     A value taken from the row itself by the same rule as :func:`identities` is known by definition;
-    only rows with another kind of value ahead of it are looked up in the identity table.
+    only rows whose first value is of another kind are looked up in the identity table.
     """
 
     names = [*IMSI_COLUMNS, "sip_from", "sip_to"]
@@ -61,25 +61,23 @@ def assign_subscribers(transactions: DataFrame) -> DataFrame:
         for i, n in given
     )
     rows = transactions.withColumns(values)
-    rows = rows.withColumn("_c", F.expr(f"array_compact(array({items}))")).drop(*values)
-    rows = rows.withColumn("_sure", F.expr("get(filter(_c, c -> c.sure), 0)"))
-    rows = rows.withColumn(
-        "_open", F.expr("filter(_c, c -> not c.sure and c.pos < coalesce(_sure.pos, 99))")
+    rows = rows.withColumns(
+        {"_c": F.expr(f"array({items})"), "_first": F.expr(f"coalesce({items})")}
+    ).drop(*values)
+    settled = rows.filter("_first is null or _first.sure").withColumn(
+        "subscriber", F.col("_first.value")
     )
-    settled = rows.filter("size(_open) = 0").withColumn("subscriber", F.col("_sure.value"))
-    doubtful = rows.filter("size(_open) > 0")
+    doubtful = rows.filter("not _first.sure")
     known = identities(transactions).filter("kind <> 'imei'").select("capture_id", "value")
     hits = (
-        doubtful.select("capture_id", "frame_number", F.explode("_open").alias("_o"))
+        doubtful.select("capture_id", "frame_number", F.explode("_c").alias("_o"))
         .select("capture_id", "frame_number", "_o.pos", "_o.value")
         .join(known.distinct(), ["capture_id", "value"], "left_semi")
         .groupBy("capture_id", "frame_number")
-        .agg(F.min_by("value", "pos").alias("_hit"))
+        .agg(F.min_by("value", "pos").alias("subscriber"))
     )
-    looked = doubtful.join(hits, ["capture_id", "frame_number"], "left").withColumn(
-        "subscriber", F.coalesce("_hit", "_sure.value")
-    )
-    out = settled.unionByName(looked.drop("_hit")).drop("_c", "_sure", "_open")
+    looked = doubtful.join(hits, ["capture_id", "frame_number"], "left")
+    out = settled.unionByName(looked).drop("_c", "_first")
     return out.withColumn("subscriber", F.coalesce("subscriber", F.lit("UNIDENTIFIED")))
 
 
