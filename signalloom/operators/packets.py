@@ -152,6 +152,14 @@ def sip_failure(payload_text: Column) -> Column:
     return F.when(code >= 400, F.struct(code.alias("code"), reason.alias("reason")))
 
 
+def with_sip_failures(packets: DataFrame) -> DataFrame:
+    """Add sip_status and sip_reason of failing SIP responses, read from the payload."""
+    found = packets.withColumn("_f", sip_failure(F.decode("payload", "ISO-8859-1")))
+    return found.withColumns(
+        {"sip_status": F.col("_f.code"), "sip_reason": F.col("_f.reason")}
+    ).drop("_f")
+
+
 def technology_of(port: str, protocol: str) -> Column:
     """Technology of a port or protocol name (both column names)."""
     cases = " ".join(

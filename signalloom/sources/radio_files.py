@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalloom.functions.radio import tag_values
-from signalloom.operators.radio import normalize_rows, radio_summary
+from signalloom.operators.radio import SYNONYMS, normalize_rows, radio_summary
 
 # Names of lists that hold events, and file extensions.
 EVENT_LISTS = [
@@ -278,14 +278,24 @@ def read_radio_html(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     pages = files.select(
         F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("trace_id"),
-        F.decode("content", F.lit("UTF-8")).alias("page"),
+        F.expr("make_valid_utf8(cast(content as string))").alias("page"),
     )
     rows = html_rows(pages, "trace_id", "page")
     if rows.isEmpty():
-        return diagram_events(diagram_lines(spark, path))
+        return with_known_tags(diagram_events(diagram_lines(spark, path)))
     return _wide(rows)
 
 
+def with_known_tags(rows: DataFrame) -> DataFrame:
+    """Add a column for each tag in ``raw`` whose name is a known column name. Only these names, at
+    most one per synonym, are read on the driver."""
+    known = [s for names in SYNONYMS.values() for s in names.split("|")]
+    names = rows.select(F.explode(F.map_keys("raw")).alias("k")).filter(F.lower("k").isin(known))
+    found = sorted(r["k"] for r in names.distinct().collect())
+    new = [n for n in found if n.lower() not in {c.lower() for c in rows.columns}]
+    return rows.withColumns({n: F.col("raw")[n] for n in new}) if new else rows
+
+
 def diagram_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their order: trace_id, _block, _at, value. Large files are split."""
     return spark.read.text(path).select(*_position(), "value")
