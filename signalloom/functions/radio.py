@@ -167,18 +167,16 @@ def harq_nack(payload: Column) -> Column:
 
 
 def tag_values(text: Column) -> Column:
-    """Map of the ``<key>value</key>`` pairs of a text, without internal and msg; a later pair of the
-    same key wins."""
+    """Map of the ``<key>value</key>`` pairs of a text, keys in lower case, without internal and msg; a
+    later pair of the same key wins."""
     pattern = r"<([^>]+)>([^<]*)</\1>"
     keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     pairs = F.transform(
         F.arrays_zip(keys.alias("k"), values.alias("v")),
-        lambda p: F.struct(F.trim(p["k"]).alias("k"), F.trim(p["v"]).alias("v")),
-    )
-    wanted = F.filter(
-        pairs, lambda p: (p["k"] != "") & ~F.lower(p["k"]).isin("internal", "msg")
+        lambda p: F.struct(F.lower(F.trim(p["k"])).alias("k"), F.trim(p["v"]).alias("v")),
     )
+    wanted = F.filter(pairs, lambda p: ~p["k"].isin("", "internal", "msg"))
     names = F.array_distinct(F.transform(wanted, lambda p: p["k"]))
     last = F.transform(
         names,

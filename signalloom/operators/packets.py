@@ -529,9 +529,9 @@ def by_packet_count(flow_table: DataFrame) -> DataFrame:
 def flow_page(flow_table: DataFrame, capture_id: str, offset: int, limit: int) -> DataFrame:
     """One page of the flows of a capture, busiest first, with the total on every row."""
     mine = flow_table.filter(F.col("capture_id") == capture_id)
-    total = mine.agg(F.count(F.lit(1)).alias("total"))
+    total = mine.groupBy("capture_id").agg(F.count(F.lit(1)).alias("total"))
     page = mine.orderBy(F.desc("packet_count"), "first_frame").offset(offset).limit(limit)
-    return page.crossJoin(F.broadcast(total))
+    return page.join(total, "capture_id")
 
 
 def search_flows(flow_table: DataFrame, term: str) -> DataFrame:

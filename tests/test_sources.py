@@ -157,7 +157,7 @@ def test_diagram_text(spark, tmp_path):
     got = rows.orderBy("row_no").collect()
     assert [(r["from_node"], r["to_node"]) for r in got] == [("eNB", "UE"), ("UE", "eNB"), (None, None)]
     assert got[1]["Time"] == "2024-01-01 03:00:09.500" and got[1]["release_cause"] == "radio-link-failure"
-    assert got[2]["raw"] == {"rrc_reconfig_result": "1", "RSRP": "-99.5"}
+    assert got[2]["raw"] == {"rrc_reconfig_result": "1", "rsrp": "-99.5"}
     events = normalize_rows(rows)
     assert [e["rsrp"] for e in events.orderBy("row_no").collect()] == [None, None, -99.5]
     (latency,) = reconfiguration_latency(events).collect()
