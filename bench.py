@@ -19,27 +19,19 @@ from signalloom.catalog.base import CATALOG
 
 HEADLINES = [
     "a1_flows",
-    "a5_telecom_sessions",
-    "a39_capture_summary",
     "j1_pair_transactions",
-    "a7_procedure_kpis",
-    "a8_compare_windows",
     "a9_latency_statistics",
     "a20_a24_calls",
     "f1_sdp_media_lines",
-    "j7_media_presence",
     "a28_a29_rtp_streams",
     "j8_hints_with_ran",
     "a34_ue_timelines",
     "j9_d16_handover_failures",
     "w1_d18_signalling_congestion",
     "f11_normalize_radio_rows",
-    "r2_r13_rule_hits",
     "j10_correlations",
     "a17_assign_subscribers",
-    "a37_node_roles",
     "p7_build_transactions",
-    "p19_p24_ran_events",
 ]
 
 

@@ -9,6 +9,7 @@ from signalloom.catalog import (  # noqa: F401
     radio,
     ran,
     report,
+    sources,
     transactions,
     voice,
 )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,29 @@ def build_session(app: str = "signalloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the written copy.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one named in ``spark.checkpoint.dir``. Only where that is
+    unset and Spark runs in one process (tests, a laptop) a local one is made."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="run-")
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) and no folder was chosen before is a local one made.
-    """
+def new_folder(spark: SparkSession) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and continue from the written copy."""
     spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
-        context.setCheckpointDir(named)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
