@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import html.parser
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -161,8 +162,6 @@ def read_radio_xml(spark: SparkSession, path: str, row_tag: str | None = None) -
 
 
 def _row_tag(text: str) -> str:
-    import re
-
     counts: dict[str, int] = {}
     for tag in re.findall(r"<([A-Za-z_][\w.:-]*)", text):
         counts[tag] = counts.get(tag, 0) + 1
@@ -265,12 +264,36 @@ def html_rows(pages: DataFrame, key: str, content: str) -> DataFrame:
     return chosen.mapInPandas(extract, "trace_id string, row_no long, cells map<string,string>")
 
 
+def _lower_keys(cells: Column) -> Column:
+    """Map with lower-case keys; of keys that become equal the last one wins."""
+    entries = F.map_entries(cells)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    values = F.transform(
+        names,
+        lambda n: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == n), -1)["value"],
+    )
+    return F.map_from_arrays(names, values)
+
+
 def _wide(rows: DataFrame) -> DataFrame:
-    """Map cells as columns. Column names are header metadata: only the distinct names are read."""
-    names = sorted(
-        r["k"] for r in rows.select(F.explode(F.map_keys("cells")).alias("k")).distinct().collect()
+    """Map cells as columns where the name is that of a known column, the others as map ``raw``.
+
+    Column names are header metadata; only the known ones are read on the driver.
+    """
+    known = [s for names in SYNONYMS.values() for s in names.split("|")]
+    low = F.lower(F.trim("k"))
+    near = "|".join(re.escape(s) for s in known if len(s) >= 4)
+    names = rows.select(F.explode(F.map_keys("cells")).alias("k"))
+    names = names.filter(low.isin(known) | low.rlike(near)).distinct()
+    found = sorted(r["k"] for r in names.collect())
+    rest = F.map_filter("cells", lambda k, _: ~k.isin(found))
+    columns = {n.lower(): n for n in reversed(found)}
+    return rows.select(
+        "trace_id",
+        "row_no",
+        *[F.col("cells")[n].alias(n) for n in columns.values()],
+        _lower_keys(rest).alias("raw"),
     )
-    return rows.select("trace_id", "row_no", *[F.col("cells")[n].alias(n) for n in names])
 
 
 def read_radio_html(spark: SparkSession, path: str) -> DataFrame:

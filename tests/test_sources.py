@@ -128,13 +128,18 @@ def test_radio_xml(spark, tmp_path):
     ]
 
 
-PAGE = "<html><table><tr><td>x</td></tr></table><table><tr><th>Time</th><th>Event</th></tr><tr><td>1704067207</td><td>RLF</td></tr><tr><td>ragged</td></tr><tr><td>1704067208</td><td><b>HO</b> fail</td></tr></table></html>"
+PAGE = (
+    "<html><table><tr><td>x</td></tr></table><table><tr><th>Time</th><th>Event</th><th>Zone X</th></tr>"
+    "<tr><td>1704067207</td><td>RLF</td><td>7</td></tr><tr><td>ragged</td></tr>"
+    "<tr><td>1704067208</td><td><b>HO</b> fail</td><td>8</td></tr></table></html>"
+)
 
 
 def test_radio_html(spark, tmp_path):
     (tmp_path / "p.html").write_text(PAGE)
     got = normalize_rows(radio_files.read_radio_html(spark, str(tmp_path / "p.html"))).orderBy("row_no").collect()
     assert [e["event_type"] for e in got] == ["RLF", "HOfail"]
+    assert [e["raw"] for e in got] == [{"zone x": "7"}, {"zone x": "8"}]
     script = '<script>var d = [{"time": "1704067207", "event": "CSFB"}];</script>' + PAGE
     assert radio_files.page_rows(script) == [{"time": "1704067207", "event": "CSFB"}]
 
