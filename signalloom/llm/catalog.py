@@ -53,3 +53,33 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalloom.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_sharding")
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalloom.llm.sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op6_link_graph")
+def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalloom.llm.linkgraph import RULES, url_verdicts
+
+    return url_verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op10_mixing")
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalloom.llm.mixing import mixed_documents
+
+    return mixed_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "mix_domain", "mix_lang", "mix_source", "epoch", "tokens", "leaf_budget"
+    )
+
+
+@query("op3_winnowing")
+def winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalloom.llm.winnowing import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))

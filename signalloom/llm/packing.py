@@ -81,10 +81,10 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
         for batch in batches:
             rows = []
             for doc_id, text, bunch in zip(batch.doc_id, batch.text, batch.bunch, strict=True):
-                ids = np.array([*encoder.encode(text), end_id], dtype="<u4")
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), bunch))
+                ids = encoder.encode(text) + end_id.to_bytes(4, "little")
+                for start in range(0, len(ids), 4 * capacity):
+                    piece = ids[start : start + 4 * capacity]
+                    rows.append((doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, bunch))
             table = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bunch"])
             table["doc_id"] = table["doc_id"].astype("Int64")
             yield table

@@ -34,7 +34,7 @@ def _unpacked(blob: bytes) -> Counter:
 def frequent_pretokens(docs: DataFrame, vocabulary: str, size: int, fan_in: int = 16) -> dict[str, int]:
     """Token counts of about the ``size`` most frequent pre-tokens of all texts.
 
-    Every text is counted. A task's counter is cut to its ``8 * size`` highest counts when it doubles that, and
+    Every text is counted. A task's counter is cut to its ``4 * size`` highest counts when it doubles that, and
     to ``2 * size`` in its summary row; ``fan_in`` summaries are merged by a task until ``fan_in`` rows are left.
     The table only decides what is looked up where, never a count."""
 
@@ -44,8 +44,8 @@ def frequent_pretokens(docs: DataFrame, vocabulary: str, size: int, fan_in: int
         for batch in batches:
             for text in batch.text:
                 counts.update(splitter.chunks(text))
-                if len(counts) > 16 * size:
-                    counts = Counter(dict(counts.most_common(8 * size)))
+                if len(counts) > 8 * size:
+                    counts = Counter(dict(counts.most_common(4 * size)))
         words: Counter = Counter()
         for chunk, n in counts.items():
             for word in splitter.pattern.findall(chunk):
@@ -73,7 +73,7 @@ def frequent_pretokens(docs: DataFrame, vocabulary: str, size: int, fan_in: int
     return {w: counter.word(w) for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]}
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, table_size: int = 32_768) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, table_size: int = 65_536) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): UTF-8 bytes, tokens as the library counts them, and whether there
     are more than ``limit``.
 

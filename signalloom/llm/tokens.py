@@ -9,6 +9,8 @@ library whole, so the result is the library's for every text.
 from __future__ import annotations
 
 import os
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import regex
@@ -64,48 +66,66 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+class Recent(dict):
+    """A bounded cache of what ``make`` returns, in two generations: when the young one is full it becomes the
+    old one, and what is asked for again moves back, so frequent keys stay."""
+
+    def __init__(self, make: Callable[[str], object], size: int) -> None:
+        super().__init__()
+        self.make = make
+        self.size = size
+        self.old: dict[str, object] = {}
+
+    def __missing__(self, key: str) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class ByteLevelIds:
-    """Token ids of whole texts for a byte-level vocabulary without normaliser. ``cache_size`` bounds the
-    number of remembered chunks and of remembered pre-tokens; a full cache is emptied."""
+    """Token ids of whole texts for a byte-level vocabulary without normaliser, as little-endian unsigned
+    32-bit integers. ``cache_size`` bounds the remembered chunks and pre-tokens."""
 
-    def __init__(self, path: str, cache_size: int = 200_000) -> None:
+    def __init__(self, path: str, cache_size: int = 250_000) -> None:
         self.tokenizer = library(path)
         self.model = self.tokenizer.model
         self.pattern = regex.compile(BYTE_LEVEL)
-        self.cache_size = cache_size
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= self.cache_size:
-                self.words.clear()
-            letters = word.encode().decode("latin-1").translate(LETTERS)
-            ids = self.words[word] = tuple(t.id for t in self.model.tokenize(letters))
-        return ids
-
-    def _split(self, text: str) -> list[int]:
-        return [i for word in self.pattern.findall(text) for i in self._word(word)]
-
-    def encode(self, text: str) -> list[int]:
+        self.words = Recent(self._word, cache_size)
+        self.chunks = Recent(lambda chunk: self._split(" " + chunk), cache_size)
+
+    def _word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+
+    def encode(self, text: str) -> bytes:
         if unsafe(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         if loose(text):
             return self._split(text)
         first, *rest = text.split(" ")
-        ids = self._split(first)
-        chunks = self.chunks
-        for chunk in rest:
-            known = chunks.get(chunk)
-            if known is None:
-                if len(chunks) >= self.cache_size:
-                    chunks.clear()
-                known = tuple(self._split(" " + chunk))
-                if len(chunk) < 64:
-                    chunks[chunk] = known
-            ids += known
-        return ids
+        return self._split(first) + b"".join(map(self.chunks.__getitem__, rest))
+
+
+class FrequentFirst(dict):
+    """The frequent tier; what it lacks is asked of the worker's cache."""
+
+    def __init__(self, frequent: dict[str, int], rest: Recent) -> None:
+        super().__init__(frequent)
+        self.rest = rest
+
+    def __missing__(self, key: str) -> int:
+        return self.rest[key]
 
 
 class WordEndCounts:
@@ -114,40 +134,25 @@ class WordEndCounts:
     Two tiers: ``frequent`` maps frequent pre-tokens to their lengths and is never evicted; what it lacks is
     encoded once and kept in a bounded worker cache."""
 
-    def __init__(self, path: str, frequent: dict[str, int], cache_size: int = 200_000) -> None:
+    def __init__(self, path: str, frequent: dict[str, int], cache_size: int = 250_000) -> None:
         self.tokenizer = library(path)
         self.model = self.tokenizer.model
         self.pattern = regex.compile(WORD_ENDS)
-        self.frequent = frequent
-        self.cache_size = cache_size
-        self.misses: dict[str, int] = {}
+        self.frequent = FrequentFirst(frequent, Recent(self._miss, cache_size))
 
     def word(self, word: str) -> int:
         letters = word.encode().decode("latin-1").translate(LETTERS)
         return len(self.model.tokenize(letters))
 
-    def _chunk(self, chunk: str) -> int:
-        found = self.misses.get(chunk)
-        if found is None:
-            found = 0
-            for word in self.pattern.findall(chunk):
-                length = self.frequent.get(word)
-                found += self.word(word) if length is None else length
-            if len(self.misses) >= self.cache_size:
-                self.misses.clear()
-            if len(chunk) < 64:
-                self.misses[chunk] = found
-        return found
+    def _miss(self, chunk: str) -> int:
+        """A chunk between white space that is no frequent pre-token: its pre-tokens one by one."""
+        words = self.pattern.findall(chunk)
+        return self.word(chunk) if words == [chunk] else sum(map(self.frequent.__getitem__, words))
 
     def count(self, text: str) -> int:
         if unsafe(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        total = 0
-        frequent = self.frequent
-        for chunk in text.lower().split():
-            length = frequent.get(chunk)
-            total += self._chunk(chunk) if length is None else length
-        return total
+        return sum(map(self.frequent.__getitem__, text.lower().split()))
 
     def chunks(self, text: str) -> list[str]:
         """The lower-cased chunks between white space, or none for a text that goes to the library."""

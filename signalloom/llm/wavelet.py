@@ -167,7 +167,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
 
         for batch in batches:
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                own = np.array([*encoder.encode(text), end_id], np.uint32)
+                own = np.frombuffer(encoder.encode(text) + end_id.to_bytes(4, "little"), "<u4")
                 names.append(None if pd.isna(doc_id) else int(doc_id))
                 lengths.append(len(own))
                 ids.append(own)
