@@ -83,3 +83,35 @@ def winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalloom.llm.winnowing import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op7_parity_sketch_join")
+def parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalloom.llm.paritysketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_cover_tree_search",
+    """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.vec) + 1), lambda i: q.vec[i] * d.vec[i])) AS BIGINT) AS score
+  FROM whole q JOIN whole d ON d.vec_id <> q.vec_id AND len(d.vec) = len(q.vec)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 5
+""",
+)
+def cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalloom.llm.covertree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
