@@ -33,6 +33,8 @@ from signalloom.llm.store import stored
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits per part; a part is kept as the exclusive or of a random number per set bit.
 PART_BITS = 16
+#: Lists of documents up to this many rows (two longs each) are broadcast; longer ones are joined by shuffle.
+SMALL = 250_000
 #: Share of parts that may be weak before a document joins on weak parts too.
 SPARE = 0.15
 
@@ -43,6 +45,9 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+SIZED = "doc_id long, digest long, n_shingles long, set_id long, sketch binary"
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
@@ -115,8 +120,38 @@ def _set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def folded_sketch(shingles: np.ndarray) -> bytes:
+    """The parity sketch in one run of bits, the next power of two above twice the set's size (64 at least), so that
+    it fills a bounded share of a text's memory. A sketch folds onto a shorter one by exclusive or of its halves."""
+    bits = 64
+    while bits < 2 * len(shingles):
+        bits *= 2
+    odd = np.bincount((_mixed(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(x: bytes, y: bytes) -> int:
+    """Bits in which two folded sketches differ, the longer one folded to the other's length."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    size = len(x)
+    while size > len(y):
+        size //= 2
+        a = (a >> (8 * size)) ^ (a & ((1 << (8 * size)) - 1))
+    return (a ^ b).bit_count()
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b: sets) that are similar, by their whole shingle sets. Each set is read from one document."""
+    """The pairs (a, b: sets) that are similar: first by their sketches, then by their whole shingle sets, each read
+    from one document."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # the symmetric difference of a similar pair is at most this, and the Hamming distance no more
+            most = (batch.n_a + batch.n_b) * (den - num) // (den + num)
+            distance = [hamming(x, y) for x, y in zip(batch.x, batch.y, strict=True)]
+            yield batch.loc[np.asarray(distance) <= most.to_numpy(), ["a", "b"]]
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -133,15 +168,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num:
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    readers = wanted.join(sets, "set_id").select(F.col("reader").alias("doc_id"), F.col("digest"))
+    def side(table: DataFrame, column: str, *values: tuple[str, str]) -> DataFrame:
+        return table.select(F.col("set_id").alias(column), *[F.col(v).alias(n) for v, n in values])
+
+    rows = pairs.join(side(sets, "a", ("n", "n_a"), ("sketch", "x")), "a").join(side(sets, "b", ("n", "n_b"), ("sketch", "y")), "b")
+    close = stored(rows.select("a", "b", "n_a", "n_b", "x", "y").mapInPandas(near, "a long, b long"))
+    wanted = close.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    readers = stored(wanted.join(sets, "set_id").select(F.col("reader").alias("doc_id"), "digest"))
+    small = readers.count() <= SMALL
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    texts = texts.join(readers, ["doc_id", "digest"], "left_semi").select("text")
+    texts = texts.join(F.broadcast(readers) if small else readers, ["doc_id", "digest"], "left_semi").select("text")
     arrays = stored(texts.mapInPandas(shingles, "set_id long, shingles binary").dropDuplicates(["set_id"]))
-    rows = pairs.join(arrays.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
-    # a set's shingles may be as large as its text: pairs that cannot be similar by size go first
-    rows = rows.join(arrays.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
-    rows = rows.where(f"length(x) * {den} >= length(y) * {num} AND length(y) * {den} >= length(x) * {num}")
+    rows = close.join(side(arrays, "a", ("shingles", "x")), "a").join(side(arrays, "b", ("shingles", "y")), "b")
     return stored(rows.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"))
 
 
@@ -166,13 +204,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
                     "digest": batch.digest,
                     "n_shingles": [len(s) for s in sets],
                     "set_id": pd.array([_set_id(s) if len(s) else None for s in sets], dtype="Int64"),
+                    "sketch": [folded_sketch(s) for s in sets],
                 }
             )
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            seen, keys, owners = set(), [], []
+            seen, keys, owners, sizes = set(), [], [], []
             for text in batch.text:
                 found = shingle_hashes(text, shingle, known)
                 name = _set_id(found)
@@ -181,19 +220,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
                     own = part_keys(found, num, den, starts)
                     keys.append(own)
                     owners.append(np.full(len(own), name, np.int64))
+                    sizes.append(np.full(len(own), len(found), np.int64))
             if keys:
-                yield pd.DataFrame({"part_key": np.concatenate(keys).view(np.int64), "set_id": np.concatenate(owners)})
+                yield pd.DataFrame(
+                    {"part_key": np.concatenate(keys).view(np.int64), "set_id": np.concatenate(owners), "n": np.concatenate(sizes)}
+                )
 
-    base = stored(docs.withColumn("digest", F.xxhash64("text")).mapInPandas(sized, "doc_id long, digest long, n_shingles long, set_id long"))
+    base = stored(docs.withColumn("digest", F.xxhash64("text")).mapInPandas(sized, SIZED))
     sets = base.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(
-        F.min(F.struct("doc_id", "digest")).alias("first")
+        F.min(F.struct("doc_id", "digest", "n_shingles", "sketch")).alias("first")
     )
-    sets = sets.select("set_id", F.col("first.doc_id").alias("reader"), F.col("first.digest").alias("digest"))
+    first = {"doc_id": "reader", "digest": "digest", "n_shingles": "n", "sketch": "sketch"}
+    sets = stored(sets.select("set_id", *[F.col(f"first.{c}").alias(name) for c, name in first.items()]))
 
     # groups of two sets or more on a part: (key, set) in order, so a group streams through its task
-    parts = docs.where("doc_id is not null").select("text").mapInPandas(keyed, "part_key long, set_id long")
+    parts = docs.where("doc_id is not null").select("text").mapInPandas(keyed, "part_key long, set_id long, n long")
     groups = stored(grouped(parts))
-    hubs = groups.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).where("a <> b").distinct()
+    hubs = groups.where(f"hub <> set_id and n * {den} >= hub_n * {num} and hub_n * {den} >= n * {num}")
+    hubs = hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     links = _linked(stored(hubs), sets, docs, shingle, num, den)
     # documents of one id are one: their sets are linked
     own = base.where("doc_id is not null and set_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"))
@@ -203,13 +247,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     first = connected(links)
 
     # what the hubs leave open: pairs of a group in different components
-    named = groups.select("part_key", "set_id").join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = groups.select("part_key", "set_id", "n").join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = stored(named.withColumn("component", F.coalesce("component", "set_id")))
     mixed = named.groupBy("part_key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     mixed = named.join(mixed.where("low <> high and n > 2").select("part_key"), "part_key", "left_semi")
-    left = mixed.select("part_key", F.col("set_id").alias("a"), F.col("component").alias("of_a"))
-    right = mixed.select("part_key", F.col("set_id").alias("b"), F.col("component").alias("of_b"))
-    across = left.join(right, "part_key").where("a < b and of_a <> of_b").select("a", "b").distinct()
+    left = mixed.select("part_key", F.col("set_id").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"))
+    right = mixed.select("part_key", F.col("set_id").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"))
+    across = left.join(right, "part_key").where(f"a < b and of_a <> of_b and n_a * {den} >= n_b * {num} and n_b * {den} >= n_a * {num}")
+    across = across.select("a", "b").distinct()
     tried = hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _linked(stored(across.join(tried, ["a", "b"], "left_anti")), sets, docs, shingle, num, den)
     components = connected(links.union(more)) if not more.isEmpty() else first
@@ -224,13 +269,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
 
 
 def grouped(parts: DataFrame) -> DataFrame:
-    """part_key, set_id, hub of every key that two sets or more have; the hub is the smallest of them."""
+    """part_key, set_id, n, hub, hub_n of every key that two sets or more have; the hub is the smallest of them."""
     from pyspark.sql import Window as W
 
     order = W.partitionBy("part_key").orderBy("set_id")
-    rows = parts.withColumn("hub", F.first("set_id").over(order)).withColumn("last", F.lag("set_id").over(order))
+    rows = parts.withColumn("hub", F.first("set_id").over(order)).withColumn("hub_n", F.first("n").over(order))
     rows = rows.withColumn("next", F.lead("set_id").over(order))
-    # repeats of a set are neighbours; a key of one set has neither another hub nor another follower
-    rows = rows.where("last is null or last <> set_id or next <> set_id")
-    rows = rows.where("hub <> set_id or next <> set_id")
-    return rows.select("part_key", "set_id", "hub").distinct()
+    # repeats of a set are neighbours: the last one stands for it; a hub that nothing follows is alone
+    rows = rows.where("(next is null or next <> set_id) and (hub <> set_id or next is not null)")
+    return rows.select("part_key", "set_id", "n", "hub", "hub_n")
