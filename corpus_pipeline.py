@@ -11,8 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalloom.llm.mixing import mixed_documents
 from signalloom.llm.packing import pack_documents
-from signalloom.llm.store import shared_folder
+from signalloom.llm.paritysketch import SMALL, near_duplicates
+from signalloom.llm.store import shared_folder, stored
 from signalloom.llm.tokens import public_path
 from signalloom.llm.toxicity import score_documents, train
 
@@ -24,12 +26,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.where(F.col("predicted") == 0).select(docs.columns)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates; documents without id or words stay."""
+    groups = near_duplicates(docs)
+    gone = stored(groups.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
+    small = gone.count() <= SMALL
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by the weights of their domain, language and source; those of several epochs come several times."""
+    return mixed_documents(docs).select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all kept documents in sequences."""
     return pack_documents(docs, public_path("byte_bpe_50k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", one_of_each), ("mixing", mix), ("packing", pack)]
 
 #: SQL expresses neither the classifier nor the tokenizer; the tests hold run() against plain versions.
 ORACLE_SQL = None

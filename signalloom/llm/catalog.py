@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from signalloom.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -62,14 +64,14 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-@query("op6_link_graph")
+@query("op6_link_graph", oracles.link_graph_sql())
 def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalloom.llm.linkgraph import RULES, url_verdicts
 
     return url_verdicts(table(spark, sf_dir, "pages"), RULES)
 
 
-@query("op10_mixing")
+@query("op10_mixing", oracles.mixing_sql())
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalloom.llm.mixing import mixed_documents
 
@@ -85,7 +87,7 @@ def winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-@query("op7_parity_sketch_join")
+@query("op7_parity_sketch_join", oracles.NEAR_DUPLICATES)
 def parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalloom.llm.paritysketch import near_duplicates
 

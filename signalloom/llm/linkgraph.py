@@ -121,7 +121,7 @@ def url_verdicts(
     small = judged.count() <= SMALL
     rows = pages.drop("html").join(F.broadcast(judged) if small else judged, "host", "left")
     by_host = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > threshold, "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), "trust", "distrust")
+    return rows.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 
 #: The rules of the registered query.

@@ -12,9 +12,10 @@ parts, and a document joins on its first ``d(s) + 1 + spare`` ones; of those tha
 document with at most ``spare`` weak parts leaves them out, since an equal strong part remains; one with more
 of them joins on its weak parts too, and finds any partner that has as many.
 
-Sets, not documents, are joined: documents of one shingle set are one node. Within a group of equal parts only
-links to one hub are verified at first; after that only pairs whose components still differ. Every link between
-components is thus found, and pairs inside one are not.
+Sets, not documents, are joined: documents of one shingle set are one node. A group of sets with an equal part
+streams through a task, which compares whole sketches and returns only pairs of different components that may be
+similar: at first a forest of them, at last all. Every link between components is thus found and verified on the
+shingles; pairs inside a component are not formed.
 """
 
 from __future__ import annotations
@@ -130,28 +131,46 @@ def folded_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def hamming(x: bytes, y: bytes) -> int:
-    """Bits in which two folded sketches differ, the longer one folded to the other's length."""
-    if len(x) < len(y):
-        x, y = y, x
-    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
-    size = len(x)
-    while size > len(y):
-        size //= 2
-        a = (a >> (8 * size)) ^ (a & ((1 << (8 * size)) - 1))
-    return (a ^ b).bit_count()
+def folded_to(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, each folded to ``size`` bytes."""
+    rows = np.empty((len(sketches), size // 8), np.uint64)
+    for i, sketch in enumerate(sketches):
+        words = np.frombuffer(sketch, "<u8")
+        while len(words) > size // 8:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        rows[i] = words
+    return rows
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b: sets) that are similar: first by their sketches, then by their whole shingle sets, each read
-    from one document."""
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # the symmetric difference of a similar pair is at most this, and the Hamming distance no more
-            most = (batch.n_a + batch.n_b) * (den - num) // (den + num)
-            distance = [hamming(x, y) for x, y in zip(batch.x, batch.y, strict=True)]
-            yield batch.loc[np.asarray(distance) <= most.to_numpy(), ["a", "b"]]
+def close_pairs(sets: np.ndarray, sizes: np.ndarray, owners: np.ndarray, sketches: list[bytes], num: int, den: int, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of one group in different components (``owners``) whose sketches do not rule out that they are similar.
+    With ``forest``, a pair also joins its two components for the rest of the group, so there are fewer pairs than
+    components, and a group of copies is done after a few of its members."""
+    words = folded_to(sketches, min(map(len, sketches)))
+    owners = np.unique(owners, return_inverse=True)[1]
+    out = []
+    for i in range(len(sets) - 1):
+        # later members only, unless they may have been joined to others by a forest
+        rest = np.flatnonzero(owners[i + 1 :] != owners[i]) + i + 1
+        if not len(rest):
+            if forest and (owners == owners[0]).all():
+                break
+            continue
+        total = sizes[rest] + sizes[i]
+        likely = (den * np.minimum(sizes[rest], sizes[i])) >= num * np.maximum(sizes[rest], sizes[i])
+        rest, total = rest[likely], total[likely]
+        distance = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1, dtype=np.int64)
+        rest = rest[distance <= total * (den - num) // (den + num)]
+        if forest:
+            rest = rest[np.unique(owners[rest], return_index=True)[1]]
+            for j in rest:
+                owners[owners == owners[j]] = owners[i]
+        out += [(int(sets[i]), int(sets[j])) for j in rest]
+    return out
+
+
+def _linked(close: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b: sets) that are similar by their whole shingle sets, each read from one document."""
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -171,8 +190,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num:
     def side(table: DataFrame, column: str, *values: tuple[str, str]) -> DataFrame:
         return table.select(F.col("set_id").alias(column), *[F.col(v).alias(n) for v, n in values])
 
-    rows = pairs.join(side(sets, "a", ("n", "n_a"), ("sketch", "x")), "a").join(side(sets, "b", ("n", "n_b"), ("sketch", "y")), "b")
-    close = stored(rows.select("a", "b", "n_a", "n_b", "x", "y").mapInPandas(near, "a long, b long"))
     wanted = close.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     readers = stored(wanted.join(sets, "set_id").select(F.col("reader").alias("doc_id"), "digest"))
     small = readers.count() <= SMALL
@@ -235,29 +252,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
 
     # groups of two sets or more on a part: (key, set) in order, so a group streams through its task
     parts = docs.where("doc_id is not null").select("text").mapInPandas(keyed, "part_key long, set_id long, n long")
-    groups = stored(grouped(parts))
-    hubs = groups.where(f"hub <> set_id and n * {den} >= hub_n * {num} and hub_n * {den} >= n * {num}")
-    hubs = hubs.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = _linked(stored(hubs), sets, docs, shingle, num, den)
+    groups = stored(different(stored(grouped(parts))))
     # documents of one id are one: their sets are linked
     own = base.where("doc_id is not null and set_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"))
-    several = own.where("a <> b").select("doc_id")
-    own = base.join(several, "doc_id", "left_semi").where("set_id is not null").join(own.select("doc_id", "a"), "doc_id")
-    links = stored(links.union(own.select("a", F.col("set_id").alias("b")).where("a <> b").distinct()))
-    first = connected(links)
-
-    # what the hubs leave open: pairs of a group in different components
-    named = groups.select("part_key", "set_id", "n").join(first.withColumnRenamed("node", "set_id"), "set_id", "left")
-    named = stored(named.withColumn("component", F.coalesce("component", "set_id")))
-    mixed = named.groupBy("part_key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    mixed = named.join(mixed.where("low <> high and n > 2").select("part_key"), "part_key", "left_semi")
-    left = mixed.select("part_key", F.col("set_id").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a"))
-    right = mixed.select("part_key", F.col("set_id").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"))
-    across = left.join(right, "part_key").where(f"a < b and of_a <> of_b and n_a * {den} >= n_b * {num} and n_b * {den} >= n_a * {num}")
-    across = across.select("a", "b").distinct()
-    tried = hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _linked(stored(across.join(tried, ["a", "b"], "left_anti")), sets, docs, shingle, num, den)
-    components = connected(links.union(more)) if not more.isEmpty() else first
+    several = own.where("a <> b").select("doc_id", "a")
+    links = stored(base.where("set_id is not null").join(several, "doc_id").select("a", F.col("set_id").alias("b")).where("a <> b").distinct())
+    tried = links
+    # two rounds of forests join most of each group of copies; the last round leaves out no close pair
+    for last in (False, False, True):
+        close = stored(_close(groups, sets, connected(links), num, den, forest=not last).join(tried, ["a", "b"], "left_anti"))
+        found = _linked(close, sets, docs, shingle, num, den)
+        tried, links = stored(tried.union(close)), stored(links.union(found))
+    components = connected(links)
 
     named = sets.join(components.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.select("set_id", "reader", F.coalesce("component", "set_id").alias("component"))
@@ -268,13 +274,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 
 
+def _close(groups: DataFrame, sets: DataFrame, components: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Distinct close pairs (a < b) of all groups that several components meet in. A group streams through one task,
+    which holds its sketches and returns its close pairs alone."""
+
+    def pairs_of(group: pd.DataFrame) -> list[tuple[int, int]]:
+        return close_pairs(group.set_id.to_numpy(), group.n.to_numpy(), group.component.to_numpy(), group.sketch.tolist(), num, den, forest)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # the last group may go on in the next batch
+            rest = rows[rows.part_key == rows.part_key.iloc[-1]]
+            found = [p for _, g in rows[: len(rows) - len(rest)].groupby("part_key", sort=False) for p in pairs_of(g)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
+        if rest is not None:
+            yield pd.DataFrame(pairs_of(rest), columns=["a", "b"], dtype="int64")
+
+    named = groups.join(components.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = named.withColumn("component", F.coalesce("component", "set_id"))
+    mixed = named.groupBy("part_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    named = named.join(mixed.select("part_key"), "part_key", "left_semi").join(sets.select("set_id", "sketch"), "set_id")
+    named = named.repartition("part_key").sortWithinPartitions("part_key", "set_id")
+    return named.select("part_key", "set_id", "n", "component", "sketch").mapInPandas(compare, "a long, b long").distinct()
+
+
+def different(groups: DataFrame) -> DataFrame:
+    """One of all groups with the same members, told apart by two 64-bit sums of hashes and their number."""
+    members = groups.groupBy("part_key").agg(
+        F.expr("bit_xor(xxhash64(set_id))").alias("x"), F.expr("bit_xor(xxhash64(set_id, 1))").alias("y"), F.count("*").alias("m")
+    )
+    kept = members.groupBy("x", "y", "m").agg(F.min("part_key").alias("part_key")).select("part_key")
+    return groups.join(kept, "part_key", "left_semi")
+
+
 def grouped(parts: DataFrame) -> DataFrame:
-    """part_key, set_id, n, hub, hub_n of every key that two sets or more have; the hub is the smallest of them."""
+    """part_key, set_id, n of every key that two sets or more have."""
     from pyspark.sql import Window as W
 
     order = W.partitionBy("part_key").orderBy("set_id")
-    rows = parts.withColumn("hub", F.first("set_id").over(order)).withColumn("hub_n", F.first("n").over(order))
-    rows = rows.withColumn("next", F.lead("set_id").over(order))
-    # repeats of a set are neighbours: the last one stands for it; a hub that nothing follows is alone
+    rows = parts.withColumn("hub", F.first("set_id").over(order)).withColumn("next", F.lead("set_id").over(order))
+    # repeats of a set are neighbours: the last one stands for it; a first set that nothing follows is alone
     rows = rows.where("(next is null or next <> set_id) and (hub <> set_id or next is not null)")
-    return rows.select("part_key", "set_id", "n", "hub", "hub_n")
+    return rows.select("part_key", "set_id", "n")
