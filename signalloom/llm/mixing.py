@@ -45,14 +45,14 @@ def shared_out(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     return rows.withColumn("budget", F.when(F.col("filled"), F.col("most")).otherwise(part)).drop("left", "heavier", "filled", "open", "parent_budget")
 
 
-def budgets(supply: DataFrame, levels: list[str], weights: dict[tuple[str, ...], int], total: DataFrame, max_epochs: int) -> DataFrame:
-    """``supply`` (levels, tokens) with ``budget``, level by level from the top; ``total`` is one row (budget)."""
-    above = total.select(F.col("budget").alias("parent_budget"))
+def budgets(supply: DataFrame, levels: list[str], weights: dict[tuple[str, ...], int], total: int, max_epochs: int) -> DataFrame:
+    """``supply`` (levels, tokens) with ``budget``, level by level from the top."""
+    above = None
     for depth in range(1, len(levels) + 1):
         path, parent = levels[:depth], levels[: depth - 1]
         nodes = supply.groupBy(*path).agg((F.sum("tokens") * max_epochs).cast("long").alias("most"))
         nodes = nodes.withColumn("weight", weight_of(weights, path))
-        nodes = nodes.join(above, parent) if parent else nodes.crossJoin(above)  # above: one row at the root
+        nodes = nodes.join(above, parent) if parent else nodes.withColumn("parent_budget", F.lit(total).cast("long"))
         shared = shared_out(nodes, parent, levels[depth - 1])
         above = shared.select(*path, F.col("budget").alias("parent_budget"))
     return supply.join(above.withColumnRenamed("parent_budget", "budget"), levels)
@@ -91,7 +91,7 @@ def mixed(
     named = docs.select(*own, *[F.coalesce(c.cast("string"), F.lit("")).alias(f"mix_{n}") for n, c in levels.items()])
     narrow = stored(named.select("doc_id", *names, words(F.col("text")).alias("tokens")))
     supply = stored(narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
-    total = supply.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * budget_share).cast("long").alias("budget"))
+    total = int((supply.agg(F.sum("tokens")).first()[0] or 0) * budget_share)
     leaves = budgets(supply, names, weights, total, max_epochs)
     leaves = leaves.withColumnRenamed("tokens", "supply").withColumnRenamed("budget", "leaf_budget")
     leaves = leaves.withColumn("whole", F.expr("leaf_budget div supply")).withColumn("rest", F.expr("leaf_budget % supply"))

@@ -57,12 +57,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
     # the ends of a group: aggregated map-side, so a hot group sends one row per task
     groups = rows.groupBy("digest").agg(F.min("before").alias("first"), F.sum("size").alias("group_size"), F.count("*").alias("n"))
     groups = groups.where("n > 1").select("digest", "first", "group_size")
-    whole = rows.agg(F.max("size").alias("largest"), F.sum("size").alias("total"))
-    rows = rows.join(groups, "digest", "left").crossJoin(F.broadcast(whole))  # one row
+    whole = rows.agg(F.max("size").alias("largest"), F.sum("size").alias("total")).first()  # two numbers
+    rows = rows.join(groups, "digest", "left")
     # a row, or a small group of equal texts, belongs where its middle lies
-    together = F.col("group_size") <= F.col("largest")
+    together = F.col("group_size") <= F.lit(whole.largest or 1)
     middle = F.when(together, 2 * F.col("first") + F.col("group_size")).otherwise(2 * F.col("before") + F.col("size"))
-    shard = F.least(F.lit(shards - 1), F.floor(middle * shards / (2 * F.col("total")))).cast("int")
+    shard = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(2 * (whole.total or 1)))).cast("int")
     rows = rows.withColumn("shard", shard)
     starts = rows.groupBy("shard").agg(F.min("place").alias("start"))  # one row per shard
     rows = rows.join(F.broadcast(starts), "shard")
