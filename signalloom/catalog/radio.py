@@ -434,7 +434,7 @@ def _(t: Inputs) -> DataFrame:
 _TIMELINE_SQL = """
     SELECT trace_id, ts_us, 'PCAP' AS source, event_no AS seq, type AS event_type, 'PCAP event' AS description, 'info' AS severity
     FROM fx_signals WHERE ts_us IS NOT NULL
-    UNION ALL SELECT trace_id, ts_us, 'GROUNDHOG', row_no, event_type, event_type, CASE WHEN event_type IN ('RLF', 'HO_FAIL', 'PAGING')
+    UNION ALL SELECT trace_id, ts_us, 'RADIO', row_no, event_type, event_type, CASE WHEN event_type IN ('RLF', 'HO_FAIL', 'PAGING')
       THEN 'critical' WHEN event_type = 'RRC_REESTABLISHMENT' THEN 'warning' ELSE 'info' END FROM fx_radio_events"""
 
 

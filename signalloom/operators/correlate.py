@@ -206,7 +206,7 @@ def time_alignment(signals: DataFrame, radio: DataFrame) -> DataFrame:
         " WHEN overlap_seconds > 0 THEN 'OVERLAPPING'"
         " WHEN abs(_s0 - _r0) < 3600000000 THEN 'CLOSE' ELSE 'DISJOINT' END AS time_alignment",
         "CASE WHEN radio_events = 0 THEN 'PCAP_ONLY' WHEN signal_events = 0 THEN"
-        " 'GROUNDHOG_ONLY' ELSE 'CORRELATED' END AS status",
+        " 'RADIO_ONLY' ELSE 'CORRELATED' END AS status",
     )
 
 
@@ -273,7 +273,7 @@ def cross_plane_timeline(signals: DataFrame | None, radio: DataFrame | None) ->
             radio.filter("ts_us is not null").select(
                 *KEY,
                 "ts_us",
-                F.lit("GROUNDHOG").alias("source"),
+                F.lit("RADIO").alias("source"),
                 F.col("row_no").alias("seq"),
                 "event_type",
                 F.coalesce(label, F.col("event_type")).alias("description"),

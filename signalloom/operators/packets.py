@@ -154,7 +154,7 @@ def sip_failure(payload_text: Column) -> Column:
 
 def with_sip_failures(packets: DataFrame) -> DataFrame:
     """Add sip_status and sip_reason of failing SIP responses, read from the payload."""
-    found = packets.withColumn("_f", sip_failure(F.decode("payload", "ISO-8859-1")))
+    found = packets.withColumn("_f", sip_failure(F.col("payload").cast("string")))
     return found.withColumns(
         {"sip_status": F.col("_f.code"), "sip_reason": F.col("_f.reason")}
     ).drop("_f")

@@ -50,14 +50,13 @@ def stream_order(
     keys: list[str] = STREAM,
 ) -> DataFrame:
     """Deviation sums and reorderings per stream, in arrival order (by sequence if ``strict``)."""
-    per_step = 1_000_000 // rules.clock_rate
     rows = rtp_packets.withColumn("_order", F.col("frame_number").cast("bigint"))
     if strict:
         rows = rows.withColumn("_order", F.expr("shiftleft(cast(seq as bigint), 47) + _order"))
         span = 1 << 53
     before = F.struct("ts_us", "rtp_ts", "seq")
     steps = with_neighbours(rows, keys, "_order", {"_p": ("lag", before)}, span)
-    moved = f"abs((ts_us - _p.ts_us) - (rtp_ts - _p.rtp_ts) * {per_step})"
+    moved = f"abs((ts_us - _p.ts_us) - (rtp_ts - _p.rtp_ts) * 1000000D / {rules.clock_rate})"
     shifted = "IF({0} < 32768, {0} + 65536, {0})"
     return steps.groupBy(*keys).agg(
         F.expr(f"sum({moved}) FILTER (WHERE rtp_ts > _p.rtp_ts) AS deviation_us"),

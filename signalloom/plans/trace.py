@@ -26,7 +26,10 @@ class Store:
 
 def analyze_packets(store: Store, packets: DataFrame) -> dict[str, DataFrame]:
     """Packets to flows, sessions, summary and capture report."""
-    classified = store.write("packets", packet_ops.classify_packets(packets))
+    classified = packet_ops.classify_packets(packets)
+    if "payload" in packets.columns and "sip_status" not in packets.columns:
+        classified = packet_ops.with_sip_failures(classified)
+    classified = store.write("packets", classified)
     flow_table = store.write("flows", packet_ops.flows(classified))
     sessions = store.write("sessions", packet_ops.telecom_sessions(flow_table))
     summary = store.write("summary", packet_ops.capture_summary(classified, flow_table))

@@ -24,9 +24,9 @@ def parse_value_strings(lines: DataFrame) -> DataFrame:
 
 
 def read_value_strings(spark: SparkSession, path: str) -> DataFrame:
-    """Dictionary dump in text files."""
-    rows = parse_value_strings(spark.read.text(path))
-    return rows.groupBy("field", "value").agg(F.max("label").alias("label"))
+    """Dictionary dump in text files; the last line of a value wins."""
+    rows = parse_value_strings(spark.read.text(path)).withColumn("line", F.monotonically_increasing_id())
+    return rows.groupBy("field", "value").agg(F.max_by("label", "line").alias("label"))
 
 
 def read_network_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -280,7 +280,7 @@ def _wide(rows: DataFrame) -> DataFrame:
 
     Column names are header metadata; only the known ones are read on the driver.
     """
-    known = [s for names in SYNONYMS.values() for s in names.split("|")]
+    known = [s for names in SYNONYMS.values() for s in names]
     low = F.lower(F.trim("k"))
     near = "|".join(re.escape(s) for s in known if len(s) >= 4)
     names = rows.select(F.explode(F.map_keys("cells")).alias("k"))
@@ -312,7 +312,7 @@ def read_radio_html(spark: SparkSession, path: str) -> DataFrame:
 def with_known_tags(rows: DataFrame) -> DataFrame:
     """Add a column for each tag in ``raw`` whose name is a known column name. Only these names, at
     most one per synonym, are read on the driver."""
-    known = [s for names in SYNONYMS.values() for s in names.split("|")]
+    known = [s for names in SYNONYMS.values() for s in names]
     names = rows.select(F.explode(F.map_keys("raw")).alias("k")).filter(F.lower("k").isin(known))
     found = sorted(r["k"] for r in names.distinct().collect())
     new = [n for n in found if n.lower() not in {c.lower() for c in rows.columns}]
