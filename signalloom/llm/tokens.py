@@ -49,6 +49,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 LETTERS = _byte_letters()
+#: Marks that are a pre-token of their own after a word.
+MARKS = frozenset(".,;:!?)")
 
 
 def public_path(name: str) -> str:
@@ -97,13 +99,22 @@ class ByteLevelIds:
         self.model = self.tokenizer.model
         self.pattern = regex.compile(BYTE_LEVEL)
         self.words = Recent(self._word, cache_size)
-        self.chunks = Recent(lambda chunk: self._split(" " + chunk), cache_size)
+        self.chunks = Recent(self._chunk, cache_size)
 
     def _word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(LETTERS)
         ids = [t.id for t in self.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _chunk(self, chunk: str) -> bytes:
+        """A chunk after a blank; a word, or a word and one other mark, needs no pattern."""
+        if chunk.isalpha():
+            return self.words[" " + chunk]
+        word, mark = chunk[:-1], chunk[-1:]
+        if mark in MARKS and word.isalpha():
+            return self.words[" " + word] + self.words[mark]
+        return self._split(" " + chunk)
+
     def _split(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 

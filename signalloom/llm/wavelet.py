@@ -37,9 +37,10 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max(initial=0)).bit_length())
-        zeros, planes, ranks, rest = [], [], [], ids
+        zeros, planes, ranks = [], [], []
+        rest = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            bit = ((rest >> level) & 1).astype(bool)
+            bit = (rest & rest.dtype.type(1 << level)) != 0
             plane = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % BLOCK, bool)]), bitorder="little")
             per_block = POPCOUNT[plane].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
             planes.append(plane)
@@ -138,13 +139,14 @@ class WaveletMatrix:
 
     def to_array(self) -> np.ndarray:
         """All ids, in order: the planes are undone from the last to the first."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], bitorder="little")[: self.n].astype(bool)
-            back = np.empty(self.n, np.uint32)
+            back = np.empty(self.n, kind)
             back[~bit] = values[: self.zeros[level]]
             back[bit] = values[self.zeros[level] :]
-            values = back | (bit.astype(np.uint32) << np.uint32(self.bits - 1 - level))
+            values = back | (bit.astype(kind) << kind(self.bits - 1 - level))
         return values
 
 
