@@ -128,6 +128,12 @@ class ByteLevelIds:
         return self._split(first) + b"".join(map(self.chunks.__getitem__, rest))
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> ByteLevelIds:
+    """One encoder per worker, so that its bounded caches outlive a task."""
+    return ByteLevelIds(path)
+
+
 class FrequentFirst(dict):
     """The frequent tier; what it lacks is asked of the worker's cache."""
 

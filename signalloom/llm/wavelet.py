@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalloom.llm.store import shared_folder, stored
-from signalloom.llm.tokens import ByteLevelIds
+from signalloom.llm.tokens import worker_encoder
 
 MAGIC = b"WMX1"
 #: Bits of a plane between two rank samples.
@@ -158,7 +158,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
     Only texts are shuffled, once, by ranges of doc_id."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ByteLevelIds(vocabulary)
+        encoder = worker_encoder(vocabulary)
         names, lengths, ids, size, place = [], [], [], 0, 0
 
         def shard() -> pd.DataFrame:
