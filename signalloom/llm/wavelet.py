@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from signalloom.llm.store import shared_folder, stored
 from signalloom.llm.tokens import worker_encoder
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
+PACK = zstandard.ZstdCompressor(level=1)
 #: Bits of a plane between two rank samples.
 BLOCK = 512
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -42,19 +44,20 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             bit = (rest & rest.dtype.type(1 << level)) != 0
             plane = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % BLOCK, bool)]), bitorder="little")
-            per_block = POPCOUNT[plane].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
+            per_block = np.bitwise_count(plane.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64)
             planes.append(plane)
             ranks.append(np.concatenate([[0], np.cumsum(per_block)]).astype("<u4"))
             zeros.append(int((~bit).sum()))
-            rest = np.concatenate([rest[~bit], rest[bit]])
+            # gathers by position are cheaper than by mask
+            rest = np.concatenate([rest[np.flatnonzero(~bit)], rest[np.flatnonzero(bit)]])
         return cls(len(ids), bits, zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
-        """Header, then per plane its zeros, rank samples and bits, all deflated."""
+        """Header, then per plane its zeros, rank samples and bits, all compressed."""
         out = [MAGIC, struct.pack("<QB", self.n, self.bits)]
         for zeros, plane, ranks in zip(self.zeros, self.planes, self.ranks, strict=True):
-            bits = zlib.compress(plane.tobytes(), 1)
-            samples = zlib.compress(np.diff(ranks).astype("<u2").tobytes(), 1)
+            bits = PACK.compress(plane.tobytes())
+            samples = PACK.compress(np.diff(ranks).astype("<u2").tobytes())
             out.append(struct.pack("<QII", zeros, len(samples), len(bits)) + samples + bits)
         return b"".join(out)
 
@@ -67,9 +70,9 @@ class WaveletMatrix:
         for _ in range(bits):
             zero, samples, plane = struct.unpack_from("<QII", data, at)
             at += 16
-            steps = np.frombuffer(zlib.decompress(data[at : at + samples]), "<u2")
+            steps = np.frombuffer(zstandard.decompress(data[at : at + samples]), "<u2")
             ranks.append(np.concatenate([[0], np.cumsum(steps, dtype=np.int64)]))
-            planes.append(np.frombuffer(zlib.decompress(data[at + samples : at + samples + plane]), np.uint8))
+            planes.append(np.frombuffer(zstandard.decompress(data[at + samples : at + samples + plane]), np.uint8))
             zeros.append(zero)
             at += samples + plane
         return cls(n, bits, zeros, planes, ranks)
@@ -144,8 +147,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], bitorder="little")[: self.n].astype(bool)
             back = np.empty(self.n, kind)
-            back[~bit] = values[: self.zeros[level]]
-            back[bit] = values[self.zeros[level] :]
+            back[np.flatnonzero(~bit)] = values[: self.zeros[level]]
+            back[np.flatnonzero(bit)] = values[self.zeros[level] :]
             values = back | (bit.astype(kind) << kind(self.bits - 1 - level))
         return values
 
