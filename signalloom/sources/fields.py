@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.schemas import column_name
 
 
+def name_of_file(path: str) -> Column:
+    """Name of the current row's file: its path below ``path`` without extension, so that equal names in different
+    folders differ; the bare name where ``path`` is the file or a pattern."""
+    below = F.regexp_extract(F.col("_metadata.file_path"), rf"\Q{path.rstrip('/')}\E/(.+?)(\.[^./]*)?$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    return F.coalesce(F.nullif(below, F.lit("")), name)
+
+
 def read_fields(spark: SparkSession, path: str) -> DataFrame:
     """CSV exports with a header, one folder per capture (``capture_id=...``) or one file per capture.
 
@@ -26,7 +34,7 @@ def read_fields(spark: SparkSession, path: str) -> DataFrame:
     capture = (
         F.col("capture_id").cast("string")
         if "capture_id" in raw.columns
-        else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+        else name_of_file(path)
     )
     columns = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(column_name(c)) for c in names]
     rows = raw.select(capture.alias("capture_id"), *columns)

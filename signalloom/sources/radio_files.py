@@ -1,25 +1,31 @@
 """Radio-trace exports (CSV, JSON, XML, HTML, diagram text) as rows of strings.
 
-Every reader adds trace_id (file name without extension) and row_no (order inside the file).
+A path names a file or a folder of files. Delimiter, encoding, header, event list, row element and page kind are
+decided for each file from the whole of it. Every reader adds trace_id (path below the folder, without extension) and
+row_no (order inside the file).
 """
 
 from __future__ import annotations
 
-import csv
 import html.parser
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
+from xml.parsers import expat
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalloom.functions.radio import tag_values
 from signalloom.operators.radio import SYNONYMS, normalize_rows, radio_summary
+from signalloom.sources.fields import name_of_file
 
-# Names of lists that hold events, and file extensions.
+# Names of lists that hold events, delimiters, and file extensions.
 EVENT_LISTS = [
     "events",
     "data",
@@ -32,18 +38,15 @@ EVENT_LISTS = [
     "items",
     "logs",
 ]
+DELIMITERS = [",", ";", "\t", "|"]
 FORMATS = {"html": "html", "htm": "html", "csv": "csv", "json": "json", "xml": "xml"}
 
 
-def trace_of_file() -> Column:
-    """Trace name of the current row: the file name without its extension."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-
-
-def _position() -> list[Column]:
-    """Order of a row in its file: start of the file block it was read from, then its place in it."""
+def _position(path: str) -> list[Column]:
+    """Trace and file of a row, and its order there: start of the file block it was read from, then its place in it."""
     return [
-        trace_of_file().alias("trace_id"),
+        name_of_file(path).alias("trace_id"),
+        F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     ]
@@ -52,101 +55,175 @@ def _position() -> list[Column]:
 def _numbered(rows: DataFrame) -> DataFrame:
     """Replace the position columns by one bigint that keeps the order within a trace.
 
-    Rows of a block share a partition, so their ids fit below the block start in one number.
+    Rows of a block share a partition, so their ids fit below the block start in one number. Blocks of at least
+    4 KB are told apart, in files of up to 4 TB.
     """
     place = F.col("_at").bitwiseAND((1 << 33) - 1)
-    row_no = F.shiftleft(F.expr("_block div 65536"), 33) + place
-    return rows.withColumn("row_no", row_no).drop("_block", "_at")
+    row_no = F.shiftleft(F.expr("_block div 4096"), 33) + place
+    return rows.withColumn("row_no", row_no).drop("_file", "_block", "_at")
 
 
-def _strings(df: DataFrame, skip: list[str]) -> DataFrame:
-    return df.select(
-        *skip, *[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in df.columns if c not in skip]
-    )
-
+def read_radio_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Delimited text with a header per file; blank lines are skipped.
 
-def _sample(spark: SparkSession, path: str, size: int = 4096) -> bytes:
-    """The first bytes of one file: header metadata for the driver, never the data."""
-    head = (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(F.substring("content", 1, size).alias("head"))
-        .limit(1)
-        .collect()
+    Per file, the header line tells the delimiter (comma, semicolon, tab or bar, whichever it has most of), and the
+    whole file the encoding: UTF-8 if all its lines are valid, else Latin-1. Files of other columns share the table;
+    what a file lacks is NULL. Only header names are read on the driver.
+    """
+    lines = spark.read.text(path).select(*_position(path), "value").filter(F.trim("value") != "")
+    order = F.struct("_block", "_at")
+    files = lines.groupBy("_file").agg(
+        F.min_by("value", order).alias("_head"),
+        F.min(order).alias("_first"),
+        F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
     )
-    if not head:
-        raise ValueError(f"no file at {path}")
-    return bytes(head[0]["head"])
 
+    def decoded(column: str) -> Column:
+        latin = F.decode(F.col(column).cast("binary"), "ISO-8859-1")
+        return F.when(F.col("_utf8"), F.col(column)).otherwise(latin)
+
+    files = files.withColumn("_head", F.regexp_replace(decoded("_head"), "^\ufeff", ""))
+    bare = F.regexp_replace("_head", '"[^"]*"', "")
+    times = {d: F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS}
+    ranked = [F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, (d, n) in enumerate(times.items())]
+    files = files.withColumn("_sep", F.array_max(F.array(*ranked)))
+    width = files.agg(F.max("_sep.n")).first()[0]
+    if width is None:
+        raise ValueError(f"no rows at {path}")
+    files = files.withColumn("_sep", F.col("_sep.d"))
+    shape = ", ".join(f"_c{i} string" for i in range(width + 1))
+
+    def split(line: Column) -> Column:
+        def parts(sep: str) -> Column:
+            row = F.from_csv(line, shape, {"sep": sep})
+            return F.array(*[row[f"_c{i}"] for i in range(width + 1)])
+
+        return F.coalesce(*[F.when(F.col("_sep") == d, parts(d)) for d in DELIMITERS])
+
+    files = files.withColumn("_names", F.transform(split(F.col("_head")), F.trim)).drop("_head")
+    named = files.select(F.posexplode("_names").alias("place", "name")).filter("name <> ''")
+    found = named.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()
+    rows = lines.join(files, "_file").filter(order != F.col("_first"))
+    rows = rows.withColumn("_cells", split(decoded("value")))
+    cells = _spellings([r["name"] for r in found], lambda n: F.get("_cells", (F.array_position("_names", n) - 1).cast("int")))
+    return _numbered(rows.select("trace_id", "_file", "_block", "_at", *cells))
+
+
+def _spellings(names: list[str], value: Callable[[str], Column]) -> list[Column]:
+    """One column per name; names that differ in case only are one column, the first one's."""
+    groups: dict[str, list[str]] = defaultdict(list)
+    for name in names:
+        groups[name.lower()].append(name)
+    return [F.coalesce(*map(value, same)).alias(same[0]) for same in groups.values()]
+
+
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: trace_id, _file and its text as page."""
+    text = F.regexp_replace(F.make_valid_utf8("value"), "^\ufeff", "")
+    files = spark.read.option("wholetext", True).text(path)
+    return files.select(name_of_file(path).alias("trace_id"), F.col("_metadata.file_path").alias("_file"), text.alias("page"))
+
+
+def _event_list(node: dict, depth: int = 4) -> list:
+    """The list of events in nested objects: of a level's own lists of objects one of a known name, else the longest;
+    a list further down, at most ``depth`` levels, if it is longer still."""
+    own = [(k, v) for k, v in node.items() if isinstance(v, list) and v and isinstance(v[0], dict)]
+    best = max(own, key=lambda kv: (kv[0].lower() in EVENT_LISTS, len(kv[1])), default=("", []))[1]
+    if depth:
+        below = [_event_list(v, depth - 1) for v in node.values() if isinstance(v, dict)]
+        best = max([best, *below], key=len)
+    return best
 
-def read_radio_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text; delimiter (comma, semicolon, tab, pipe) and encoding come from the first 4 KB."""
-    head = _sample(spark, path)
-    encoding = "UTF-8"
-    try:
-        text = head.decode("utf-8-sig", errors="strict")
-    except UnicodeDecodeError as problem:
-        cut = problem.start > len(head) - 4
-        encoding = "UTF-8" if cut else "ISO-8859-1"
-        text = head.decode("utf-8" if cut else "latin-1", errors="ignore")
+
+def json_rows(text: str) -> list[dict[str, str]]:
+    """Rows of one JSON text: its objects if it is a list, else the event list in it. Numbers stay as written; a text
+    that is no JSON has no rows."""
     try:
-        delimiter = csv.Sniffer().sniff(text, delimiters=",;\t|").delimiter
-    except csv.Error:
-        first = text.split("\n")[0]
-        delimiter = next((d for d in "\t;|," if d in first), ",")
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", delimiter)
-        .option("encoding", encoding)
-        .option("inferSchema", False)
-        .csv(path)
-    )
-    columns = [F.col(f"`{c}`").alias(c.lstrip("﻿").strip()) for c in raw.columns]
-    return _numbered(raw.select(*_position(), *columns))
-
-
-def _event_path(schema: T.StructType, depth: int = 4) -> list[str] | None:
-    """Path of the list of objects in a nested schema: a known list name first, else the first list."""
-    lists = []
-    for field in schema.fields:
-        kind = field.dataType
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-            lists.append(field.name)
-    known = [n for n in lists if n.lower() in EVENT_LISTS]
-    if known or lists:
-        return [(known or lists)[0]]
-    if depth:
-        for field in schema.fields:
-            if isinstance(field.dataType, T.StructType):
-                below = _event_path(field.dataType, depth - 1)
-                if below:
-                    return [field.name, *below]
-    return None
+        data = json.loads(text, parse_float=str, parse_int=str)
+    except json.JSONDecodeError:
+        return []
+    rows = _event_list(data) if isinstance(data, dict) else data if isinstance(data, list) else []
+    return _cells(rows)
+
+
+def _cells(rows: list) -> list[dict[str, str]]:
+    return [
+        {k: v if isinstance(v, str) else json.dumps(v) for k, v in row.items() if v is not None}
+        for row in rows
+        if isinstance(row, dict)
+    ]
 
 
 def read_radio_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of objects, or objects holding one; the list is found in the schema."""
-    raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    found = _event_path(raw.schema)
-    if found is None:
-        return _numbered(raw.select(*_position(), *[F.col(f"`{c}`") for c in raw.columns]))
-    source = F.col(".".join(f"`{p}`" for p in found))
-    rows = raw.select(trace_of_file().alias("trace_id"), F.posexplode(source).alias("row_no", "e"))
-    rows = rows.select("trace_id", F.col("row_no").cast("bigint").alias("row_no"), "e.*")
-    return _strings(rows, ["trace_id", "row_no"])
+    """A list of objects per file, or objects holding one (:func:`json_rows`). A file is read by one task."""
+    return _wide(_rows_of_pages(_whole_files(spark, path), json_rows))
+
+
+def row_element(text: str, depth: int = 3) -> str | None:
+    """The element repeated most often below one parent, at most ``depth`` levels under the root; of equal ones that
+    of the outer or earlier parent. None if nothing repeats or the text is no XML."""
+    parser = expat.ParserCreate()
+    opened: list[tuple[int, Counter]] = []
+    best = (1, 0, None)
+    seen = 0
+
+    def start(tag: str, _: dict) -> None:
+        nonlocal seen
+        seen += 1
+        if opened:
+            opened[-1][1][tag] += 1
+        opened.append((seen, Counter()))
+
+    def end(_: str) -> None:
+        nonlocal best
+        at, children = opened.pop()
+        if len(opened) <= depth and children:
+            tag, times = children.most_common(1)[0]
+            if times >= 2:
+                best = max(best, (times, -at, tag), key=lambda b: b[:2])
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    try:
+        parser.Parse(text.encode(), True)
+    except expat.ExpatError:
+        return None
+    return best[2]
+
+
+def _row_elements(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their row element; names only reach the driver."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"file": batch["_file"], "tag": [row_element(p) for p in batch["page"]]})
+
+    found = _whole_files(spark, path).select("_file", "page").mapInPandas(find, "file string, tag string")
+    files: dict[str, list[str]] = defaultdict(list)
+    for row in found.filter("tag is not null").orderBy("file").collect():
+        files[row["tag"]].append(unquote(row["file"]))
+    return files
 
 
 def read_radio_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
-    """XML whose most repeated element (in the first bytes of a file) is the row; attributes, child
-    texts and one nested level (``child.sub``) become columns."""
-    if row_tag is None:
-        row_tag = _row_tag(_sample(spark, path, 1 << 16).decode("utf-8", errors="ignore"))
+    """XML rows: the elements of ``row_tag``, else per file of its most repeated one (:func:`row_element`); attributes,
+    child texts and one nested level (``child.sub``) become columns."""
+    files = {row_tag: [path]} if row_tag else _row_elements(spark, path)
+    if not files:
+        raise ValueError(f"no repeated element in the XML at {path}")
+    out = None
+    for tag, paths in files.items():
+        rows = _numbered(_xml_rows(spark, path, paths, tag))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def _xml_rows(spark: SparkSession, path: str, paths: list[str], tag: str) -> DataFrame:
     raw = (
         spark.read.format("xml")
-        .option("rowTag", row_tag)
+        .option("rowTag", tag)
         .option("inferSchema", True)
         .option("prefersDecimal", False)
-        .load(path)
+        .load(paths)
     )
     columns = []
     for field in raw.schema.fields:
@@ -158,18 +235,7 @@ def read_radio_xml(spark: SparkSession, path: str, row_tag: str | None = None) -
         else:
             name = "_text" if field.name == "_VALUE" else field.name.lstrip("_")
             columns.append(ref.cast("string").alias(name))
-    return _numbered(raw.select(*_position(), *columns))
-
-
-def _row_tag(text: str) -> str:
-    counts: dict[str, int] = {}
-    for tag in re.findall(r"<([A-Za-z_][\w.:-]*)", text):
-        counts[tag] = counts.get(tag, 0) + 1
-    # An outer element is opened before the elements it repeats, so ties go to the outer one.
-    repeated = {t: n for t, n in counts.items() if n >= 2}
-    if not repeated:
-        raise ValueError("no repeated element in the XML")
-    return max(repeated, key=repeated.get)
+    return raw.select(*_position(path), *columns)
 
 
 class _Page(html.parser.HTMLParser):
@@ -236,11 +302,7 @@ def page_rows(page: str) -> list[dict[str, str]]:
     for script in parsed.scripts:
         rows = _script_rows(script)
         if rows is not None:
-            return [
-                {k: v if isinstance(v, str) else json.dumps(v) for k, v in row.items() if v is not None}
-                for row in rows
-                if isinstance(row, dict)
-            ]
+            return _cells(rows)
     table = max(parsed.tables, key=len, default=[])
     if len(table) < 2 or not table[0]:
         return []
@@ -248,20 +310,26 @@ def page_rows(page: str) -> list[dict[str, str]]:
     return [dict(zip(header, row, strict=True)) for row in table[1:] if len(row) == len(header)]
 
 
-def html_rows(pages: DataFrame, key: str, content: str) -> DataFrame:
-    """Rows of HTML pages as (trace_id, row_no, cells map), pages in parallel."""
+def _rows_of_pages(pages: DataFrame, rows_of: Callable[[str], list[dict[str, str]]]) -> DataFrame:
+    """Rows of pages (trace_id, page) as trace_id, row_no, cells map; pages in parallel."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [
                 (trace, i, row)
                 for trace, page in zip(batch["trace_id"], batch["page"], strict=True)
-                for i, row in enumerate(page_rows(page or ""))
+                for i, row in enumerate(rows_of(page or ""))
             ]
             yield pd.DataFrame(out, columns=["trace_id", "row_no", "cells"])
 
-    chosen = pages.select(F.col(key).cast("string").alias("trace_id"), F.col(content).alias("page"))
-    return chosen.mapInPandas(extract, "trace_id string, row_no long, cells map<string,string>")
+    return pages.select("trace_id", "page").mapInPandas(extract, "trace_id string, row_no long, cells map<string,string>")
+
+
+def html_rows(pages: DataFrame, key: str, content: str) -> DataFrame:
+    """Rows of HTML pages as (trace_id, row_no, cells map), pages in parallel."""
+    return _rows_of_pages(
+        pages.select(F.col(key).cast("string").alias("trace_id"), F.col(content).alias("page")), page_rows
+    )
 
 
 def _lower_keys(cells: Column) -> Column:
@@ -287,26 +355,21 @@ def _wide(rows: DataFrame) -> DataFrame:
     names = names.filter(low.isin(known) | low.rlike(near)).distinct()
     found = sorted(r["k"] for r in names.collect())
     rest = F.map_filter("cells", lambda k, _: ~k.isin(found))
-    columns = {n.lower(): n for n in reversed(found)}
     return rows.select(
         "trace_id",
         "row_no",
-        *[F.col("cells")[n].alias(n) for n in columns.values()],
+        *_spellings(found, lambda n: F.col("cells")[n]),
         _lower_keys(rest).alias("raw"),
     )
 
 
 def read_radio_html(spark: SparkSession, path: str) -> DataFrame:
-    """HTML exports: script JSON or the largest table, else the diagram lines of the page."""
-    files = spark.read.format("binaryFile").load(path)
-    pages = files.select(
-        F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1).alias("trace_id"),
-        F.expr("make_valid_utf8(cast(content as string))").alias("page"),
-    )
-    rows = html_rows(pages, "trace_id", "page")
-    if rows.isEmpty():
-        return with_known_tags(diagram_events(diagram_lines(spark, path)))
-    return _wide(rows)
+    """HTML exports, decided page by page: script JSON or the largest table; a page without either gives the events of
+    its diagram lines."""
+    rows = _rows_of_pages(_whole_files(spark, path), page_rows)
+    events = diagram_events(diagram_lines(spark, path))
+    events = events.join(rows.select("trace_id").distinct(), "trace_id", "left_anti")
+    return _wide(rows).unionByName(with_known_tags(events), allowMissingColumns=True)
 
 
 def with_known_tags(rows: DataFrame) -> DataFrame:
@@ -321,7 +384,7 @@ def with_known_tags(rows: DataFrame) -> DataFrame:
 
 def diagram_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their order: trace_id, _block, _at, value. Large files are split."""
-    return spark.read.text(path).select(*_position(), "value")
+    return spark.read.text(path).select(*_position(path), "value")
 
 
 def diagram_events(lines: DataFrame) -> DataFrame:
@@ -393,17 +456,38 @@ def diagram_events(lines: DataFrame) -> DataFrame:
 
 
 def read_radio(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a radio-trace export, by the extension of the path."""
+    """Rows of radio-trace exports: one file, or all files of known formats below a folder, each read by its
+    extension. With several formats, trace_id ends in that of its file."""
+    readers = {"csv": read_radio_csv, "json": read_radio_json, "xml": read_radio_xml, "html": read_radio_html}
     extension = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if extension not in FORMATS:
-        raise ValueError(f"unsupported format {extension!r}; one of {sorted(FORMATS)}")
-    reader = {
-        "csv": read_radio_csv,
-        "json": read_radio_json,
-        "xml": read_radio_xml,
-        "html": read_radio_html,
-    }[FORMATS[extension]]
-    return reader(spark, path)
+    if extension in FORMATS:
+        return readers[FORMATS[extension]](spark, path)
+    try:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as problem:
+        raise ValueError(f"unsupported format {extension!r}; a folder or one of {sorted(FORMATS)}") from problem
+    kinds = names.select(F.regexp_extract("path", r"\.([^./]*)$", 1).alias("kind")).distinct().collect()
+    kinds = sorted({r["kind"] for r in kinds if r["kind"].lower() in FORMATS})
+    if not kinds:
+        raise ValueError(f"unsupported formats at {path}; use {sorted(FORMATS)}")
+    out = None
+    for kind in kinds:
+        rows = readers[FORMATS[kind.lower()]](Below(spark, kind), path)
+        if len(kinds) > 1:
+            rows = rows.withColumn("trace_id", F.concat("trace_id", F.lit(f".{kind}")))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+class Below:
+    """Stands in for a session: its reader takes the files of one extension in a folder and the folders in it."""
+
+    def __init__(self, spark: SparkSession, kind: str) -> None:
+        self._spark, self._kind = spark, kind
+
+    @property
+    def read(self):
+        return self._spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{self._kind}")
 
 
 def ingest_radio(

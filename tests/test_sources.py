@@ -171,6 +171,55 @@ def test_diagram_text(spark, tmp_path):
     assert hits == {"RECONFIG": 1, "RELEASE": 1}
 
 
+def test_each_csv_file_by_its_own_header(spark, tmp_path):
+    (tmp_path / "mon").mkdir()
+    (tmp_path / "tue").mkdir()
+    (tmp_path / "mon" / "a.csv").write_text("Time;Event;Note\n1704067207;RLF;a,b\n\n1704067208;Paging;\n")
+    late = "".join(f"{1704067300 + i},CSFB,x\n" for i in range(600))
+    (tmp_path / "tue" / "a.csv").write_bytes(b"\xef\xbb\xbftime,EVENT,Zone\n" + late.encode() + "1704070000,RLF,\"M\u00fcnchen, Ost\"\n".encode("latin-1"))
+    rows = radio_files.read_radio_csv(radio_files.Below(spark, "csv"), str(tmp_path))
+    assert {"Note", "Zone"} <= set(rows.columns)
+    got = normalize_rows(rows)
+    assert {r["trace_id"]: r["count"] for r in got.groupBy("trace_id").count().collect()} == {"mon/a": 2, "tue/a": 601}
+    assert [r["raw"] for r in got.filter("trace_id = 'mon/a'").orderBy("row_no").collect()] == [{"note": "a,b"}, {}]
+    last = got.filter("trace_id = 'tue/a'").orderBy("row_no").collect()[-1]
+    assert last["event_type"] == "RLF" and last["raw"] == {"zone": "M\u00fcnchen, Ost"}
+
+
+def test_longest_json_list(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"alarms": [{"time": 1, "event": "x"}], "samples": [{"time": 1704067207 + i, "event": "RLF"} for i in range(5)]}))
+    (tmp_path / "b.json").write_text(json.dumps({"meta": {"deep": {"points": [{"time": 1704067207, "event": "CSFB"}, {"time": 1704067209, "event": "CSFB"}]}}, "events": [{"time": 1704067207, "event": "RLF"}]}))
+    (tmp_path / "c.json").write_text("{broken")
+    rows = radio_files.read_radio_json(spark, str(tmp_path))
+    got = {(r["trace_id"], r["event_type"]): r["count"] for r in normalize_rows(rows).groupBy("trace_id", "event_type").count().collect()}
+    assert got == {("a", "RLF"): 5, ("b", "CSFB"): 2}
+
+
+def test_row_element():
+    assert radio_files.row_element("<log>" + "<ev><kpi/><kpi/></ev>" * 3 + "</log>") == "ev"
+    assert radio_files.row_element("<log><a><ev/><ev/></a><b><x/><x/></b></log>") == "ev"
+    assert radio_files.row_element("<log><a/></log>") is None and radio_files.row_element("<log") is None
+
+
+def test_xml_files_of_other_elements(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<log>" + "".join(f"<ev><time>{1704067207 + i}</time><event>RLF</event><kpi>1</kpi><kpi>2</kpi></ev>" for i in range(3)) + "</log>")
+    (tmp_path / "b.xml").write_text("<log><row time='1704067207' event='CSFB'/><row time='1704067208' event='CSFB'/></log>")
+    got = normalize_rows(radio_files.read_radio_xml(spark, str(tmp_path)))
+    assert {(r["trace_id"], r["event_type"]): r["count"] for r in got.groupBy("trace_id", "event_type").count().collect()} == {("a", "RLF"): 3, ("b", "CSFB"): 2}
+
+
+def test_folder_of_mixed_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "p.html").write_text(PAGE)
+    (tmp_path / "d.html").write_text(DIAGRAM)
+    (tmp_path / "a.csv").write_text("Time,Event\n1704067207,RLF\n")
+    (tmp_path / "sub" / "a.json").write_text('[{"time": 1704067207, "event": "CSFB"}]')
+    (tmp_path / "notes.txt").write_text("no trace")
+    rows = radio_files.read_radio(spark, str(tmp_path))
+    got = {r["trace_id"]: r["count"] for r in normalize_rows(rows).groupBy("trace_id").count().collect()}
+    assert got == {"sub/p.html": 2, "d.html": 3, "a.csv": 1, "sub/a.json": 1}
+
+
 def test_clock_carries_over_blocks(spark):
     lines = [("t", 0, 0, 'N: {"type":"datetime","message":"T1"}'), ("t", 0, 1, 'A->B: {"type":"event","message":"m1"}'),
              ("t", 100, 0, 'A->B: {"type":"event","message":"m2"}'), ("t", 200, 0, 'A->B: {"type":"event","message":"m3"}'),
