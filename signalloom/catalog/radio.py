@@ -394,7 +394,7 @@ def _(t: Inputs) -> DataFrame:
     WHERE rank <= 20""",
 )
 def _(t: Inputs) -> DataFrame:
-    out = correlate.key_incidents(_correlations(t))
+    out = correlate.key_incidents(correlate.incidents(_correlations(t)))
     return out.select(
         "trace_id", "row_no", "type", "confidence", F.col("rank").cast("bigint").alias("rank")
     )
@@ -403,8 +403,8 @@ def _(t: Inputs) -> DataFrame:
 @register(
     "r2_r3_correlated_findings",
     f"""WITH {_SCORED},
-    inc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pct DESC, row_no) AS rk FROM fx_corr
-      WHERE (event_type IN ('RLF', 'HO_FAIL') AND d <= 5000000) OR (event_type = 'PAGING' AND d <= 10000000)) WHERE rk <= 20),
+    inc AS (SELECT * FROM fx_corr
+      WHERE (event_type IN ('RLF', 'HO_FAIL') AND d <= 5000000) OR (event_type = 'PAGING' AND d <= 10000000)),
     cnt AS (SELECT trace_id, count(*) FILTER (event_type = 'RLF') AS rlf, count(*) FILTER (event_type = 'HO_FAIL') AS ho
       FROM fx_radio_events GROUP BY 1)
     SELECT trace_id, 'RADIO_LINK_FAILURE_IMPACTING_CALL' AS finding_type, 90 AS confidence_pct FROM inc WHERE event_type = 'RLF'
@@ -426,7 +426,7 @@ def _(t: Inputs) -> DataFrame:
         }
     )
     hits = ops.rule_hits(events)
-    incidents = correlate.key_incidents(_correlations(t))
+    incidents = correlate.incidents(_correlations(t))
     out = ops.link_failures(hits, incidents).unionByName(ops.handover_or_srvcc(hits, incidents))
     return out.select("trace_id", "finding_type", "confidence_pct")
 

@@ -130,11 +130,8 @@ fx_hkpi AS (
   FROM fx_half GROUP BY 1, 2, 3
 ),
 fx_hcause AS (
-  SELECT capture_id, half, procedure, list(cause) AS causes FROM (
-    SELECT *, row_number() OVER (PARTITION BY capture_id, half, procedure ORDER BY n DESC, first) AS rank
-    FROM (SELECT capture_id, half, message_type AS procedure, cause_label AS cause, count(*) AS n,
-            min(frame_number) AS first FROM fx_half WHERE cause IS NOT NULL GROUP BY 1, 2, 3, 4))
-  WHERE rank <= 5 GROUP BY 1, 2, 3
+  SELECT capture_id, half, message_type AS procedure, list(DISTINCT cause_label) AS causes
+  FROM fx_half WHERE cause IS NOT NULL GROUP BY 1, 2, 3
 ),
 fx_delta AS (
   SELECT capture_id, procedure, coalesce(b.rate, 0) AS baseline_rate, coalesce(i.rate, 0) AS incident_rate,

@@ -768,6 +768,20 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
+# Long streams: the orders number packets five apart, over several wraps; the truth is known without wraps.
+@register(
+    "a29_long_streams",
+    """SELECT capture_id, call_id, ssrc, count(*) AS packet_count, count(*) - count(DISTINCT n) AS duplicates,
+      round((max(n) - min(n) + 1 - count(DISTINCT n)) * 100.0 / (max(n) - min(n) + 1), 6) AS packet_loss_pct
+    FROM (SELECT *, rtp_ts // 160 * 5 AS n FROM fx_rtp_packets) GROUP BY 1, 2, 3""",
+)
+def _(t: Inputs) -> DataFrame:
+    rows = t.rtp_packets.withColumn("seq", F.expr("cast(rtp_ts div 160 * 5 % 65536 as int)"))
+    return rtp.rtp_streams(rows, span=SAMPLE_SPAN).select(
+        "capture_id", "call_id", "ssrc", "packet_count", "duplicates", r("packet_loss_pct")
+    )
+
+
 @register(
     "a30_call_quality",
     f"""WITH {_RTP}

@@ -222,9 +222,8 @@ def correlation_report(signals: DataFrame, radio: DataFrame, correlations: DataF
     return time_alignment(signals, radio).join(counts, KEY, "left").fillna(0, names)
 
 
-def key_incidents(correlations: DataFrame, n: int = 20) -> DataFrame:
-    """Radio failures within 5 s, and paging within 10 s, of the matched event; the ``n`` most certain
-    per trace."""
+def incidents(correlations: DataFrame) -> DataFrame:
+    """Radio failures within 5 s, and paging within 10 s, of the matched event."""
     seconds = "format_string('%.1f', delta_us / 1e6D)"
     tests = [
         ("RLF", 5, "RLF_NEAR_CALL_EVENT", "Radio Link Failure", "critical"),
@@ -238,11 +237,13 @@ def key_incidents(correlations: DataFrame, n: int = 20) -> DataFrame:
         for kind, limit, name, text, severity in tests
     )
     hits = correlations.withColumn("_i", F.expr(f"CASE {cases} END")).filter("_i is not null")
-    best = Window.partitionBy(*KEY).orderBy(F.desc("confidence_pct"), "row_no")
-    ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
-    return ranked.select(
-        *KEY, "row_no", "_i.*", F.col("confidence_pct").alias("confidence"), "rank"
-    )
+    return hits.select(*KEY, "row_no", "_i.*", F.col("confidence_pct").alias("confidence"))
+
+
+def key_incidents(found: DataFrame, n: int = 20) -> DataFrame:
+    """View of the ``n`` most certain incidents per trace. Spark cuts ranks before the shuffle up to 1,000."""
+    best = Window.partitionBy(*KEY).orderBy(F.desc("confidence"), "row_no")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
 def cross_plane_timeline(signals: DataFrame | None, radio: DataFrame | None) -> DataFrame:

@@ -6,7 +6,7 @@ already known, dst_ip and dst_port.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.config import CHUNK_FRAMES, RtpRules
@@ -19,53 +19,32 @@ ENDPOINT = ["capture_id", "dst_ip", "dst_port"]
 _RULES = RtpRules()
 
 
-def stream_loss(rtp_packets: DataFrame, keys: list[str] = STREAM) -> DataFrame:
-    """Loss and duplicates per stream. Packets are first counted per sequence number (at most 65,536
-    per stream); a spread over half the range means the 16-bit counter wrapped."""
-    seqs = rtp_packets.groupBy(*keys, "seq").agg(F.expr("count(1) AS n"))
-    raw = seqs.groupBy(*keys).agg(
-        F.expr("sum(n) AS packet_count"),
-        F.expr("count(1) AS _unique"),
-        F.expr("max(seq) - min(seq) > 32768 AS wrapped"),
-        F.expr("min(seq) AS _lo"),
-        F.expr("max(seq) AS _hi"),
-        F.expr("min(seq) FILTER (WHERE seq >= 32768) AS _lo_wrapped"),
-        F.expr("max(seq) FILTER (WHERE seq < 32768) + 65536 AS _hi_wrapped"),
-    )
-    spread = "IF(wrapped, _hi_wrapped - _lo_wrapped, _hi - _lo) + 1"
-    return raw.selectExpr(
-        *keys,
-        "packet_count",
-        "wrapped",
-        "packet_count - _unique AS duplicates",
-        f"greatest(({spread} - _unique) * 100D / ({spread}), 0D) AS packet_loss_pct",
-    )
-
-
-def stream_order(
-    rtp_packets: DataFrame,
-    rules: RtpRules = _RULES,
-    strict: bool = False,
-    span: int = CHUNK_FRAMES,
-    keys: list[str] = STREAM,
+def extended_sequence(
+    rtp_packets: DataFrame, keys: list[str] = STREAM, span: int = CHUNK_FRAMES
 ) -> DataFrame:
-    """Deviation sums and reorderings per stream, in arrival order (by sequence if ``strict``)."""
-    rows = rtp_packets.withColumn("_order", F.col("frame_number").cast("bigint"))
-    if strict:
-        rows = rows.withColumn("_order", F.expr("shiftleft(cast(seq as bigint), 47) + _order"))
-        span = 1 << 53
+    """Packets with ``_p`` (the one before in arrival order) and ``_ext``, the sequence number without wraps.
+
+    A step of more than half the 16-bit range is a wrap, forwards or (a late packet) back. Wraps are summed inside
+    chunks of the frame number and then over chunks, of which a stream has one row each.
+    """
     before = F.struct("ts_us", "rtp_ts", "seq")
-    steps = with_neighbours(rows, keys, "_order", {"_p": ("lag", before)}, span)
-    moved = f"abs((ts_us - _p.ts_us) - (rtp_ts - _p.rtp_ts) * 1000000D / {rules.clock_rate})"
-    shifted = "IF({0} < 32768, {0} + 65536, {0})"
-    return steps.groupBy(*keys).agg(
-        F.expr(f"sum({moved}) FILTER (WHERE rtp_ts > _p.rtp_ts) AS deviation_us"),
-        F.expr("count_if(rtp_ts > _p.rtp_ts) AS deviations"),
-        F.expr("count_if(seq < _p.seq) AS _late"),
-        F.expr(
-            f"count_if({shifted.format('seq')} < {shifted.format('_p.seq')}) AS _late_wrapped"
-        ),
+    rows = rtp_packets.withColumn("_order", F.col("frame_number").cast("bigint"))
+    steps = with_neighbours(rows, keys, "_order", {"_p": ("lag", before)}, span).withColumns(
+        {
+            "_turn": F.expr(
+                "CASE WHEN seq - _p.seq < -32768 THEN 1L WHEN seq - _p.seq > 32768 THEN -1L ELSE 0L END"
+            ),
+            "_chunk": F.expr(f"_order div {span}L"),
+        }
     )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_order")
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    chunks = steps.groupBy(*keys, "_chunk").agg(F.sum("_turn").alias("_sum"))
+    chunks = chunks.withColumn("_before", F.sum("_sum").over(across) - F.col("_sum"))
+    counted = steps.withColumn("_inside", F.sum("_turn").over(inside))
+    joined = counted.join(chunks.drop("_sum"), [*keys, "_chunk"])
+    ext = joined.withColumn("_ext", F.expr("seq + 65536L * (_before + _inside)"))
+    return ext.drop("_chunk", "_before", "_inside")
 
 
 def rtp_streams(
@@ -75,17 +54,39 @@ def rtp_streams(
     span: int = CHUNK_FRAMES,
     keys: list[str] = STREAM,
 ) -> DataFrame:
-    """Metrics per stream (call and SSRC, or other ``keys``)."""
-    both = stream_loss(rtp_packets, keys).join(
-        stream_order(rtp_packets, rules, strict, span, keys), keys
+    """Metrics per stream (call and SSRC, or other ``keys``), however often its sequence number wraps.
+
+    Jitter and reordering follow arrival order (the order of the sequence if ``strict``). Packets are first reduced
+    to one row per sequence number, which tells lost and repeated ones.
+    """
+    rows = extended_sequence(rtp_packets, keys, span)
+    if strict:
+        rows = rows.withColumn("_order", F.expr("shiftleft(_ext, 31) + frame_number % 2147483648L"))
+        before = F.struct("ts_us", "rtp_ts", "seq")
+        rows = with_neighbours(rows.drop("_p"), keys, "_order", {"_p": ("lag", before)}, 1 << 41)
+    moved = f"abs((ts_us - _p.ts_us) - (rtp_ts - _p.rtp_ts) * 1000000D / {rules.clock_rate})"
+    late = "0L" if strict else "count_if(seq + 65536L * _turn < _p.seq)"
+    cells = rows.groupBy(*keys, "_ext").agg(
+        F.expr("count(1) AS _n"),
+        F.expr(f"sum({moved}) FILTER (WHERE rtp_ts > _p.rtp_ts) AS _moved"),
+        F.expr("count_if(rtp_ts > _p.rtp_ts) AS _moves"),
+        F.expr(f"{late} AS _late"),
     )
-    out = both.selectExpr(
+    sums = cells.groupBy(*keys).agg(
+        F.expr("sum(_n) AS packet_count"),
+        F.expr("count(1) AS _unique"),
+        F.expr("max(_ext) - min(_ext) + 1 AS _spread"),
+        F.expr("sum(_moved) AS _moved"),
+        F.expr("sum(_moves) AS _moves"),
+        F.expr("sum(_late) AS out_of_order"),
+    )
+    out = sums.selectExpr(
         *keys,
         "packet_count",
-        "coalesce(deviation_us / nullif(deviations, 0) / 1000, 0D) AS jitter_ms",
-        "packet_loss_pct",
-        "IF(wrapped, _late_wrapped, _late) AS out_of_order",
-        "duplicates",
+        "coalesce(_moved / nullif(_moves, 0) / 1000, 0D) AS jitter_ms",
+        "(_spread - _unique) * 100D / _spread AS packet_loss_pct",
+        "out_of_order",
+        "packet_count - _unique AS duplicates",
     )
     out = out.withColumn("mos_lqe", estimate_mos(F.col("jitter_ms"), F.col("packet_loss_pct")))
     return out.withColumn("quality_rating", mos_rating(F.col("mos_lqe")))

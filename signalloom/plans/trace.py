@@ -100,11 +100,12 @@ def analyze_rtp(store: Store, rtp_packets: DataFrame, lines: DataFrame) -> dict[
 def analyze_planes(store: Store, signals: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
     """Signalling and radio events of a case to correlations, incidents and radio findings."""
     correlations = store.write("correlations", correlate.find_correlations(signals, events))
-    incidents = store.write("key_incidents", correlate.key_incidents(correlations))
+    incidents = store.write("incidents", correlate.incidents(correlations))
     timeline = correlate.cross_plane_timeline(signals, events)
     return {
         "correlations": correlations,
-        "key_incidents": incidents,
+        "incidents": incidents,
+        "key_incidents": store.write("key_incidents", correlate.key_incidents(incidents)),
         "timeline": store.write("timeline", timeline),
         "correlation_report": store.write(
             "correlation_report", correlate.correlation_report(signals, events, correlations)

@@ -139,3 +139,22 @@ def test_subnet_names(spark):
     nets = spark.createDataFrame([("10.0.0.0/8", "Wide", 0), ("10.0.0.0/24", "Narrow", 1)], "cidr string, name string, ord int")
     got = {r["ip"]: r["name"] for r in nodes.resolve_addresses(ips, exact, nets).collect()}
     assert got == {"10.0.0.9": "Wide_9", "10.1.2.3": "Wide_3", "8.8.8.8": "DNS_Google", "9.9.9.9": "9.9.9.9", "fe80::1": "fe80::1", "300.1.1.1": "300.1.1.1"}
+
+
+def test_rtp_over_several_wraps(spark):
+    rows = spark.range(140_000).filter("id % 10 <> 3").selectExpr(
+        "'c' AS capture_id", "'k' AS call_id", "'s' AS ssrc", "id AS frame_number", "id * 20000 AS ts_us",
+        "cast((id + 60000) % 65536 as int) AS seq", "id * 160 AS rtp_ts")
+    for strict in (False, True):
+        (got,) = rtp.rtp_streams(rows, span=5000, strict=strict).collect()
+        assert (got["packet_count"], got["duplicates"], got["out_of_order"]) == (126_000, 0, 0)
+        assert abs(got["packet_loss_pct"] - 14_000 / 140_000 * 100) < 0.01 and got["jitter_ms"] == 0
+
+
+def test_late_packet_before_a_wrap(spark):
+    seqs = [65534, 0, 65535, 1, 1]
+    rows = [("c", "k", "s", i, i * 20000, q, i * 160) for i, q in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "capture_id string, call_id string, ssrc string, frame_number long, ts_us long, seq int, rtp_ts long")
+    for span in (2, 100):
+        (got,) = rtp.rtp_streams(df, span=span).collect()
+        assert (got["packet_count"], got["duplicates"], got["out_of_order"], got["packet_loss_pct"]) == (5, 1, 1, 0.0)
