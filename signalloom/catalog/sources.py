@@ -121,20 +121,82 @@ def _normalised(rows: DataFrame) -> DataFrame:
     return events.groupBy("ts_us", "event_type", "cell_id", "rsrp").agg(F.expr("count(1) AS n"))
 
 
+# Files of two delimiters in one folder.
 @register("s5_radio_csv", _NORMALISED)
 def _(t: Inputs) -> DataFrame:
     folder = new_folder(t.spark)
-    rows = t.radio_rows.drop("trace_id", "row_no")
-    rows.write.option("header", True).option("sep", ";").csv(folder)
+    rows = t.radio_rows.drop("trace_id")
+    for place, sep in enumerate(";,"):
+        part = rows.filter(F.col("row_no") % 2 == place).drop("row_no")
+        part.write.mode("append").option("header", True).option("sep", sep).csv(folder)
     return _normalised(radio_files.read_radio_csv(t.spark, folder))
 
 
+# Documents of up to 1,000 events next to a longer list of another name.
+@register("s6_radio_json", _NORMALISED)
+def _(t: Inputs) -> DataFrame:
+    folder = new_folder(t.spark)
+    cells = F.struct(*[c for c in t.radio_rows.columns if c not in ("trace_id", "row_no")])
+    part = F.expr("row_no div 1000").alias("part")
+    events = t.radio_rows.groupBy(part).agg(F.collect_list(cells).alias("events"))
+    other = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.struct(i.alias("alarm")))
+    document = F.to_json(F.struct(other.alias("alarms"), F.struct("events").alias("log"), "events"))
+    events.select("part", document.alias("value")).write.partitionBy("part").text(folder)
+    return _normalised(radio_files.read_radio_json(t.spark, folder))
+
+
 @register("s7_radio_xml", _NORMALISED)
 def _(t: Inputs) -> DataFrame:
     folder = new_folder(t.spark)
     rows = t.radio_rows.drop("trace_id", "row_no")
     rows.write.format("xml").option("rootTag", "log").option("rowTag", "ev").save(folder)
-    return _normalised(radio_files.read_radio_xml(t.spark, folder, "ev"))
+    return _normalised(radio_files.read_radio_xml(t.spark, folder))
+
+
+# Even pages hold a table, odd ones diagram lines under one clock.
+@register(
+    "s8_s9_mixed_pages",
+    """SELECT page, event, clock, count(*) AS n FROM (
+      SELECT event_id // 500 AS page, event_type AS event,
+        CASE WHEN event_id // 500 % 2 = 0 THEN CAST(event_id AS STRING) ELSE concat('T', event_id // 500) END AS clock
+      FROM events) GROUP BY 1, 2, 3""",
+)
+def _(t: Inputs) -> DataFrame:
+    folder = new_folder(t.spark)
+    cells = "concat('<tr><td>', event_id, '</td><td>', event_type, '</td></tr>')"
+    line = "concat('A->B: {\"type\":\"event\",\"message\":\"', event_type, '\",\"url\":\"\"}')"
+    clock = "concat('N: {\"type\":\"datetime\",\"message\":\"T', page, '\"}')"
+    head = "'<html><table><tr><th>Time</th><th>Event</th></tr>'"
+    pages = _table(t, "events").withColumn("page", F.expr("event_id div 500")).groupBy("page").agg(
+        F.expr(f"concat({head}, array_join(collect_list({cells}), ''), '</table></html>') AS rows"),
+        F.expr(f"array_join(collect_list({line}), '\n') AS lines"),
+    )
+    text = F.expr(f"IF(page % 2 = 0, rows, concat({clock}, '\n', lines)) AS value")
+    pages.select("page", text).write.partitionBy("page").text(folder)
+    rows = radio_files.read_radio_html(t.spark, folder)
+    page = F.regexp_extract("trace_id", "^page=([0-9]+)", 1).cast("bigint").alias("page")
+    return rows.groupBy(page, F.coalesce("Event", "Message").alias("event"), F.col("Time").alias("clock")).agg(
+        F.expr("count(1) AS n")
+    )
+
+
+# A folder of several formats, ingested: events and summary as written.
+@register(
+    "s11_s17_ingest_folder",
+    f"""WITH {_EVENTS}
+    SELECT event_type, count(*) AS n, CAST((SELECT count(*) FROM fx_norm) AS BIGINT) AS total FROM fx_norm GROUP BY 1""",
+)
+def _(t: Inputs) -> DataFrame:
+    folder = new_folder(t.spark)
+    rows = t.radio_rows.drop("trace_id")
+    rows.filter("row_no % 2 = 0").drop("row_no").write.option("header", True).csv(f"{folder}/in/a")
+    rows.filter("row_no % 2 = 1").drop("row_no").write.format("xml").option("rootTag", "log").option(
+        "rowTag", "ev"
+    ).save(f"{folder}/in/b")
+    events, summary = radio_files.ingest_radio(t.spark, f"{folder}/in", f"{folder}/out")
+    total = summary.agg(F.sum("total_events").alias("total"))
+    counts = events.groupBy("event_type").agg(F.expr("count(1) AS n"))
+    return counts.join(total)
 
 
 @register(

@@ -25,8 +25,10 @@ _FLAGS = "FSRPAUECN"
 
 
 class CaptureFile(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    """A file's path and the name of its capture."""
+
+    def __init__(self, value: tuple[str, str]) -> None:
+        super().__init__(value)
 
 
 class CaptureSource(DataSource):
@@ -49,18 +51,19 @@ class CaptureReader(DataSourceReader):
         store, root = _open(self.path)
         info = store.get_file_info(root)
         if info.type == fs.FileType.File:
-            return [CaptureFile(self.path)]
+            return [CaptureFile((self.path, self.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]))]
         files = store.get_file_info(fs.FileSelector(root, recursive=True))
         prefix = self.path.rstrip("/")
-        return [
-            CaptureFile(prefix + f.path[len(root.rstrip("/")) :])
+        below = [
+            f.path[len(root.rstrip("/")) :]
             for f in sorted(files, key=lambda f: f.path)
             if f.type == fs.FileType.File and f.extension in ("pcap", "cap", "pcapng")
         ]
+        # a capture is named by its path below the folder, so equal names in different folders differ
+        return [CaptureFile((prefix + b, b.strip("/").rsplit(".", 1)[0])) for b in below]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        path = partition.value
-        capture = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        path, capture = partition.value
         store, name = _open(path)
         target = to_arrow_schema(PACKETS)
         rows: list[tuple] = []

@@ -95,8 +95,9 @@ def read_radio_csv(spark: SparkSession, path: str) -> DataFrame:
 
     def split(line: Column) -> Column:
         def parts(sep: str) -> Column:
-            row = F.from_csv(line, shape, {"sep": sep})
-            return F.array(*[row[f"_c{i}"] for i in range(width + 1)])
+            # as the one element of an array, so that a line is parsed once for all its cells
+            row = F.array(F.from_csv(line, shape, {"sep": sep}))
+            return F.transform(row, lambda r: F.array(*[r[f"_c{i}"] for i in range(width + 1)]))[0]
 
         return F.coalesce(*[F.when(F.col("_sep") == d, parts(d)) for d in DELIMITERS])
 
@@ -120,7 +121,7 @@ def _spellings(names: list[str], value: Callable[[str], Column]) -> list[Column]
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: trace_id, _file and its text as page."""
     text = F.regexp_replace(F.make_valid_utf8("value"), "^\ufeff", "")
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(name_of_file(path).alias("trace_id"), F.col("_metadata.file_path").alias("_file"), text.alias("page"))
 
 

@@ -188,7 +188,7 @@ def test_each_csv_file_by_its_own_header(spark, tmp_path):
 
 def test_longest_json_list(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"alarms": [{"time": 1, "event": "x"}], "samples": [{"time": 1704067207 + i, "event": "RLF"} for i in range(5)]}))
-    (tmp_path / "b.json").write_text(json.dumps({"meta": {"deep": {"points": [{"time": 1704067207, "event": "CSFB"}, {"time": 1704067209, "event": "CSFB"}]}}, "events": [{"time": 1704067207, "event": "RLF"}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"meta": {"deep": {"points": [{"time": 1704067207, "event": "CSFB"}, {"time": 1704067209, "event": "CSFB"}]}}, "events": [{"time": 1704067207, "event": "RLF"}]}, indent=1))
     (tmp_path / "c.json").write_text("{broken")
     rows = radio_files.read_radio_json(spark, str(tmp_path))
     got = {(r["trace_id"], r["event_type"]): r["count"] for r in normalize_rows(rows).groupBy("trace_id", "event_type").count().collect()}
@@ -202,7 +202,7 @@ def test_row_element():
 
 
 def test_xml_files_of_other_elements(spark, tmp_path):
-    (tmp_path / "a.xml").write_text("<log>" + "".join(f"<ev><time>{1704067207 + i}</time><event>RLF</event><kpi>1</kpi><kpi>2</kpi></ev>" for i in range(3)) + "</log>")
+    (tmp_path / "a.xml").write_text("<log>" + "".join(f"<ev><time>{1704067207 + i}</time>\n<event>RLF</event><kpi>1</kpi><kpi>2</kpi></ev>" for i in range(3)) + "</log>")
     (tmp_path / "b.xml").write_text("<log><row time='1704067207' event='CSFB'/><row time='1704067208' event='CSFB'/></log>")
     got = normalize_rows(radio_files.read_radio_xml(spark, str(tmp_path)))
     assert {(r["trace_id"], r["event_type"]): r["count"] for r in got.groupBy("trace_id", "event_type").count().collect()} == {("a", "RLF"): 3, ("b", "CSFB"): 2}
