@@ -43,7 +43,8 @@ fx_flows AS (
     transport,
     arg_min(src_ip, frame_number) AS src_ip, arg_min(dst_ip, frame_number) AS dst_ip,
     arg_min(src_port, frame_number) AS src_port, arg_min(dst_port, frame_number) AS dst_port,
-    count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS total_bytes,
+    count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS total_bytes, arg_min(fwd, frame_number) AS out_fwd,
+    count(*) FILTER (fwd) AS ahead, CAST(coalesce(sum(length) FILTER (fwd), 0) AS BIGINT) AS ahead_bytes,
     min(ts_us) AS start_us, max(ts_us) AS end_us, min(frame_number) AS first_frame,
     string_agg(DISTINCT protocol, '/' ORDER BY protocol) AS protocol,
     string_agg(DISTINCT technology, '/' ORDER BY technology) AS technology,
@@ -60,7 +61,8 @@ fx_flow AS (
         WHEN list_contains(technologies, '4G/LTE') THEN '4G/LTE' WHEN list_contains(technologies, 'VoLTE/VoNR') THEN 'VoLTE/VoNR'
         WHEN list_contains(technologies, '2G/3G/SS7') THEN '2G/3G/SS7' END, list_sort(technologies)[1]) AS primary_tech,
     CASE WHEN end_us > start_us THEN packet_count / ((end_us - start_us) / 1e6) ELSE packet_count END AS pps,
-    failures > 0 AS has_errors
+    failures > 0 AS has_errors, CASE WHEN out_fwd THEN ahead ELSE packet_count - ahead END AS packets_out,
+    CASE WHEN out_fwd THEN ahead_bytes ELSE total_bytes - ahead_bytes END AS bytes_out
   FROM fx_flows
 )"""
 )

@@ -82,9 +82,7 @@ def _report(t: Inputs) -> DataFrame:
     return ops.trace_report(flows, packet_ops.telecom_sessions(flows), summary)
 
 
-@register(
-    "a47_trace_report",
-    f"""WITH {_FLOWS}, {_FAMILIES}
+_TRACE_REPORT = f"""WITH {_FLOWS}, {_FAMILIES}
     SELECT capture_id, flows AS total_flows, packets AS total_packets, bytes AS total_bytes, top_flows, telecom_sessions
     FROM (SELECT capture_id, count(*) AS flows, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(total_bytes) AS BIGINT) AS bytes
           FROM fx_flow GROUP BY 1)
@@ -94,8 +92,10 @@ def _report(t: Inputs) -> DataFrame:
     JOIN (SELECT capture_id, string_agg(type, '|' ORDER BY n) AS telecom_sessions FROM (
         SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY packets DESC, type) AS n FROM (
           SELECT capture_id, type, sum(packet_count) AS packets FROM fx_family GROUP BY 1, 2)) WHERE n <= 10 GROUP BY 1)
-    USING (capture_id)""",
-)
+    USING (capture_id)"""
+
+
+@register("a47_trace_report", _TRACE_REPORT)
 def _(t: Inputs) -> DataFrame:
     return _report(t).select(
         "capture_id",
@@ -107,6 +107,19 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
-@register("a47_report_json")
+# The JSON texts, read back.
+@register("a47_report_json", _TRACE_REPORT)
 def _(t: Inputs) -> DataFrame:
-    return ops.report_json(_report(t))
+    shape = (
+        "total_flows bigint, total_packets bigint, total_bytes bigint, top_flows array<struct<src string>>,"
+        " telecom_sessions array<struct<type string>>"
+    )
+    rows = ops.report_json(_report(t)).select("capture_id", F.from_json("context", shape).alias("c"))
+    return rows.select(
+        "capture_id",
+        "c.total_flows",
+        "c.total_packets",
+        "c.total_bytes",
+        F.array_join("c.top_flows.src", "|").alias("top_flows"),
+        F.array_join("c.telecom_sessions.type", "|").alias("telecom_sessions"),
+    )

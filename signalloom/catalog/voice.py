@@ -365,10 +365,16 @@ _STREAMS = (
     + _MEDIA
     + """,
 fx_stream AS (
-  SELECT m.capture_id, m.call_id, m.type, m.codec, f.src_ip, f.src_port, f.dst_ip, f.dst_port, f.packet_count AS packets,
-    f.total_bytes AS bytes, (f.end_us - f.start_us) / 1e6 AS duration_sec
-  FROM fx_media m JOIN fx_flow f ON f.capture_id = m.capture_id AND f.dst_ip = m.ip AND f.dst_port = m.port
-  WHERE m.phase IN ('offer', 'answer')
+  SELECT DISTINCT m.capture_id, m.call_id, m.type, m.codec, f.src_ip, f.src_port, f.dst_ip, f.dst_port, f.packets, f.bytes,
+    f.duration_sec, f.first_frame,
+    CASE WHEN (f.dst_ip = m.ip AND f.dst_port = m.port) = (m.phase = 'offer') THEN 'Network->UE' ELSE 'UE->Network' END AS direction
+  FROM fx_media m JOIN (
+    SELECT capture_id, src_ip, src_port, dst_ip, dst_port, packets_out AS packets, bytes_out AS bytes,
+      (end_us - start_us) / 1e6 AS duration_sec, first_frame FROM fx_flow
+    UNION ALL SELECT capture_id, dst_ip, dst_port, src_ip, src_port, packet_count - packets_out, total_bytes - bytes_out,
+      (end_us - start_us) / 1e6, first_frame FROM fx_flow) f
+    ON f.capture_id = m.capture_id AND (f.dst_ip = m.ip AND f.dst_port = m.port OR f.src_ip = m.ip AND f.src_port = m.port)
+  WHERE m.phase IN ('offer', 'answer') AND f.packets > 0
 ),
 fx_talk AS (
   SELECT s.* FROM fx_stream s JOIN fx_call c USING (capture_id, call_id)
@@ -385,7 +391,7 @@ def _streams(t: Inputs) -> DataFrame:
     "j4_media_streams",
     f"""WITH {_STREAMS}
     SELECT capture_id, call_id, type, codec, src_ip, src_port, dst_ip, dst_port, packets, bytes,
-      round(duration_sec, 6) AS duration_sec, 'Network->UE' AS direction FROM fx_stream""",
+      round(duration_sec, 6) AS duration_sec, direction FROM fx_stream""",
 )
 def _(t: Inputs) -> DataFrame:
     out = _streams(t)
@@ -395,8 +401,8 @@ def _(t: Inputs) -> DataFrame:
 @register(
     "d1_one_way_audio",
     f"""WITH {_STREAMS}
-    SELECT capture_id, call_id, 'critical' AS severity, concat('streams_found=', count(*), '|Reverse path missing') AS evidence
-    FROM fx_talk GROUP BY 1, 2""",
+    SELECT capture_id, call_id, 'critical' AS severity, concat('streams=', count(*), '|direction=', min(direction)) AS evidence
+    FROM fx_talk GROUP BY 1, 2 HAVING count(DISTINCT direction) = 1""",
 )
 def _(t: Inputs) -> DataFrame:
     out = media.one_way_audio(_streams(t), _calls(t))
@@ -668,7 +674,8 @@ _VOICE = (
     + _PRECONDITIONS.split("fx_pre AS (", 1)[1].join(["\nfx_pre AS (", ""])
     + """,
 fx_voice AS (
-  SELECT capture_id, 'one_way_audio' AS type, 'critical' AS severity FROM (SELECT DISTINCT capture_id, call_id FROM fx_talk)
+  SELECT capture_id, 'one_way_audio' AS type, 'critical' AS severity FROM (
+    SELECT capture_id, call_id FROM fx_talk GROUP BY 1, 2 HAVING count(DISTINCT direction) = 1)
   UNION ALL SELECT capture_id, 'silent_call', 'warning' FROM fx_talk WHERE duration_sec > 5 AND packets / duration_sec < 10
   UNION ALL SELECT capture_id, 'codec_rejection', 'warning' FROM fx_codec WHERE answers = 0
   UNION ALL SELECT capture_id, 'codec_mismatch', 'warning' FROM fx_codec WHERE answers > 0 AND NOT list_has_any(offered, answered)

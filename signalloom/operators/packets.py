@@ -253,7 +253,7 @@ def primary_technology(technologies: str) -> Column:
 
 
 def flows(packets: DataFrame) -> DataFrame:
-    """One row per bidirectional 5-tuple.
+    """One row per bidirectional 5-tuple; ``packets_out`` and ``bytes_out`` travel from src to dst, the rest back.
 
     Packets are first reduced per 5-tuple and name combination with fixed-width buffers only (hash
     aggregation with map-side combine, so a hot flow is one row per task before the shuffle); the
@@ -275,7 +275,9 @@ def flows(packets: DataFrame) -> DataFrame:
         .groupBy(*FLOW_KEY, *names)
         .agg(
             F.expr("count(1) AS n"),
+            F.expr("count_if(forward) AS ahead"),
             F.expr("sum(cast(coalesce(length, 0) as bigint)) AS bytes"),
+            F.expr("sum(IF(forward, cast(coalesce(length, 0) as bigint), 0L)) AS ahead_bytes"),
             F.expr("min(ts_us) AS start_us"),
             F.expr("max(ts_us) AS end_us"),
             F.expr("min(IF(forward, frame_number, NULL)) AS out_frame"),
@@ -288,6 +290,8 @@ def flows(packets: DataFrame) -> DataFrame:
     grouped = cells.groupBy(*FLOW_KEY).agg(
         F.expr("sum(n) AS packet_count"),
         F.expr("sum(bytes) AS total_bytes"),
+        F.expr("sum(ahead) AS _ahead"),
+        F.expr("sum(ahead_bytes) AS _ahead_bytes"),
         F.expr("min(start_us) AS start_us"),
         F.expr("max(end_us) AS end_us"),
         F.expr("least(min(out_frame), min(back_frame)) AS first_frame"),
@@ -307,6 +311,8 @@ def flows(packets: DataFrame) -> DataFrame:
         "IF(_out, port_b, port_a) AS dst_port",
         "packet_count",
         "total_bytes",
+        "IF(_out, _ahead, packet_count - _ahead) AS packets_out",
+        "IF(_out, _ahead_bytes, total_bytes - _ahead_bytes) AS bytes_out",
         "start_us",
         "end_us",
         "first_frame",

@@ -158,3 +158,24 @@ def test_late_packet_before_a_wrap(spark):
     for span in (2, 100):
         (got,) = rtp.rtp_streams(df, span=span).collect()
         assert (got["packet_count"], got["duplicates"], got["out_of_order"], got["packet_loss_pct"]) == (5, 1, 1, 0.0)
+
+
+def test_one_way_audio_needs_one_direction(spark):
+    from signalloom.operators import media as m
+    from signalloom.operators import packets as p
+
+    def packets(rows):
+        cells = [("c", i, i * 1000, 100, s, d, sp, dp, "UDP", "RTP", "VoLTE/VoNR") for i, (s, sp, d, dp) in enumerate(rows)]
+        return spark.createDataFrame(cells, "capture_id string, frame_number long, ts_us long, length int, src_ip string, dst_ip string, src_port int, dst_port int, transport string, protocol string, technology string")
+
+    ends = {"one": (4000, 5000), "two": (4100, 5100), "split": (4200, 5200)}
+    there = lambda k: ("10.0.0.1", ends[k][0], "10.9.9.9", ends[k][1])
+    rows = [there("one")] * 20 + [there("two")] * 20 + [there("two")[2:] + there("two")[:2]] * 20
+    rows += [there("split")] * 20 + [("10.9.9.9", 7000, "10.0.0.1", 4200)] * 20
+    lines = [("c", k, "audio", "AMR", ph, ip, port) for k, (a, b) in ends.items() for ph, ip, port in (("offer", "10.0.0.1", a), ("answer", "10.9.9.9", b))]
+    media = spark.createDataFrame(lines, "capture_id string, call_id string, type string, codec string, phase string, ip string, port int")
+    calls = spark.createDataFrame([("c", k, "ESTABLISHED") for k in ends], "capture_id string, call_id string, state string")
+    streams = m.media_streams(media, p.flows(packets(rows))).cache()
+    got = {(r["call_id"], r["direction"]): r["packets"] for r in streams.groupBy("call_id", "direction").agg({"packets": "sum"}).withColumnRenamed("sum(packets)", "packets").collect()}
+    assert got == {("one", "UE->Network"): 20, ("two", "UE->Network"): 20, ("two", "Network->UE"): 20, ("split", "UE->Network"): 20, ("split", "Network->UE"): 20}
+    assert [r["call_id"] for r in m.one_way_audio(streams, calls).collect()] == ["one"]
