@@ -142,7 +142,7 @@ def _(t: Inputs) -> DataFrame:
 _RLF = """
 fx_d17 AS (
   SELECT e.capture_id, e.ue_key, gen AS generation, 95 AS confidence_pct, 'critical' AS severity, ts_us AS start_us, ts_us AS end_us,
-    concat('Radio Link Failure detected: ', cause_label) AS description,
+    concat('Radio link lost: ', cause_label) AS description,
     concat('Frame ', frame_number, ': ', procedure_label, ' - ', cause_label) AS evidence
   FROM fx_ue e JOIN fx_timeline USING (capture_id, ue_key) WHERE cause_label = 'Radio link failure'
 )"""

@@ -838,11 +838,11 @@ def _(t: Inputs) -> DataFrame:
 @register(
     "d9_quality_findings",
     f"""WITH {_RTP}
-    SELECT capture_id, call_id, 'High Jitter Detected' AS title, CASE WHEN jitter < 100 THEN 'warning' ELSE 'critical' END AS severity
+    SELECT capture_id, call_id, 'Jitter above the limit' AS title, CASE WHEN jitter < 100 THEN 'warning' ELSE 'critical' END AS severity
     FROM fx_quality WHERE jitter > 50
-    UNION ALL SELECT capture_id, call_id, 'High Packet Loss', CASE WHEN loss < 5 THEN 'warning' ELSE 'critical' END
+    UNION ALL SELECT capture_id, call_id, 'Loss above the limit', CASE WHEN loss < 5 THEN 'warning' ELSE 'critical' END
     FROM fx_quality WHERE loss > 2
-    UNION ALL SELECT capture_id, call_id, 'Poor Voice Quality', CASE WHEN mos >= 3 THEN 'warning' ELSE 'critical' END
+    UNION ALL SELECT capture_id, call_id, 'MOS below the limit', CASE WHEN mos >= 3 THEN 'warning' ELSE 'critical' END
     FROM fx_quality WHERE mos < 3.5""",
 )
 def _(t: Inputs) -> DataFrame:

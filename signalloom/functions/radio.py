@@ -157,13 +157,8 @@ def paging_info(event_type: Column, row_text: Column) -> Column:
 
 def harq_nack(payload: Column) -> Column:
     """Highest HARQ NACK count in a payload text, else NULL."""
-    patterns = [
-        r"(?i)nack_256_qam>?(\d+)",
-        r"(?i)nack_64_qam>?(\d+)",
-        r"(?i)NACK_256QAM>?(\d+)",
-        r"(?i)NACK_64QAM>?(\d+)",
-    ]
-    return F.greatest(*[F.regexp_extract(payload, p, 1).try_cast("int") for p in patterns])
+    counts = F.regexp_extract_all(payload, F.lit(r"(?i)nack_(?:256|64)_?qam>?(\d+)"), F.lit(1))
+    return F.array_max(F.transform(counts, lambda n: n.try_cast("int")))
 
 
 def tag_values(text: Column) -> Column:

@@ -234,8 +234,8 @@ def context_releases(events: DataFrame) -> DataFrame:
             "IF(_radio, 'HIGH', 'MEDIUM') AS confidence",
             "IF(_radio, 90, 70) AS confidence_pct",
             "IF(_radio, 'warning', 'info') AS severity",
-            "concat(IF(_radio, 'UE Context Release with radio-related cause: ',"
-            " 'UE Context Release: '), coalesce(cause_label, 'None')) AS description",
+            "concat('Context released', IF(_radio, ' for a radio cause: ', ': '),"
+            " coalesce(cause_label, 'none given')) AS description",
             "array(concat('Frame ', frame_number, ': ', procedure_label, ' - ',"
             " coalesce(cause_label, 'None'))) AS evidence",
             "ue_key",
@@ -302,7 +302,7 @@ def radio_link_failures(events: DataFrame) -> DataFrame:
             "'HIGH' AS confidence",
             "95 AS confidence_pct",
             "'critical' AS severity",
-            "concat('Radio Link Failure detected: ', cause_label) AS description",
+            "concat('Radio link lost: ', cause_label) AS description",
             "array(concat('Frame ', frame_number, ': ', coalesce(procedure_label, 'None'),"
             " ' - ', cause_label)) AS evidence",
             "ue_key",

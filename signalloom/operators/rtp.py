@@ -148,26 +148,24 @@ def quality_findings(quality: DataFrame, rules: RtpRules = _RULES) -> DataFrame:
         (
             f"avg_jitter_ms > {rules.jitter_warning_ms}",
             f"avg_jitter_ms < {rules.jitter_critical_ms}",
-            "High Jitter Detected",
-            "concat('Average jitter ', round(avg_jitter_ms, 2),"
-            " 'ms exceeds acceptable threshold')",
+            "Jitter above the limit",
+            "concat('Jitter averages ', round(avg_jitter_ms, 2), ' ms')",
             "avg_jitter_ms",
             "high",
         ),
         (
             f"avg_loss_pct > {rules.loss_warning_pct}",
             f"avg_loss_pct < {rules.loss_critical_pct}",
-            "High Packet Loss",
-            "concat('Packet loss ', round(avg_loss_pct, 2), '% exceeds acceptable threshold')",
+            "Loss above the limit",
+            "concat('Loss averages ', round(avg_loss_pct, 2), '%')",
             "avg_loss_pct",
             "high",
         ),
         (
             f"min_mos < {rules.mos_warning}",
             f"min_mos >= {rules.mos_critical}",
-            "Poor Voice Quality",
-            "concat('Estimated MOS ', round(min_mos, 2), ' indicates ', overall_quality,"
-            " ' quality')",
+            "MOS below the limit",
+            "concat('The worst stream rates ', overall_quality, ', MOS ', round(min_mos, 2))",
             "min_mos",
             "medium",
         ),
