@@ -93,8 +93,8 @@ _RELEASES = """
 fx_d15 AS (
   SELECT e.capture_id, e.ue_key, gen AS generation, CASE WHEN radio THEN 90 ELSE 70 END AS confidence_pct,
     CASE WHEN radio THEN 'warning' ELSE 'info' END AS severity, ts_us AS start_us, ts_us AS end_us,
-    concat(CASE WHEN radio THEN 'UE Context Release with radio-related cause: ' ELSE 'UE Context Release: ' END,
-      coalesce(cause_label, 'None')) AS description,
+    concat(CASE WHEN radio THEN 'Context released for a radio cause: ' ELSE 'Context released: ' END,
+      coalesce(cause_label, 'none given')) AS description,
     concat('Frame ', frame_number, ': ', procedure_label, ' - ', coalesce(cause_label, 'None')) AS evidence
   FROM (SELECT *, coalesce(regexp_matches(lower(cause_label), 'radio|user inactivity|release due to'), false) AS radio FROM fx_ue
     WHERE procedure_label = 'UEContextRelease') e JOIN fx_timeline USING (capture_id, ue_key) WHERE gen IN ('4G', '5G')

@@ -533,28 +533,28 @@ _CODEC_SQL = {
         "codec_rejection",
         "warning",
         "concat(kind, ' Media Rejected')",
-        "concat('Offered ', type, ' was not accepted in answer')",
+        "concat('No answer takes up the offered ', type)",
         "answers = 0",
     ),
     "d4_codec_mismatch": (
         "codec_mismatch",
         "warning",
         "concat(kind, ' Codec Mismatch')",
-        "'Answer codec not in original offer - transcoding may occur'",
+        "'The answer names only codecs that were not offered'",
         "answers > 0 AND NOT list_has_any(offered, answered)",
     ),
     "d5_codec_downgrade": (
         "codec_downgrade",
         "info",
         "concat(kind, ' Codec Downgrade')",
-        "concat('Codec quality downgraded from ', best, ' to ', answer)",
+        "concat('The answer chose ', answer, ' though ', best, ' was offered')",
         "answers > 0 AND best_rank - answer_rank >= 20",
     ),
     "d6_codec_incompatible": (
         "codec_incompatible",
         "critical",
         "concat(kind, ' Codec Incompatibility')",
-        "concat('Answer codec family (', family, ') not in offered families')",
+        "concat('No codec of the answered family ', family, ' was offered')",
         "answers > 0 AND family <> '' AND len(families) > 0 AND NOT list_contains(families, family)",
     ),
 }
