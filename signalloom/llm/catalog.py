@@ -91,7 +91,7 @@ def winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalloom.llm.paritysketch import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
 
 
 @query(
