@@ -264,19 +264,20 @@ SELECT concat('trace', CAST(user_id % 3 AS STRING)) AS trace_id, event_id AS row
        CASE WHEN event_id % 13 = 0 THEN concat('tmsi-', CAST(user_id % 50 AS STRING)) END AS tmsi,
        CASE WHEN event_id % 7 = 0 THEN concat('10.9.0.', CAST(user_id % 30 AS STRING)) END AS ue_ip,
        CASE WHEN event_id % 5 = 0 THEN concat('cell-', CAST(user_id % 7 AS STRING)) END AS cell_id
-FROM events WHERE event_id % 2 = 0
+FROM events
 """
 
+# Both planes have a row of every event; times and the rows that carry an identity differ between them.
 TABLES["signals"] = """
 SELECT concat('trace', CAST(user_id % 3 AS STRING)) AS trace_id, event_id AS event_no,
-       CASE WHEN event_id % 19 <> 0 THEN EPOCH_US(ts) // 1000 END AS ts_us,
+       CASE WHEN event_id % 19 <> 0 THEN EPOCH_US(ts) // 1000 + CAST(event_id % 37 AS BIGINT) * 800000 END AS ts_us,
        CASE WHEN event_id % 4 = 1 THEN 'SIP' ELSE 'S1AP' END AS type,
-       CASE WHEN event_id % 9 = 0 THEN concat('42701', lpad(CAST(user_id AS STRING), 10, '0')) END AS imsi,
-       CASE WHEN event_id % 11 = 0 THEN concat('guti-', CAST(user_id % 50 AS STRING)) END AS guti,
-       CASE WHEN event_id % 13 = 0 THEN concat('tmsi-', CAST(user_id % 50 AS STRING)) END AS tmsi,
-       CASE WHEN event_id % 7 = 0 THEN concat('10.9.0.', CAST(user_id % 30 AS STRING)) END AS ue_ip,
-       CASE WHEN event_id % 5 = 0 THEN concat('cell-', CAST(user_id % 7 AS STRING)) END AS cell_id
-FROM events WHERE event_id % 2 = 1
+       CASE WHEN event_id % 9 = 4 THEN concat('42701', lpad(CAST(user_id AS STRING), 10, '0')) END AS imsi,
+       CASE WHEN event_id % 11 = 5 THEN concat('guti-', CAST(user_id % 50 AS STRING)) END AS guti,
+       CASE WHEN event_id % 13 = 6 THEN concat('tmsi-', CAST(user_id % 50 AS STRING)) END AS tmsi,
+       CASE WHEN event_id % 7 = 3 THEN concat('10.9.0.', CAST(user_id % 30 AS STRING)) END AS ue_ip,
+       CASE WHEN event_id % 5 = 2 THEN concat('cell-', CAST(user_id % 7 AS STRING)) END AS cell_id
+FROM events
 """
 
 TABLES["identified"] = """
