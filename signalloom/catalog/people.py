@@ -173,9 +173,11 @@ def _(t: Inputs) -> DataFrame:
     return nodes.heuristic_roles(_classified(t))
 
 
-# The network map of the derived packets: names of some suppliers and three nested subnets.
+# The network map of the derived packets: names of all suppliers, 65536 to a second octet from 10.1 on, and three nested
+# subnets.
 _MAP = """
-fx_exact AS (SELECT concat('10.1.0.', CAST(s_suppkey AS STRING)) AS ip, s_name AS name FROM supplier WHERE s_suppkey < 5),
+fx_exact AS (SELECT concat('10.', CAST(1 + s_suppkey // 65536 AS STRING), '.', CAST(s_suppkey // 256 % 256 AS STRING), '.',
+  CAST(s_suppkey % 256 AS STRING)) AS ip, s_name AS name FROM supplier),
 fx_subnet AS (SELECT * FROM (VALUES ('10.0.0.0/30', 'Edge', 0), ('10.0.0.0/28', 'Core', 1), ('10.0.0.0/16', 'RAN', 2)) x(cidr, name, ord)),
 fx_addr AS (SELECT DISTINCT src_ip AS ip FROM fx_packets UNION SELECT dst_ip FROM fx_packets),
 fx_named AS (
@@ -187,8 +189,9 @@ fx_named AS (
 
 def _map(t: Inputs) -> tuple[DataFrame, DataFrame]:
     supplier = t.spark.read.parquet(f"{t.sf_dir}/supplier.parquet")
-    exact = supplier.filter("s_suppkey < 5").selectExpr(
-        "concat('10.1.0.', s_suppkey) AS ip", "s_name AS name"
+    exact = supplier.selectExpr(
+        "concat('10.', 1 + s_suppkey div 65536, '.', s_suppkey div 256 % 256, '.', s_suppkey % 256) AS ip",
+        "s_name AS name",
     )
     subnets = t.spark.sql(
         "SELECT * FROM VALUES ('10.0.0.0/30', 'Edge', 0), ('10.0.0.0/28', 'Core', 1),"

@@ -60,35 +60,35 @@ SELECT concat('cap', CAST(l_orderkey % 3 AS STRING)) AS capture_id,
 FROM lineitem
 """
 
+# Every third line of an order responds, the others ask or ask again; a response to another number leaves its requests
+# unanswered.
 TABLES["transactions"] = f"""
 SELECT concat('cap', CAST(l_orderkey % 3 AS STRING)) AS capture_id,
        {_FRAME} AS frame_number,
        CAST(l_orderkey AS BIGINT) * 100000 + CAST(l_linenumber AS BIGINT) * 1000
-         + CASE WHEN l_linenumber = 3 THEN CAST(l_quantity * 60000 AS BIGINT)
+         + CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_quantity * 60000 AS BIGINT)
              * CASE WHEN l_orderkey > 4500 THEN 2 ELSE 1 END ELSE 0 END AS ts_us,
        CASE WHEN l_orderkey % 2 = 0 THEN 'PFCP' ELSE 'GTPv2-C' END AS protocol,
        CASE WHEN l_orderkey % 2 = 0 THEN concat('PFCP-Msg-', CAST(50 + l_orderkey % 3 * 2
-              + CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END AS STRING))
-            ELSE concat('GTP-Msg-', CAST(32 + CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END
+              + CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END AS STRING))
+            ELSE concat('GTP-Msg-', CAST(32 + CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END
               AS STRING)) END AS message_type,
-       CASE WHEN l_linenumber = 3 THEN CASE WHEN l_orderkey % 2 = 0
+       CASE WHEN l_linenumber % 3 = 0 THEN CASE WHEN l_orderkey % 2 = 0
               THEN CASE WHEN l_returnflag = 'R' THEN '64'
                 WHEN l_returnflag = 'A' AND l_orderkey > 4500 THEN '72' ELSE '1' END
               ELSE CASE WHEN l_returnflag = 'R' THEN '70' ELSE '16' END END END AS cause,
-       CASE WHEN l_linenumber = 3 THEN CASE WHEN l_orderkey % 2 = 0
+       CASE WHEN l_linenumber % 3 = 0 THEN CASE WHEN l_orderkey % 2 = 0
               THEN CASE WHEN l_returnflag = 'R' THEN 'Remote Node Not Responsive'
                 WHEN l_returnflag = 'A' AND l_orderkey > 4500 THEN 'System Failure'
                 ELSE 'Request Accepted' END
               ELSE CASE WHEN l_returnflag = 'R' THEN 'System Failure'
                 ELSE 'Request Accepted' END END END AS cause_label,
-       CAST(l_orderkey % 64 AS STRING) AS seq,
+       CAST(l_orderkey % 64 + CASE WHEN l_linenumber % 3 = 0 AND l_linestatus <> 'O' THEN 64 ELSE 0 END AS STRING) AS seq,
        CAST(l_orderkey % 11 AS STRING) AS sess_id,
-       CASE WHEN l_linenumber = 3 THEN '10.2.0.2' ELSE '10.2.0.1' END AS src,
-       CASE WHEN l_linenumber = 3 THEN '10.2.0.1' ELSE '10.2.0.2' END AS dst,
-       l_linenumber = 2 AS retransmission
+       CASE WHEN l_linenumber % 3 = 0 THEN '10.2.0.2' ELSE '10.2.0.1' END AS src,
+       CASE WHEN l_linenumber % 3 = 0 THEN '10.2.0.1' ELSE '10.2.0.2' END AS dst,
+       l_linenumber % 3 = 2 AND l_returnflag = 'A' AS retransmission
 FROM lineitem
-WHERE l_linenumber = 1 OR (l_linenumber = 2 AND l_returnflag = 'A')
-   OR (l_linenumber = 3 AND l_linestatus = 'O')
 """
 
 # SDP bodies offer and answer audio (and, for some, video) on endpoints the packets also use.
