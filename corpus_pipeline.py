@@ -28,11 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near duplicates (five words, Jaccard similarity of 0.8 or
-    more); documents without id or words stay."""
+    more); documents without id or words stay. Rows that repeat an id and text, or a text without id, are one document:
+    one of them stays."""
     groups = near_duplicates(docs, shingle=5, num=80, den=100)
     gone = stored(groups.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
     small = gone.count() <= SMALL
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").withColumn("digest", F.sha2("text", 256))
+    return kept.dropDuplicates(["doc_id", "digest"]).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,13 @@ def test_copy_with_forty_words_appended(spark):
     base = " ".join(f"v{i}" for i in range(200))
     rows = [(1, base, None, None, 0), (2, base + " " + " ".join(f"x{i}" for i in range(40)), None, None, 0)]
     assert [r.doc_id for r in corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, SCHEMA), "").collect()] == [1]
+
+
+def test_repeated_rows_and_copies_without_id(spark):
+    base, other = " ".join(f"v{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(1, base), (1, base), (2, base), (3, other), (3, other), (3, base + " end"), (None, base), (None, base), (None, other)]
+    rows += [(4, ""), (4, ""), (5, ""), (6, None), (None, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "src0", len(t or "")) for d, t in rows], SCHEMA).repartition(4)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    # the rows of 3 are one document, which a copy of 1 joins to 1
+    assert sorted(kept, key=str) == sorted([(1, base), (None, base), (None, other), (4, ""), (5, ""), (6, None), (None, None), (None, "")], key=str)
