@@ -1,8 +1,15 @@
 """Stages of the corpus pipeline against plain versions."""
 
 import random
+import zlib
+from collections import Counter
 
 import corpus_pipeline
+import duckdb
+import numpy as np
+
+from signalloom.llm import catalog, toxicity
+from signalloom.llm.tokens import library, public_path
 
 from .conftest import SCHEMA
 from .test_documents import plain_components
@@ -45,3 +52,57 @@ def test_repeated_rows_and_copies_without_id(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
     # the rows of 3 are one document, which a copy of 1 joins to 1
     assert sorted(kept, key=str) == sorted([(1, base), (None, base), (None, other), (4, ""), (5, ""), (6, None), (None, None), (None, "")], key=str)
+
+
+def test_run_stage_by_stage(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    plain = [f"{a}{b}n" for a in "bdkmstvz" for b in "aeiou"]
+    texts = []
+    for i in range(400):
+        words = [rng.choice(plain) for _ in range(rng.randint(20, 200))]
+        for _ in range(4 * (i % 5 == 0)):
+            words.insert(rng.randrange(len(words)), rng.choice(["wretchful", "scumlike"]))
+        texts.append(" ".join(words))
+    texts += [t + " end" for t in texts[:40]] + texts[40:60]
+    rows = [(i, t, rng.choice(["en", "de"]), rng.choice(["src0", "src7", "src12"]), len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    seen = {}
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            seen[name] = [tuple(r) for r in docs.collect()]
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    assert sorted(seen["toxicity"]) == rows
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    predicted = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    clean = [r for r in rows if not predicted[r[0]]]
+    assert sorted(seen["near_duplicates"]) == clean
+    assert np.mean([predicted[i] == (i % 5 == 0) for i in range(400)]) > 0.9
+
+    first = plain_components(clean, 5, 80, 100)
+    kept = [r for r in clean if first[r[0]][1] == r[0]]
+    assert sorted(seen["mixing"]) == kept and len(kept) < len(clean)
+
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+    con.executemany("insert into documents values (?, ?, ?, ?, ?)", kept)
+    result = con.execute(catalog.SQL["op10_mixing"])
+    at = [d[0] for d in result.description].index("doc_id")
+    times = Counter(r[at] for r in result.fetchall())
+    assert Counter(seen["packing"]) == Counter({r: times[r[0]] for r in kept if times[r[0]]})
+
+    want, encoder = Counter(), library(public_path("byte_bpe_50k.json"))
+    for r in kept:
+        ids = np.array([*encoder.encode(r[1], add_special_tokens=False).ids, 1], "<u4")
+        for start in range(0, len(ids) * bool(times[r[0]]), 2048):
+            want[r[0], start, zlib.crc32(ids[start : start + 2048].tobytes())] += times[r[0]]
+    assert Counter((r.doc_id, r.start, r.ids_crc32) for r in out) == want
