@@ -117,3 +117,17 @@ def cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalloom.llm.covertree import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_bit_planes", oracles.clusters_sql())
+def bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalloom.llm.bitplanes import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_trie_join")
+def trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalloom.llm.bittrie import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"))

@@ -122,3 +122,29 @@ def link_graph_sql(rounds: int = 20, damping: float = 0.85, threshold: float = 0
         "round(trust, 9) AS trust, round(distrust, 9) AS distrust "
         "FROM judged LEFT JOIN trusted USING (host) LEFT JOIN distrusted USING (host)"
     )
+
+
+def clusters_sql(k: int = 8, rounds: int = 10, seed: int = 3, scale: int = 1024) -> str:
+    """k-means on integer vectors of 64 components, round by round."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    parts = [
+        f"""vectors AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, v FROM (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY spot) - 1 AS INTEGER) AS cluster, v AS c FROM "
+        f"(SELECT sha256('{seed}:' || vec_id) AS spot, v FROM vectors ORDER BY spot LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, v, cluster, {distance} AS distance FROM vectors, c{i})")
+        parts.append(f"n{i} AS MATERIALIZED (SELECT * FROM a{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)")
+        if i < rounds:
+            parts += [
+                f"s{i} AS (SELECT cluster, p, sum(x)::BIGINT AS total, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS p FROM n{i}) GROUP BY ALL)",
+                f"m{i} AS (SELECT cluster, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY p) AS c FROM s{i} GROUP BY cluster)",
+                f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))",
+            ]
+    parts.append(f"sums AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM n{rounds} GROUP BY cluster)")
+    return (
+        "WITH " + ",\n".join(parts) + "\nSELECT vec_id, cluster, distance::BIGINT AS distance, cluster_inertia, (SELECT sum(cluster_inertia)::BIGINT FROM sums) AS inertia, "
+        f"sha256(array_to_string(c, ',')) AS centroid_sha256 FROM n{rounds} JOIN sums USING (cluster) JOIN c{rounds} USING (cluster)"
+    )
