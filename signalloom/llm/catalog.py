@@ -119,6 +119,14 @@ def cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_alignment")
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalloom.llm.alignment import alignment_statistics
+    from signalloom.llm.tokens import public_path
+
+    return alignment_statistics(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+
+
 @query("op12_bit_planes", oracles.clusters_sql())
 def bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalloom.llm.bitplanes import cluster_vectors
