@@ -49,12 +49,22 @@ class PlainByteIds(ByteLevelIds):
         self.bytes = [b""] * (max(entries.values()) + 1)
         for entry, number in entries.items():
             self.bytes[number] = bytes(map(byte.__getitem__, entry)) if all(x in byte for x in entry) else entry.encode()
+        # bytes, merged without a normaliser or unknown tokens, spell their text by construction
+        self.lossless = self.tokenizer.normalizer is None and all(letter in entries for letter in byte)
+
+    def spelling(self, line: str) -> bytes:
+        """The ids, if they spell the line; otherwise none."""
+        ids = self.encode(line)
+        if self.lossless or b"".join(self.bytes[i] for i in memoryview(ids).cast("I")) == line.encode("utf-8", "surrogatepass"):
+            return ids
+        return b""
 
 
 class PieceIds:
     """Ids of whole texts by a piece vocabulary, as little-endian unsigned 32-bit integers. Where it keeps texts as they
     are, and no piece holds a space after another character or a line break, words are encoded one by one and
-    remembered, since no merge crosses them; otherwise texts are encoded whole."""
+    remembered, since no merge crosses them; otherwise texts are encoded whole. Ids are given for texts that their pieces
+    spell with a blank in front, which is checked once per remembered word, and for no others."""
 
     def __init__(self, path: str, cache_size: int = 250_000) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,20 +79,28 @@ class PieceIds:
         self.words = Recent(self._word, cache_size)
         self.pattern = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
+    def _spelled(self, ids: list[int], text: str) -> bytes:
+        """Ids as bytes, if they spell the text; otherwise an error."""
+        if b"".join(map(self.bytes.__getitem__, ids)) != text.encode("utf-8", "surrogatepass"):
+            raise ValueError("spelled differently")
+        return np.array(ids, "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
         """A run of blanks with the word after it, or a line break with what follows; the library adds a blank."""
         if word == " ":
-            ids = [self.space]
-        else:
-            ids = self.model.encode(word[1:]) if word[0] == " " else self.model.encode(word)[1:]
-        return np.array(ids, "<u4").tobytes()
+            return self._spelled([self.space], word)
+        return self._spelled(self.model.encode(word[1:]) if word[0] == " " else self.model.encode(word)[1:], word)
 
     def encode(self, text: str) -> bytes:
+        """No bytes for a text that is empty or spelled differently."""
         if not text:
             return b""
-        if not self.by_word or SPACE in text:
-            return np.array(self.model.encode(text, num_threads=1), "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(" " + text)))
+        try:
+            if not self.by_word or SPACE in text:
+                return self._spelled(self.model.encode(text, num_threads=1), " " + text)
+            return b"".join(map(self.words.__getitem__, self.pattern.findall(" " + text)))
+        except ValueError:
+            return b""
 
 
 @dataclass
@@ -113,12 +131,9 @@ class Aligner:
     def align(self, texts: list[str | None]) -> Aligned:
         sides = []
         for text in texts:
-            line = " " + (text or "")
-            a, b = self.a.encode(line) if text else b"", self.b.encode(text or "")
-            a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-            spelled = [b"".join(map(side.bytes.__getitem__, ids.tolist())) for side, ids in ((self.a, a), (self.b, b))]
-            whole = bool(text) and spelled[0] == spelled[1] == line.encode("utf-8", "surrogatepass")
-            sides.append((a, b) if whole else (a[:0], b[:0]))
+            b = self.b.encode(text or "")
+            a = self.a.spelling(" " + text) if b else b""
+            sides.append((np.frombuffer(a, "<u4"), np.frombuffer(b if a else b"", "<u4")))
         ids, docs, starts, ends = [], [], [], []
         for side in (0, 1):
             ids.append(np.concatenate([s[side] for s in sides]).astype(np.int64) if sides else np.zeros(0, np.int64))
