@@ -13,94 +13,86 @@ back to the batches by dictionary position, next to the batch's links.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from signalloom.llm.store import stored
-from signalloom.llm.tokens import LETTERS, ByteLevelIds, Recent
+from signalloom.llm.tokens import BYTE_LEVEL, LETTERS, Recent, unsafe
 
 #: Text bytes of a batch; one longer text is a batch of its own.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 #: The space in a piece vocabulary.
 SPACE = "\u2581"
+NOTHING = (b"", b"")
 
 
-class PlainByteIds(ByteLevelIds):
-    """Byte-level ids in which the strings of special tokens are ordinary text."""
+class Encoders:
+    """Ids of whole texts by both vocabularies, as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    A text of safe characters whose white space is blanks and line breaks is cut before each run of these: no
+    pre-token of A starts inside a run and ends behind the next word, and no piece of B holds a blank after another
+    character or a line break, so chunks are encoded one by one and remembered. Other texts go to the libraries whole."""
 
-        super().__init__(path)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        byte = {letter: value for value, letter in LETTERS.items()}
-        entries = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes = [b""] * (max(entries.values()) + 1)
+    def __init__(self, path_a: str, path_b: str, cache_size: int = 120_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        letters = {letter: value for value, letter in LETTERS.items()}
+        entries = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, number in entries.items():
-            self.bytes[number] = bytes(map(byte.__getitem__, entry)) if all(x in byte for x in entry) else entry.encode()
-        # bytes, merged without a normaliser or unknown tokens, spell their text by construction
-        self.lossless = self.tokenizer.normalizer is None and all(letter in entries for letter in byte)
-
-    def spelling(self, line: str) -> bytes:
-        """The ids, if they spell the line; otherwise none."""
-        ids = self.encode(line)
-        if self.lossless or b"".join(self.bytes[i] for i in memoryview(ids).cast("I")) == line.encode("utf-8", "surrogatepass"):
-            return ids
-        return b""
-
-
-class PieceIds:
-    """Ids of whole texts by a piece vocabulary, as little-endian unsigned 32-bit integers. Where it keeps texts as they
-    are, and no piece holds a space after another character or a line break, words are encoded one by one and
-    remembered, since no merge crosses them; otherwise texts are encoded whole. Ids are given for texts that their pieces
-    spell with a blank in front, which is checked once per remembered word, and for no others."""
-
-    def __init__(self, path: str, cache_size: int = 250_000) -> None:
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+            self.a_bytes[number] = bytes(map(letters.__getitem__, entry)) if all(x in letters for x in entry) else entry.encode()
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         byte = re.compile(r"<0x([0-9A-F]{2})>")
-        self.bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
+        self.b_bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
         self.space = pieces.index(SPACE) if SPACE in pieces else None
         odd = "  a\n b  \ufb01\u2460e\u0301\t "
-        kept = b"".join(self.bytes[i] for i in self.model.encode(odd)) == (" " + odd).encode()
+        kept = b"".join(self.b_bytes[i] for i in self.b.encode(odd)) == (" " + odd).encode()
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in pieces)
-        self.by_word = kept and not crossing and self.space is not None
-        self.words = Recent(self._word, cache_size)
-        self.pattern = re.compile(r" +[^ \n]*|\n[^ \n]*")
-
-    def _spelled(self, ids: list[int], text: str) -> bytes:
-        """Ids as bytes, if they spell the text; otherwise an error."""
-        if b"".join(map(self.bytes.__getitem__, ids)) != text.encode("utf-8", "surrogatepass"):
-            raise ValueError("spelled differently")
-        return np.array(ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """A run of blanks with the word after it, or a line break with what follows; the library adds a blank."""
-        if word == " ":
-            return self._spelled([self.space], word)
-        return self._spelled(self.model.encode(word[1:]) if word[0] == " " else self.model.encode(word)[1:], word)
-
-    def encode(self, text: str) -> bytes:
-        """No bytes for a text that is empty or spelled differently."""
+        self.by_chunk = kept and not crossing and self.space is not None
+        self.byte_level, self.pattern = regex.compile(BYTE_LEVEL), re.compile(r"[ \n]+[^ \n]*")
+        self.chunks = Recent(self._chunk, cache_size)
+
+    def _whole(self, line: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
+        """Both sides' ids, if both spell the line."""
+        spelled = line.encode("utf-8", "surrogatepass")
+        if b"".join(map(self.a_bytes.__getitem__, a)) == spelled == b"".join(map(self.b_bytes.__getitem__, b)):
+            return struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)
+        return None
+
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes] | None:
+        """A run of blanks and line breaks with what follows. B's library puts a blank in front of all it gets."""
+        words = [word.encode().decode("latin-1").translate(LETTERS) for word in self.byte_level.findall(chunk)]
+        a = [token.id for word in words for token in self.a.model.tokenize(word)]
+        if chunk == " ":
+            b = [self.space]
+        else:
+            b = self.b.encode(chunk[1:]) if chunk[0] == " " else self.b.encode(chunk)[1:]
+        return self._whole(chunk, a, b) or NOTHING
+
+    def encode(self, text: str | None) -> tuple[bytes, bytes]:
+        """Ids of A for a blank and the text, of B for the text, or none if a side spells it differently."""
         if not text:
-            return b""
-        try:
-            if not self.by_word or SPACE in text:
-                return self._spelled(self.model.encode(text, num_threads=1), " " + text)
-            return b"".join(map(self.words.__getitem__, self.pattern.findall(" " + text)))
-        except ValueError:
-            return b""
+            return NOTHING
+        if self.by_chunk and not ("\t" in text or "\r" in text or unsafe(text)):
+            pairs = list(map(self.chunks.__getitem__, self.pattern.findall(" " + text)))
+            return NOTHING if NOTHING in pairs else (b"".join([x for x, _ in pairs]), b"".join([x for _, x in pairs]))
+        return self._whole(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)) or NOTHING
 
 
 @dataclass
@@ -119,21 +111,17 @@ class Aligned:
 
 
 class Aligner:
-    """Both encoders and the alignment of a batch of texts."""
+    """The alignment of batches of texts."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        self.a, self.b = PlainByteIds(path_a), PieceIds(path_b)
-        self.sizes = [np.array(list(map(len, side.bytes)), np.int64) for side in (self.a, self.b)]
+        self.encoders = Encoders(path_a, path_b)
+        self.sizes = [np.array(list(map(len, table)), np.int64) for table in (self.encoders.a_bytes, self.encoders.b_bytes)]
         # decimal ids with what follows them in the digest: within a group, before B's tokens, before the next group, at the end
-        self.most = max(len(self.a.bytes), len(self.b.bytes))
+        self.most = max(map(len, self.sizes))
         self.digits = [str(i).encode() + mark for mark in (b",", b"|", b";", b"") for i in range(self.most)]
 
     def align(self, texts: list[str | None]) -> Aligned:
-        sides = []
-        for text in texts:
-            b = self.b.encode(text or "")
-            a = self.a.spelling(" " + text) if b else b""
-            sides.append((np.frombuffer(a, "<u4"), np.frombuffer(b if a else b"", "<u4")))
+        sides = [[np.frombuffer(side, "<u4") for side in self.encoders.encode(text)] for text in texts]
         ids, docs, starts, ends = [], [], [], []
         for side in (0, 1):
             ids.append(np.concatenate([s[side] for s in sides]).astype(np.int64) if sides else np.zeros(0, np.int64))
