@@ -31,13 +31,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from signalloom.llm.store import stored
-from signalloom.llm.tokens import BYTE_LEVEL, LETTERS, Recent, unsafe
+from signalloom.llm.tokens import BYTE_LEVEL, LETTERS, unsafe
 
 #: Text bytes of a batch; one longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
 #: The space in a piece vocabulary.
 SPACE = "\u2581"
-NOTHING = (b"", b"")
 
 
 class Encoders:
@@ -61,38 +60,56 @@ class Encoders:
         byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
         self.space = pieces.index(SPACE) if SPACE in pieces else None
-        odd = "  a\n b  \ufb01\u2460e\u0301\t "
-        kept = b"".join(self.b_bytes[i] for i in self.b.encode(odd)) == (" " + odd).encode()
+        # a library that keeps every safe character spells safe texts; both merge bytes or pieces and drop nothing
+        safe = "".join(chr(c) for c in range(0x250) if not unsafe(chr(c)))
+        kept = all(self._whole(" " + t, *self._ids(t)) for t in ["  a\n b  ", safe, *safe])
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in pieces)
         self.by_chunk = kept and not crossing and self.space is not None
         self.byte_level, self.pattern = regex.compile(BYTE_LEVEL), re.compile(r"[ \n]+[^ \n]*")
-        self.chunks = Recent(self._chunk, cache_size)
+        self.size, self.chunks, self.old = cache_size, {}, {}
 
-    def _whole(self, line: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
-        """Both sides' ids, if both spell the line."""
+    def _ids(self, text: str) -> tuple[list[int], list[int]]:
+        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
+
+    def _whole(self, line: str, a: list[int], b: list[int]) -> bool:
+        """Whether both sides spell the line."""
         spelled = line.encode("utf-8", "surrogatepass")
-        if b"".join(map(self.a_bytes.__getitem__, a)) == spelled == b"".join(map(self.b_bytes.__getitem__, b)):
-            return struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)
-        return None
-
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes] | None:
-        """A run of blanks and line breaks with what follows. B's library puts a blank in front of all it gets."""
-        words = [word.encode().decode("latin-1").translate(LETTERS) for word in self.byte_level.findall(chunk)]
-        a = [token.id for word in words for token in self.a.model.tokenize(word)]
-        if chunk == " ":
-            b = [self.space]
-        else:
-            b = self.b.encode(chunk[1:]) if chunk[0] == " " else self.b.encode(chunk)[1:]
-        return self._whole(chunk, a, b) or NOTHING
-
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of A for a blank and the text, of B for the text, or none if a side spells it differently."""
-        if not text:
-            return NOTHING
-        if self.by_chunk and not ("\t" in text or "\r" in text or unsafe(text)):
-            pairs = list(map(self.chunks.__getitem__, self.pattern.findall(" " + text)))
-            return NOTHING if NOTHING in pairs else (b"".join([x for x, _ in pairs]), b"".join([x for _, x in pairs]))
-        return self._whole(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)) or NOTHING
+        return b"".join(map(self.a_bytes.__getitem__, a)) == spelled == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def _remember(self, chunks: set[str]) -> None:
+        """Put all of them into the cache, which keeps two generations: what is asked for again stays."""
+        if len(self.chunks) > self.size:
+            self.old, self.chunks = self.chunks, {}
+        new = []
+        for chunk in chunks:
+            if chunk not in self.chunks:
+                if chunk in self.old:
+                    self.chunks[chunk] = self.old[chunk]
+                else:
+                    new.append(chunk)
+        # B's library puts a blank in front of all it gets
+        found = self.b.encode([c[1:] if c[0] == " " else c for c in new], num_threads=1)
+        for chunk, b in zip(new, found, strict=True):
+            words = [chunk] if chunk[0] == " " and chunk[1:].isalpha() else self.byte_level.findall(chunk)
+            a = [token.id for word in words for token in self.a.model.tokenize(word.encode().decode("latin-1").translate(LETTERS))]
+            b = [self.space] if chunk == " " else b if chunk[0] == " " else b[1:]
+            self.chunks[chunk] = struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of A for a blank and the text, of B for the text, or none if the text is empty or a side spells it differently."""
+        cut = [self.by_chunk and bool(t) and not ("\t" in t or "\r" in t or unsafe(t)) for t in texts]
+        chunks = [self.pattern.findall(" " + t) if c else [] for t, c in zip(texts, cut, strict=True)]
+        self._remember(set().union(*chunks))
+        out = []
+        for text, own in zip(texts, chunks, strict=True):
+            if own:
+                pairs = list(map(self.chunks.__getitem__, own))
+                out.append((b"".join([x for x, _ in pairs]), b"".join([x for _, x in pairs])))
+                continue
+            a, b = self._ids(text) if text else ([], [])
+            kept = bool(text) and self._whole(" " + text, a, b)
+            out.append((struct.pack(f"<{len(a)}I", *a), struct.pack(f"<{len(b)}I", *b)) if kept else (b"", b""))
+        return out
 
 
 @dataclass
@@ -121,7 +138,7 @@ class Aligner:
         self.digits = [str(i).encode() + mark for mark in (b",", b"|", b";", b"") for i in range(self.most)]
 
     def align(self, texts: list[str | None]) -> Aligned:
-        sides = [[np.frombuffer(side, "<u4") for side in self.encoders.encode(text)] for text in texts]
+        sides = [[np.frombuffer(side, "<u4") for side in pair] for pair in self.encoders.encode(texts)]
         ids, docs, starts, ends = [], [], [], []
         for side in (0, 1):
             ids.append(np.concatenate([s[side] for s in sides]).astype(np.int64) if sides else np.zeros(0, np.int64))
