@@ -87,7 +87,7 @@ def winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-@query("op7_parity_sketch_join", oracles.NEAR_DUPLICATES)
+@query("op7_parity_sketch_join", oracles.near_duplicates_sql(4, 85, 100))
 def parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalloom.llm.paritysketch import near_duplicates
 

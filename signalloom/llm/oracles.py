@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from signalloom.llm import linkgraph, mixing
 
-NEAR_DUPLICATES = """
+def near_duplicates_sql(size: int, num: int, den: int) -> str:
+    """Components of documents by shared shingles of ``size`` words."""
+    return f"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
   FROM documents
 ), sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size} - 1], ' '))) END AS s
   FROM worded
 ), members AS (SELECT doc_id, unnest(s) AS g FROM sets),
 shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM members a JOIN members b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
   SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
-  WHERE 100 * k >= 85 * (len(x.s) + len(y.s) - k)
+  WHERE {den} * k >= {num} * (len(x.s) + len(y.s) - k)
 ), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached AS (
   SELECT doc_id, doc_id AS r FROM sets UNION SELECT e.b, reached.r FROM reached JOIN both_ways e ON e.a = reached.doc_id

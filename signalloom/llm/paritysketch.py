@@ -5,17 +5,18 @@ that differ in ``d`` shingles have sketches that differ in at most ``d`` bits, s
 symmetric difference from below, and with more than ``d`` parts some part is equal. Sizes of similar sets differ by
 a bounded ratio, so sketches are laid out, and joined, per size band.
 
-How many parts suffice. Let the least similarity be ``t = num / den``. A set of ``s`` shingles differs from any
-similar one by at most ``d(s) = floor(s * (den - num) / num)``. In a band the sketch has ``d(largest) + 1 + spare``
-parts, and a document joins on its first ``d(s) + 1 + spare`` ones; of those that both sides have, at least
-``1 + spare`` are equal for a similar pair. Parts with fewer than two set bits are weak: they are equal by chance. A
-document with at most ``spare`` weak parts leaves them out, since an equal strong part remains; one with more
-of them joins on its weak parts too, and finds any partner that has as many.
-
-Sets, not documents, are joined: documents of one shingle set are one node. A group of sets with an equal part
-streams through a task, which compares whole sketches and returns only pairs of different components that may be
-similar: at first a forest of them, at last all. Every link between components is thus found and verified on the
-shingles; pairs inside a component are not formed.
+How many parts suffice. Similar sets of ``s`` and ``t`` shingles differ in at most ``d(s, t)`` of them, a share of
+``(den - num) / (den + num)`` of ``s + t`` for the least similarity ``num / den``. The larger set's band decides the layout: it
+has ``d(largest, largest) + 1 + spare`` parts, and a set joins on the first ``d(s, its largest partner) + 1 + spare`` ones; of those
+that both sides have, at least ``1 + spare`` are equal. An empty part is equal by chance and gives no key. A set with at most
+``spare`` empty parts still has an equal part that is not empty. Where all equal parts may be empty, both sides have
+more empty ones than that, and such sets join on their first shingles in hash order as well: similar sets share
+one of the first ``s - ceil(s * num / den) + 1``.
+
+Sets, not documents, are joined: documents of one shingle set are one node. The sets of an equal part are compared by
+whole sketches, in blocks of bounded size whose pairs are rows of Spark; only pairs of different components that may be
+similar come back, at first a forest of them, at last all. Every link between components is thus found and verified
+on the shingles; pairs inside a component are not formed.
 """
 
 from __future__ import annotations
@@ -29,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm.components import connected
+from signalloom.llm.spread import spread_join
 from signalloom.llm.store import stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bits per part; a part is kept as the exclusive or of a random number per set bit.
-PART_BITS = 16
 #: Lists of documents up to this many rows (two longs each) are broadcast; longer ones are joined by shuffle.
 SMALL = 250_000
-#: Share of parts that may be weak before a document joins on weak parts too.
-SPARE = 0.15
+#: Parts beyond those that similar sets need, as a share of these: so many may be empty.
+SPARE = 0.2
+#: Sets of a block; two blocks are compared in a task at a time.
+BLOCK = 1024
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -74,45 +76,45 @@ def shingle_hashes(text: str, size: int, known: WordHashes) -> np.ndarray:
 
 
 def band_starts(num: int, den: int, most: int = 1 << 40) -> np.ndarray:
-    """First sizes of the bands; a band spans two of the ratios by which similar sizes can differ."""
+    """First sizes of the bands; a band spans the ratio by which similar sizes can differ."""
     starts = [1]
     while starts[-1] < most:
-        starts.append(max(starts[-1] + 1, -(-starts[-1] * den * den // (num * num))))
+        starts.append(max(starts[-1] + 1, -(-starts[-1] * den // num)))
     return np.array(starts, np.int64)
 
 
 def part_keys(shingles: np.ndarray, num: int, den: int, starts: np.ndarray) -> np.ndarray:
     """64-bit keys of the parts a set joins on: in its own band and, if a larger partner can be there, the next."""
     size = len(shingles)
-    differ = size * (den - num) // num
-    if not differ:  # only equal sets are similar
+    if size * (den - num) < num:  # only equal sets are similar
         return np.zeros(0, np.uint64)
+
+    def differ(s: int, t: int) -> int:
+        return (s + t) * (den - num) // (den + num)
+
     band = int(np.searchsorted(starts, size, side="right")) - 1
-    bands = [band, band + 1] if size * den >= num * int(starts[band + 1]) else [band]
-    out = []
+    partner = size * den // num
+    bands = [band, band + 1] if partner >= int(starts[band + 1]) else [band]
     place = _mixed(shingles)
+    out = []
     for b in bands:
         largest = int(starts[b + 1]) - 1
-        base = largest * (den - num) // num + 1
+        base = differ(largest, largest) + 1
         spare = int(np.ceil(SPARE * base))
-        parts, used = base + spare, min(differ + 1 + spare, base + spare)
-        part = ((place >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
-        bit = place & np.uint64((1 << PART_BITS) - 1)
-        # parity: an even number of shingles on one bit leaves it unset
-        cells, times = np.unique(part[part < used] << PART_BITS | bit[part < used].astype(np.int64), return_counts=True)
-        cells = cells[times % 2 == 1]
-        owner = cells >> PART_BITS
-        bits = np.bincount(owner, minlength=used)
-        words = np.zeros(used, np.uint64)
-        if len(cells):
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            random = _mixed((cells & ((1 << PART_BITS) - 1)).astype(np.uint64) + MIX)
-            words[owner[first]] = np.bitwise_xor.reduceat(random, first)
-        keep = bits >= 2
-        if (~keep).sum() > spare:
-            keep = np.ones(used, bool)
-        where = np.flatnonzero(keep).astype(np.uint64)
-        out.append(_mixed(_mixed(words[keep] + np.uint64(b)) ^ (where * np.uint64(0xD6E8FEB86659FD93))))
+        used = differ(size, min(partner, largest)) + 1 + spare
+        part = ((place >> np.uint64(24)) % np.uint64(base + spare)).astype(np.int64)
+        mine = np.argsort(part, kind="stable")
+        mine = mine[: np.searchsorted(part[mine], used)]
+        owner = part[mine]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
+        # parity of the bits that the part's shingles set
+        words = np.bitwise_xor.reduceat(_mixed(place[mine] + MIX), first) if len(owner) else place[:0]
+        where = owner[first].astype(np.uint64)
+        tag = _mixed(np.uint64([b + 1]))
+        out.append(_mixed(_mixed(words + tag) ^ (where * np.uint64(0xD6E8FEB86659FD93))))
+        if used - len(first) > spare:
+            prefix = np.partition(place, size - -(-size * num // den))[: size - -(-size * num // den) + 1]
+            out.append(_mixed(_mixed(prefix ^ MIX) ^ tag))
     return np.concatenate(out)
 
 
@@ -200,7 +202,7 @@ def _linked(close: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num:
     return stored(rows.select("a", "b", "x", "y").mapInPandas(verify, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles (size of its set) and component_id, the smallest doc_id that
     links reach. Two documents link when ``den`` times the shared shingles are at least ``num`` times all of both.
 
@@ -267,19 +269,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
 
     named = sets.join(components.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.select("set_id", "reader", F.coalesce("component", "set_id").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("reader").alias("component_id"))
-    of_set = named.join(lowest, "component").select("set_id", "component_id")
-    rows = base.join(of_set, "set_id", "left")
+    named = stored(named)
+    lowest = stored(named.groupBy("component").agg(F.min("reader").alias("component_id")))
+    of_set = stored(spread_join(named, lowest, "component").select("set_id", "component_id"))
+    rows = spread_join(base, of_set, "set_id")
     alone = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
 
 
 def _close(groups: DataFrame, sets: DataFrame, components: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Distinct close pairs (a < b) of all groups that several components meet in. A group streams through one task,
-    which holds its sketches and returns its close pairs alone."""
+    """Distinct close pairs (a < b) of all groups that several components meet in.
+
+    A group's sets are dealt into blocks of about ``BLOCK``; a pair of blocks, or a block with itself, is compared by one
+    task if several components meet in it. With ``forest``, blocks meet themselves and the first block alone."""
 
-    def pairs_of(group: pd.DataFrame) -> list[tuple[int, int]]:
-        return close_pairs(group.set_id.to_numpy(), group.n.to_numpy(), group.component.to_numpy(), group.sketch.tolist(), num, den, forest)
+    def pairs_of(unit: pd.DataFrame) -> list[tuple[int, int]]:
+        unit = unit.sort_values("set_id")
+        return close_pairs(unit.set_id.to_numpy(), unit.n.to_numpy(), unit.component.to_numpy(), unit.sketch.tolist(), num, den, forest)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -287,19 +293,32 @@ def _close(groups: DataFrame, sets: DataFrame, components: DataFrame, num: int,
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if not len(rows):
                 continue
-            # the last group may go on in the next batch
-            rest = rows[rows.part_key == rows.part_key.iloc[-1]]
-            found = [p for _, g in rows[: len(rows) - len(rest)].groupby("part_key", sort=False) for p in pairs_of(g)]
+            # the last unit, of at most about two blocks, may go on in the next batch
+            rest = rows[(rows[key] == rows[key].iloc[-1]).all(axis=1)]
+            found = [p for _, g in rows[: len(rows) - len(rest)].groupby(key, sort=False) for p in pairs_of(g)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
         if rest is not None:
             yield pd.DataFrame(pairs_of(rest), columns=["a", "b"], dtype="int64")
 
+    key = ["part_key", "low_block", "high_block"]
     named = groups.join(components.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.withColumn("component", F.coalesce("component", "set_id"))
-    mixed = named.groupBy("part_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    named = named.join(mixed.select("part_key"), "part_key", "left_semi").join(sets.select("set_id", "sketch"), "set_id")
-    named = named.repartition("part_key").sortWithinPartitions("part_key", "set_id")
-    return named.select("part_key", "set_id", "n", "component", "sketch").mapInPandas(compare, "a long, b long").distinct()
+    mixed = named.groupBy("part_key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high")
+    named = named.join(mixed.select("part_key", F.ceil(F.col("m") / BLOCK).alias("blocks")), "part_key")
+    named = named.withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks"))
+    small = named.where("blocks = 1").withColumn("low_block", F.col("block")).withColumn("high_block", F.col("block"))
+    many = stored(named.where("blocks > 1"))
+    blocks = many.groupBy("part_key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    x, y = (blocks.select("part_key", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "low", "high")]) for side in "xy")
+    units = x.join(y, "part_key").where("x_block <= y_block and least(x_low, y_low) <> greatest(x_high, y_high)")
+    if forest:
+        units = units.where("x_block = y_block or x_block = 0")
+    units = units.select("part_key", F.col("x_block").alias("low_block"), F.col("y_block").alias("high_block"))
+    sides = units.withColumn("block", F.explode(F.array_distinct(F.array("low_block", "high_block"))))
+    named = small.unionByName(many.join(sides, ["part_key", "block"]))
+    named = named.join(sets.select("set_id", "sketch"), "set_id")
+    named = named.repartition(*key).sortWithinPartitions(*key)
+    return named.select(*key, "set_id", "n", "component", "sketch").mapInPandas(compare, "a long, b long").distinct()
 
 
 def different(groups: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def plain_components(rows, size=4, num=85, den=100):
 
 def test_near_duplicates(docs, rows, none):
     known = [r for r in rows if r[0] is not None]
-    got = paritysketch.near_duplicates(docs.withColumnRenamed("lang", "component")).collect()
+    got = paritysketch.near_duplicates(docs.withColumnRenamed("lang", "component"), 4, 85, 100).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == plain_components(known)
     assert all(r.component_id is None for r in got if r.doc_id is None)
@@ -112,7 +112,7 @@ def test_near_duplicates_at_the_threshold(spark):
                 base[-1 - rng.randrange(min(3, size))] = f"n{rng.randrange(10**6)}"
             else:
                 base += [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 4))]
-    got = paritysketch.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = paritysketch.near_duplicates(spark.createDataFrame(rows, SCHEMA), 4, 85, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(rows)
 
 
