@@ -106,3 +106,28 @@ def test_run_stage_by_stage(spark, tmp_path, monkeypatch):
         for start in range(0, len(ids) * bool(times[r[0]]), 2048):
             want[r[0], start, zlib.crc32(ids[start : start + 2048].tobytes())] += times[r[0]]
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in out) == want
+
+
+NAMES = ["score", "Predicted", "digest", "component_id", "set_id", "epoch", "tokens", "leaf_budget", "mix_lang", "cut", "whole", "piece", "start", "length"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 91}x{i if j % 2 else 0}" for j in range(30)), "en", "src0", 0, *["mine"] * len(NAMES)) for i in range(40)]
+    rows += [(i, rows[i][1], *rows[i][2:]) for i in range(5)] + [(90, None, None, None, None, *["mine"] * len(NAMES)), (None, "", "xx", "?", 1, *["mine"] * len(NAMES))]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} string" for n in NAMES))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.schema == docs.schema, name
+        assert found.count() > 0 and all(r[n] == "mine" for r in found.collect() for n in NAMES), name
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in packed) == sorted(str(r[0]) for r in rows)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], SCHEMA)
+    some = spark.createDataFrame([(1, "a b c d e f", "en", "src0", 11), (2, None, None, None, None)], SCHEMA)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, some, str(tmp_path)).collect()) == [1, 2]
