@@ -357,34 +357,44 @@ def _(t: Inputs) -> DataFrame:
     return named.groupBy(*named.columns).agg(F.expr("count(1) AS n"))
 
 
-_STREAMS = (
-    _DIALOGS
-    + ","
-    + _FLOWS
-    + ","
-    + _MEDIA
-    + """,
+# Traffic per second meets the endpoints of calls that are live then.
+_STREAM = """
+fx_traffic AS (
+  SELECT capture_id, src_ip, src_port, dst_ip, dst_port, ts_us // 1000000 AS slot, count(*) AS packets,
+    CAST(sum(length) AS BIGINT) AS bytes, min(ts_us) AS start_us, max(ts_us) AS end_us, min(frame_number) AS first_frame
+  FROM fx_media_packets GROUP BY 1, 2, 3, 4, 5, 6
+),
+fx_live AS (
+  SELECT capture_id, call_id, start_us - 2000000 AS live_us,
+    end_us + 2000000 + CASE WHEN state = 'ESTABLISHED' THEN 1800000000 ELSE 0 END AS gone_us FROM fx_call
+),
+fx_offered AS (
+  SELECT DISTINCT m.capture_id, m.call_id, type, codec, phase, ip, port, live_us, gone_us
+  FROM fx_media m JOIN fx_live USING (capture_id, call_id) WHERE phase IN ('offer', 'answer')
+),
+fx_part AS (
+  SELECT DISTINCT m.capture_id, m.call_id, m.type, m.codec, f.src_ip, f.src_port, f.dst_ip, f.dst_port,
+    CASE WHEN f.towards = (m.phase = 'offer') THEN 'Network->UE' ELSE 'UE->Network' END AS direction,
+    f.packets, f.bytes, f.start_us, f.end_us, f.first_frame
+  FROM fx_offered m JOIN (SELECT *, dst_ip AS ip, dst_port AS port, true AS towards FROM fx_traffic
+    UNION ALL SELECT *, src_ip, src_port, false FROM fx_traffic) f
+    ON f.capture_id = m.capture_id AND f.ip = m.ip AND f.port = m.port AND f.start_us <= m.gone_us AND f.end_us >= m.live_us
+),
 fx_stream AS (
-  SELECT DISTINCT m.capture_id, m.call_id, m.type, m.codec, f.src_ip, f.src_port, f.dst_ip, f.dst_port, f.packets, f.bytes,
-    f.duration_sec, f.first_frame,
-    CASE WHEN (f.dst_ip = m.ip AND f.dst_port = m.port) = (m.phase = 'offer') THEN 'Network->UE' ELSE 'UE->Network' END AS direction
-  FROM fx_media m JOIN (
-    SELECT capture_id, src_ip, src_port, dst_ip, dst_port, packets_out AS packets, bytes_out AS bytes,
-      (end_us - start_us) / 1e6 AS duration_sec, first_frame FROM fx_flow
-    UNION ALL SELECT capture_id, dst_ip, dst_port, src_ip, src_port, packet_count - packets_out, total_bytes - bytes_out,
-      (end_us - start_us) / 1e6, first_frame FROM fx_flow) f
-    ON f.capture_id = m.capture_id AND (f.dst_ip = m.ip AND f.dst_port = m.port OR f.src_ip = m.ip AND f.src_port = m.port)
-  WHERE m.phase IN ('offer', 'answer') AND f.packets > 0
+  SELECT capture_id, call_id, type, codec, src_ip, src_port, dst_ip, dst_port, direction, CAST(sum(packets) AS BIGINT) AS packets,
+    CAST(sum(bytes) AS BIGINT) AS bytes, (max(end_us) - min(start_us)) / 1e6 AS duration_sec, min(first_frame) AS first_frame
+  FROM fx_part GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9
 ),
 fx_talk AS (
   SELECT s.* FROM fx_stream s JOIN fx_call c USING (capture_id, call_id)
   WHERE s.packets >= 10 AND c.state IN ('ESTABLISHED', 'TERMINATED')
 )"""
-)
+_STREAMS = _DIALOGS + "," + _MEDIA + "," + _STREAM
 
 
-def _streams(t: Inputs) -> DataFrame:
-    return media.media_streams(_media(t), _flows(t))
+def _streams(t: Inputs, call_table: DataFrame | None = None) -> DataFrame:
+    traffic = media.media_traffic(t.media_packets)
+    return media.media_streams(_media(t), traffic, _calls(t) if call_table is None else call_table)
 
 
 @register(
@@ -653,7 +663,7 @@ def _(t: Inputs) -> DataFrame:
 def _voice_findings(t: Inputs, calls: DataFrame) -> DataFrame:
     messages = t.sip_messages
     lines, flows = cut_lineage(media.media_lines(messages)), cut_lineage(_flows(t))
-    streams = media.media_streams(lines, flows)
+    streams = _streams(t, calls)
     presence = media.media_presence(lines, flows)
     return media.voice_findings(
         media.one_way_audio(streams, calls),
@@ -667,7 +677,7 @@ def _voice_findings(t: Inputs, calls: DataFrame) -> DataFrame:
 _VOICE = (
     _RINGBACK.replace(_DIALOGS + ",", _DIALOGS + ",", 1)
     + ","
-    + _STREAMS.split("fx_stream AS (", 1)[1].join(["\nfx_stream AS (", ""])
+    + _STREAM
     + ","
     + _CODECS.split("fx_neg AS (", 1)[1].join(["\nfx_neg AS (", ""])
     + ","
@@ -852,15 +862,19 @@ def _(t: Inputs) -> DataFrame:
 
 @register(
     "j11_streams_of_calls",
-    f"""WITH {_MEDIA}
+    f"""WITH {_DIALOGS}, {_MEDIA}
     SELECT m.capture_id, m.call_id, m.ip AS dst_ip, m.port AS dst_port, p.ssrc, count(*) AS packet_count,
       count(*) - count(DISTINCT seq) AS duplicates
-    FROM fx_rtp_packets p JOIN (SELECT DISTINCT capture_id, call_id, ip, port FROM fx_media
-        WHERE phase IN ('offer', 'answer')) m
-      ON m.capture_id = p.capture_id AND m.ip = p.dst_ip AND m.port = p.dst_port GROUP BY 1, 2, 3, 4, 5""",
+    FROM (SELECT * REPLACE (ts_us * 50 AS ts_us) FROM fx_rtp_packets) p JOIN (SELECT DISTINCT capture_id, call_id, ip, port, start_us - 2000000 AS live_us,
+        end_us + 2000000 + CASE WHEN state = 'ESTABLISHED' THEN 1800000000 ELSE 0 END AS gone_us
+        FROM fx_media JOIN fx_call USING (capture_id, call_id) WHERE phase IN ('offer', 'answer')) m
+      ON m.capture_id = p.capture_id AND m.ip = p.dst_ip AND m.port = p.dst_port AND p.ts_us BETWEEN m.live_us AND m.gone_us
+    GROUP BY 1, 2, 3, 4, 5""",
 )
 def _(t: Inputs) -> DataFrame:
-    out = rtp.streams_of_calls(t.rtp_packets.drop("call_id"), _media(t), span=SAMPLE_SPAN)
+    # in the time of the calls: an order is a second there, 20 ms in the derived packets
+    packets = t.rtp_packets.drop("call_id").withColumn("ts_us", F.expr("ts_us * 50"))
+    out = rtp.streams_of_calls(packets, _media(t), _calls(t), span=SAMPLE_SPAN)
     return out.select(
         "capture_id", "call_id", "dst_ip", "dst_port", "ssrc", "packet_count", "duplicates"
     )

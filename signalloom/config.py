@@ -37,6 +37,16 @@ class CallRules:
     ignore_challenges: bool = False
 
 
+@dataclass(frozen=True)
+class MediaRules:
+    """When media belong to a call: from ``slack_us`` before its first to as long after its last message, and for
+    ``open_us`` more if it was answered and its end was not seen."""
+
+    slack_us: int = 2_000_000
+    open_us: int = 1_800_000_000
+    slot_us: int = 1_000_000
+
+
 @dataclass(frozen=True)
 class RtpRules:
     clock_rate: int = 8000

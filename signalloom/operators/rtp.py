@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.config import CHUNK_FRAMES, RtpRules
+from signalloom.config import CHUNK_FRAMES, MediaRules, RtpRules
 from signalloom.functions.quality import estimate_mos, mos_rating
+from signalloom.operators.media import media_spans
 from signalloom.plans.ordered import with_neighbours
+from signalloom.plans.spans import overlap_join
 
 CALL = ["capture_id", "call_id"]
 STREAM = [*CALL, "ssrc"]
 ENDPOINT = ["capture_id", "dst_ip", "dst_port"]
 _RULES = RtpRules()
+_TIMES = MediaRules()
 
 
 def extended_sequence(
@@ -92,23 +95,32 @@ def rtp_streams(
     return out.withColumn("quality_rating", mos_rating(F.col("mos_lqe")))
 
 
+def packets_of_calls(
+    rtp_packets: DataFrame, media: DataFrame, call_table: DataFrame, times: MediaRules = _TIMES
+) -> DataFrame:
+    """Packets without a call, with the calls that advertised their destination and are live when they arrive."""
+    ends = media.filter("phase in ('offer', 'answer') and ip is not null and port > 0").select(
+        *CALL, F.col("ip").alias("dst_ip"), F.col("port").alias("dst_port")
+    )
+    live = ends.distinct().join(media_spans(call_table, times), CALL)
+    at = rtp_packets.withColumn("_at", F.col("ts_us"))
+    return overlap_join(at, live, ENDPOINT, ("ts_us", "_at"), ("live_us", "gone_us")).drop("_at", "live_us", "gone_us")
+
+
 def streams_of_calls(
     rtp_packets: DataFrame,
     media: DataFrame,
+    call_table: DataFrame,
     rules: RtpRules = _RULES,
     strict: bool = False,
     span: int = CHUNK_FRAMES,
+    times: MediaRules = _TIMES,
 ) -> DataFrame:
-    """Streams towards the media endpoints a call advertised, for packets without a call.
+    """Streams towards the media endpoints a call advertised, while it is live, for packets without a call.
 
-    Packets are reduced to streams per endpoint and SSRC first; only those meet the calls, so an
-    endpoint that many calls share costs no packet pairs.
-    """
-    streams = rtp_streams(rtp_packets, rules, strict, span, [*ENDPOINT, "ssrc"])
-    ends = media.filter("phase in ('offer', 'answer') and ip is not null and port > 0").select(
-        *CALL, F.col("ip").alias("dst_ip"), F.col("port").alias("dst_port")
-    )
-    return ends.distinct().join(streams, ENDPOINT)
+    An endpoint and source that later calls use again gives each of them the packets of its own time."""
+    packets = packets_of_calls(rtp_packets, media, call_table, times)
+    return rtp_streams(packets, rules, strict, span, [*ENDPOINT, "call_id", "ssrc"])
 
 
 def call_quality(streams: DataFrame, rules: RtpRules = _RULES) -> DataFrame:

@@ -43,8 +43,12 @@ def analyze_packets(store: Store, packets: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def analyze_fields(store: Store, fields: DataFrame, flow_table: DataFrame) -> dict[str, DataFrame]:
-    """Dissected rows to transactions, KPIs, anomalies, calls, voice and RAN findings, node roles."""
+def analyze_fields(
+    store: Store, fields: DataFrame, flow_table: DataFrame, packets: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Dissected rows to transactions, KPIs, anomalies, calls, voice and RAN findings, node roles.
+
+    With ``packets``, media are matched to calls second by second, else by whole flows."""
     built = store.write("built", tx_ops.build_transactions(fields))
     paired = store.write("transactions", tx_ops.pair_transactions(built))
     messages = store.write("sip_messages", tx_ops.sip_messages(fields))
@@ -53,7 +57,8 @@ def analyze_fields(store: Store, fields: DataFrame, flow_table: DataFrame) -> di
     registrations = store.write("registrations", sip.registrations(messages, dialogs))
     lines = store.write("media", media.media_lines(messages))
     presence = store.write("media_presence", media.media_presence(lines, flow_table))
-    streams = store.write("media_streams", media.media_streams(lines, flow_table))
+    traffic = media.media_traffic(packets) if packets is not None else media.flow_traffic(flow_table)
+    streams = store.write("media_streams", media.media_streams(lines, traffic, calls))
     voice = media.voice_findings(
         media.one_way_audio(streams, calls),
         media.silent_calls(streams, calls),
@@ -86,9 +91,11 @@ def analyze_fields(store: Store, fields: DataFrame, flow_table: DataFrame) -> di
     }
 
 
-def analyze_rtp(store: Store, rtp_packets: DataFrame, lines: DataFrame) -> dict[str, DataFrame]:
+def analyze_rtp(
+    store: Store, rtp_packets: DataFrame, lines: DataFrame, calls: DataFrame
+) -> dict[str, DataFrame]:
     """RTP packets to stream and call quality and the findings on it."""
-    streams = store.write("rtp_streams", rtp.streams_of_calls(rtp_packets, lines))
+    streams = store.write("rtp_streams", rtp.streams_of_calls(rtp_packets, lines, calls))
     quality = store.write("call_quality", rtp.call_quality(streams))
     return {
         "rtp_streams": streams,

@@ -157,6 +157,26 @@ SELECT concat('cap', CAST(l_suppkey % 2 AS STRING)) AS capture_id,
 FROM lineitem
 """
 
+# Media in the time of the calls above: a burst per message, on endpoints that calls offer again and again.
+TABLES["media_packets"] = f"""
+SELECT concat('cap', CAST(l_orderkey % 3 AS STRING)) AS capture_id,
+       {_FRAME} * 32 + k AS frame_number,
+       CAST(l_orderkey AS BIGINT) * 1000000
+         + CAST(l_linenumber AS BIGINT) * CAST(l_quantity * 50000 + 1000 AS BIGINT)
+         + CAST(k AS BIGINT) * CASE WHEN l_partkey % 4 = 0 THEN 500000 ELSE 20000 END AS ts_us,
+       CAST(60 + l_quantity AS INT) AS length,
+       CASE WHEN l_linenumber % 2 = 1 THEN concat('10.8.0.', CAST(l_orderkey % 9 AS STRING))
+         ELSE concat('10.0.0.', CAST(l_suppkey % 20 AS STRING)) END AS src_ip,
+       CASE WHEN l_linenumber % 2 = 1 THEN concat('10.0.0.', CAST(l_suppkey % 20 AS STRING))
+         ELSE concat('10.8.0.', CAST(l_orderkey % 9 AS STRING)) END AS dst_ip,
+       CAST(CASE WHEN l_linenumber % 2 = 1 THEN 50000 WHEN l_suppkey % 2 = 0 THEN 40000 + l_suppkey % 3
+         ELSE 20000 + l_partkey % 5 * 2 END AS INT) AS src_port,
+       CAST(CASE WHEN l_linenumber % 2 = 0 THEN 50000 WHEN l_suppkey % 2 = 0 THEN 40000 + l_suppkey % 3
+         ELSE 20000 + l_partkey % 5 * 2 END AS INT) AS dst_port
+FROM (SELECT *, EACH(CAST(l_quantity AS INT) // 2 + 1) AS k
+FROM lineitem)
+"""
+
 TABLES["rtcp_reports"] = """
 SELECT concat('cap', CAST(o_orderkey % 3 AS STRING)) AS capture_id,
        concat('call-', CAST(o_custkey % 200 AS STRING)) AS call_id,
@@ -340,11 +360,13 @@ _TOKENS = {
     "spark": [
         (r"EPOCH_US\((\w+)\)", r"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', \1)"),
         (r"ISO_TEXT\((\w+)\)", r"date_format(\1, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"),
+        (r"EACH\((.*)\) AS k", r"explode(sequence(1, CAST(\1 AS INT))) AS k"),
         (r" // ", " div "),
     ],
     "duckdb": [
         (r"EPOCH_US\((\w+)\)", r"epoch_us(\1)"),
         (r"ISO_TEXT\((\w+)\)", r"strftime(\1, '%Y-%m-%d %H:%M:%S.%f')"),
+        (r"EACH\((.*)\) AS k", r"unnest(range(1, CAST(\1 AS INT) + 1)) AS k"),
     ],
 }
 

@@ -8,6 +8,7 @@ from signalloom.plans.bands import band_aggregate
 from signalloom.plans.ordered import with_neighbours
 from signalloom.plans.quantiles import exact_percentiles
 from signalloom.plans.ranks import rows_at_ranks
+from signalloom.plans.spans import overlap_join
 
 
 def test_neighbours_across_chunks(spark):
@@ -85,3 +86,27 @@ def test_plans_have_no_cross_joins(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "SinglePartition" not in plan
+
+
+def test_overlap_join_equals_pairs(spark):
+    rng = random.Random(9)
+
+    def spans(n):
+        rows = []
+        for i in range(n):
+            begin = rng.randint(-500, 5000)
+            rows.append((rng.choice(["a", "a", "b", None]), i, begin, begin + int(10 ** rng.uniform(0, 5)) - 1))
+        return rows + [("a", n, 7, 3), ("a", n + 1, None, 9), ("a", n + 2, 9, None), ("a", n + 3, 50, 50), ("a", n + 3, 50, 50)]
+
+    left, right = spans(150), spans(120)
+    x = spark.createDataFrame(left, "k string, i long, b long, e long")
+    y = spark.createDataFrame(right, "k string, j long, u long, v long")
+    want = sorted(
+        (i, j) for k, i, b, e in left for q, j, u, v in right
+        if None not in (k, b, e, u, v) and k == q and b <= e and u <= v and b <= v and u <= e
+    )
+    for width in (1, 10, 100_000):
+        got = overlap_join(x, y, ["k"], ("b", "e"), ("u", "v"), width)
+        assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+    assert got.columns == ["k", "i", "b", "e", "j", "u", "v"]
+    assert overlap_join(x.limit(0), y, ["k"], ("b", "e"), ("u", "v")).count() == 0

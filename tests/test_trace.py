@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from signalloom.operators import media
+from signalloom.operators import media, sip
 from signalloom.plans import trace
 from signalloom.sources.sample_tables import sample_table
 
@@ -20,11 +20,11 @@ def test_staged_analyses(spark, tmp_path):
 
     packets = trace.analyze_packets(store, table("packets"))
     assert packets["flows"].count() > 0 and packets["report"].count() == 3
-    found = trace.analyze_fields(store, table("fields"), packets["flows"])
+    found = trace.analyze_fields(store, table("fields"), packets["flows"], table("media_packets"))
     assert found["transactions"].count() > 0 and found["ran_findings"].count() > 0
     assert found["node_roles"].count() > 0 and found["calls"].count() > 0
-    lines = media.media_lines(table("sip_messages"))
-    rtp = trace.analyze_rtp(store, table("rtp_packets"), lines)
+    messages = table("sip_messages")
+    rtp = trace.analyze_rtp(store, table("rtp_packets").drop("call_id"), media.media_lines(messages), sip.calls(messages))
     assert rtp["rtp_streams"].count() > 0
     planes = trace.analyze_planes(store, table("signals"), _events(table("radio_events")))
     assert planes["correlations"].count() > 0 and planes["radio_findings"].count() > 0

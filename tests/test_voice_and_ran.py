@@ -174,8 +174,49 @@ def test_one_way_audio_needs_one_direction(spark):
     rows += [there("split")] * 20 + [("10.9.9.9", 7000, "10.0.0.1", 4200)] * 20
     lines = [("c", k, "audio", "AMR", ph, ip, port) for k, (a, b) in ends.items() for ph, ip, port in (("offer", "10.0.0.1", a), ("answer", "10.9.9.9", b))]
     media = spark.createDataFrame(lines, "capture_id string, call_id string, type string, codec string, phase string, ip string, port int")
-    calls = spark.createDataFrame([("c", k, "ESTABLISHED") for k in ends], "capture_id string, call_id string, state string")
-    streams = m.media_streams(media, p.flows(packets(rows))).cache()
+    calls = spark.createDataFrame([("c", k, "ESTABLISHED", 0, 10**6) for k in ends], "capture_id string, call_id string, state string, start_us long, end_us long")
+    streams = m.media_streams(media, m.media_traffic(packets(rows)), calls).cache()
+    whole = m.media_streams(media, m.flow_traffic(p.flows(packets(rows))), calls)
+    names = sorted(set(streams.columns) - {"duration_sec", "first_frame"})
+    assert sorted(map(tuple, streams.select(names).collect())) == sorted(map(tuple, whole.select(names).collect()))
     got = {(r["call_id"], r["direction"]): r["packets"] for r in streams.groupBy("call_id", "direction").agg({"packets": "sum"}).withColumnRenamed("sum(packets)", "packets").collect()}
     assert got == {("one", "UE->Network"): 20, ("two", "UE->Network"): 20, ("two", "Network->UE"): 20, ("split", "UE->Network"): 20, ("split", "Network->UE"): 20}
     assert [r["call_id"] for r in m.one_way_audio(streams, calls).collect()] == ["one"]
+
+
+def _reused_port(spark, n):
+    """n calls of 10 s, a minute apart, on one endpoint: 20 packets towards it in the first five seconds of each."""
+    lines = [("c", f"k{i}", "audio", "AMR", "offer", "10.0.0.1", 4000) for i in range(n)]
+    media_ = spark.createDataFrame(lines, "capture_id string, call_id string, type string, codec string, phase string, ip string, port int")
+    calls = [("c", f"k{i}", "TERMINATED", i * 60_000_000, i * 60_000_000 + 10_000_000) for i in range(n)]
+    calls = spark.createDataFrame(calls, "capture_id string, call_id string, state string, start_us long, end_us long")
+    packets = [("c", i * 20 + k, i * 60_000_000 + k * 250_000, 100, "10.9.9.9", "10.0.0.1", 5000, 4000, "s", i * 20 + k, k * 160) for i in range(n) for k in range(20)]
+    names = "capture_id string, frame_number long, ts_us long, length int, src_ip string, dst_ip string, src_port int, dst_port int, ssrc string, seq int, rtp_ts long"
+    return media_, calls, spark.createDataFrame(packets, names)
+
+
+def test_media_of_a_reused_port(spark):
+    from signalloom.operators import media as m
+
+    for n in (5, 40):
+        lines, calls, packets = _reused_port(spark, n)
+        got = m.media_streams(lines, m.media_traffic(packets), calls).collect()
+        assert sorted((r["call_id"], r["packets"], r["bytes"], r["duration_sec"]) for r in got) == sorted((f"k{i}", 20, 2000, 4.75) for i in range(n))
+        streams = rtp.streams_of_calls(packets, lines, calls).collect()
+        assert sorted((r["call_id"], r["packet_count"], r["packet_loss_pct"]) for r in streams) == sorted((f"k{i}", 20, 0.0) for i in range(n))
+    # all calls judged by their own media alone
+    quiet = m.silent_calls(m.media_streams(lines, m.media_traffic(packets), calls), calls)
+    assert quiet.count() == 0
+
+
+def test_open_calls_hold_their_media(spark):
+    from signalloom.config import MediaRules
+    from signalloom.operators import media as m
+
+    lines, calls, packets = _reused_port(spark, 2)
+    calls = calls.withColumn("state", F.lit("ESTABLISHED"))
+    got = m.media_streams(lines, m.media_traffic(packets), calls, MediaRules(open_us=60_000_000))
+    assert {(r["call_id"], r["packets"]) for r in got.collect()} == {("k0", 40), ("k1", 20)}
+    nulls = packets.withColumn("ts_us", F.lit(None).cast("long"))
+    assert m.media_streams(lines, m.media_traffic(nulls), calls).count() == 0
+    assert m.media_streams(lines.limit(0), m.media_traffic(packets), calls).count() == 0
