@@ -7,13 +7,14 @@ guti, tmsi, ue_ip, cell_id and optionally src, dst, severity, procedure_label, c
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.config import CorrelationRules
 from signalloom.functions.causes import confidence_level
 from signalloom.operators.packets import optional
-from signalloom.plans.bands import band_aggregate
 
 KEY = ["trace_id"]
 _RULES = CorrelationRules()
@@ -48,81 +49,89 @@ def find_correlations(
     """The best signalling event of each radio event, lowest ``event_no`` first among equals.
 
     The confidence of a pair depends only on its strongest common identity and its time band. So per
-    identity value (and for time alone, as one more value) the lowest event within each band is
-    looked up; no pairs are formed. Nearer bands never score lower, hence the first band that holds
-    an event is the best one of a value, and the best value of the radio event wins.
+    identity value (and for time alone, as one more value) the lowest event within each band, and the
+    lowest at all, is looked up; no pairs are formed. Of a radio event's answers the most certain wins.
     """
+    ids = [kind.lower() for kind in rules.identity]
+    event = F.struct(
+        "event_no",
+        F.col("ts_us").alias("ts"),
+        F.col("type").alias("signal_type"),
+        optional(signals, "src", "string").alias("src"),
+        optional(signals, "dst", "string").alias("dst"),
+        *ids,
+    )
     events = signals.select(
-        "trace_id", "event_no", "ts_us", F.expr(_identities(rules, True)).alias("_i")
-    ).select("trace_id", "event_no", "ts_us", "_i.*")
+        "trace_id", "ts_us", event.alias("event"), F.expr(_identities(rules, True)).alias("_i")
+    ).select("trace_id", "ts_us", "event", "_i.*")
     asked = radio.select(
         "trace_id", "row_no", "ts_us", F.expr(_identities(rules, True)).alias("_i")
     ).select("trace_id", "row_no", "ts_us", "_i.*")
-
-    def within(width: int, level: int, build: DataFrame, probe: DataFrame) -> DataFrame:
-        found = band_aggregate(
-            probe, build, _VALUE, -width, width, {"event_no": ("min", F.col("event_no"))}
-        )
-        return found.filter("event_no is not null").withColumn("level", F.lit(level))
-
-    in_time = "kind = 'TIME'"
-    near = (
-        within(rules.strong_us, 0, events, asked)
-        .unionByName(within(rules.medium_us, 1, events, asked))
-        .unionByName(
-            within(rules.weak_us, 2, events.filter(in_time), asked.filter(in_time))
-        )
-        .groupBy(*_VALUE, "ts_us")
-        .agg(F.min(F.struct("level", "event_no")).alias("_near"))
-    )
-    ever = (
-        events.filter("kind <> 'TIME'").groupBy(*_VALUE).agg(F.min("event_no").alias("_ever"))
-    )
     base = " ".join(f"WHEN '{kind}' THEN {pct}" for kind, pct in rules.identity.items())
     score = (
-        "CASE WHEN kind = 'TIME' THEN CASE _near.level WHEN 0 THEN 60 WHEN 1 THEN 45"
-        " WHEN 2 THEN 30 END ELSE CASE WHEN _near.level = 0 THEN least(_base + 10, 99)"
-        " WHEN _near.level = 1 THEN least(_base + 5, 95) WHEN _ever IS NOT NULL THEN _base END END"
+        "CASE WHEN kind = 'TIME' THEN CASE band WHEN 0 THEN 60 WHEN 1 THEN 45 WHEN 2 THEN 30 END"
+        f" ELSE CASE band WHEN 0 THEN least(CASE kind {base} END + 10, 99)"
+        f" WHEN 1 THEN least(CASE kind {base} END + 5, 95) ELSE CASE kind {base} END END END"
     )
+    answers = _lowest_events(events, asked, rules).withColumn("confidence_pct", F.expr(score))
     best = (
-        asked.join(near, [*_VALUE, "ts_us"], "left")
-        .join(ever, _VALUE, "left")
-        .withColumn("_base", F.expr(f"CASE kind {base} END"))
-        .withColumn("confidence_pct", F.expr(score))
-        .withColumn(
-            "event_no",
-            # Where the medium band adds nothing to the base, all events of the value are equal.
-            F.expr(
-                "IF(kind <> 'TIME' AND _near.level = 1 AND least(_base + 5, 95) <= _base, _ever,"
-                " coalesce(_near.event_no, _ever))"
-            ),
-        )
-        .filter(F.col("confidence_pct") >= rules.min_confidence)
+        answers.filter(F.col("confidence_pct") >= rules.min_confidence)
         .groupBy("trace_id", "row_no")
-        .agg(F.min(F.struct((-F.col("confidence_pct")).alias("c"), "event_no")).alias("_b"))
-        .select(
-            "trace_id",
-            "row_no",
-            (-F.col("_b.c")).alias("confidence_pct"),
-            F.col("_b.event_no").alias("event_no"),
-        )
+        .agg(F.min(F.struct((-F.col("confidence_pct")).alias("c"), "event")).alias("_b"))
+        .select("trace_id", "row_no", (-F.col("_b.c")).alias("confidence_pct"), "_b.event")
     )
-    return _described(best, signals, radio, rules)
+    return _described(best, radio, rules)
 
 
-def _described(
-    best: DataFrame, signals: DataFrame, radio: DataFrame, rules: CorrelationRules
-) -> DataFrame:
-    ids = [kind.lower() for kind in rules.identity]
-    left = signals.select(
-        "trace_id",
-        "event_no",
-        F.col("ts_us").alias("_ts"),
-        F.col("type").alias("signal_type"),
-        optional(signals, "src", "string").alias("src"),
-        optional(signals, "dst", "string").alias("dst"),
-        *[F.col(i).alias(f"_{i}") for i in ids],
+def _lowest_events(events: DataFrame, asked: DataFrame, rules: CorrelationRules) -> DataFrame:
+    """trace_id, row_no, kind, band, event: per asked row, identity and band (0 to 2: strong to weak, the
+    latter for time alone; 3: at any time) the lowest event on either side of the asked instant.
+
+    A band of width ``2w`` covers the end of one cell of that width and the start of the next, so running minima
+    from both sides of each cell answer it. Cells of all bands nest in blocks of their common multiple: rows are
+    dealt once, by identity and block, so that a busy cell or the time of a whole trace is cut along time. The
+    lowest event at any time is found per identity first and sent to each block that asks for it.
+    """
+    widths = [2 * w for w in (rules.strong_us, rules.medium_us, rules.weak_us)]
+    size = lcm(*widths)
+
+    def cell(at: str, width: int) -> str:
+        return f"(({at} - pmod({at}, {width}L)) div {width}L)"
+
+    timed = events.filter("ts_us is not null").selectExpr(
+        *_VALUE, f"{cell('ts_us', size)} AS block", "IF(kind = 'TIME', array(0, 1, 2), array(0, 1)) AS bands", "ts_us AS at", "event"
     )
+    sides = [
+        f"IF(ts_us IS NOT NULL{only}, named_struct('band', {i}, 'onward', {onward}, 'at', ts_us {sign} {w // 2}L), NULL)"
+        for i, (w, only) in enumerate(zip(widths, ("", "", " AND kind = 'TIME'"), strict=True))
+        for onward, sign in (("true", "-"), ("false", "+"))
+    ]
+    last = f"{(1 << 63) - 1}L"
+    sides.append(f"IF(kind <> 'TIME', named_struct('band', 3, 'onward', false, 'at', {last}), NULL)")
+    asks = asked.withColumn("_a", F.expr(f"explode(array_compact(array({', '.join(sides)})))"))
+    # rows without time are spread over some blocks of their own
+    block = f"CASE WHEN _a.band < 3 THEN {cell('_a.at', size)} WHEN ts_us IS NULL THEN -1 - pmod(xxhash64(row_no), 64) ELSE {cell('ts_us', size)} END"
+    asks = asks.selectExpr(
+        *_VALUE, f"{block} AS block", "array(_a.band) AS bands", "_a.at AS at", "row_no", "_a.onward AS onward"
+    )
+    ever = events.filter("kind <> 'TIME'").groupBy(*_VALUE).agg(F.min("event").alias("event"))
+    told = asks.filter("bands[0] = 3").select(*_VALUE, "block").distinct().join(ever, _VALUE)
+    told = told.selectExpr(*_VALUE, "block", "array(3) AS bands", "-1L AS at", "event")
+
+    rows = timed.unionByName(told).unionByName(asks, allowMissingColumns=True)
+    rows = rows.repartition(*[F.col(c) for c in (*_VALUE, "block")])
+    rows = rows.withColumn("band", F.explode("bands")).drop("bands")
+    inner = " ".join(f"WHEN {i} THEN {cell('at', w)}" for i, w in enumerate(widths))
+    rows = rows.withColumn("cell", F.expr(f"CASE band {inner} END"))
+    group = Window.partitionBy(*_VALUE, "block", "band", "cell")
+    upto = F.min("event").over(group.orderBy(F.col("at").asc()))
+    onward = F.min("event").over(group.orderBy(F.col("at").desc()))
+    found = rows.select("trace_id", "kind", "band", "row_no", F.when(F.col("onward"), onward).otherwise(upto).alias("event"))
+    return found.filter("row_no is not null and event is not null")
+
+
+def _described(best: DataFrame, radio: DataFrame, rules: CorrelationRules) -> DataFrame:
+    ids = [kind.lower() for kind in rules.identity]
     right = radio.select(
         "trace_id",
         "row_no",
@@ -133,20 +142,19 @@ def _described(
         *ids,
     )
     keys = ", ".join(
-        f"IF({i} = _{i}, named_struct('key', '{i.upper()}', 'value', {i}), NULL)" for i in ids
+        f"IF({i} = event.{i}, named_struct('key', '{i.upper()}', 'value', {i}), NULL)" for i in ids
     )
-    out = best.join(left, ["trace_id", "event_no"]).join(right, ["trace_id", "row_no"])
-    out = out.withColumns(
+    out = best.join(right, ["trace_id", "row_no"]).withColumns(
         {
             "matched_keys": F.expr(f"array_compact(array({keys}))"),
-            "delta_us": F.expr("abs(ts_us - _ts)"),
+            "delta_us": F.expr("abs(ts_us - event.ts)"),
             "confidence_level": confidence_level(F.col("confidence_pct")),
         }
     )
     return out.select(
         "trace_id",
         "row_no",
-        "event_no",
+        "event.event_no",
         F.expr("coalesce(get(matched_keys, 0).key, 'TIME_PROXIMITY')").alias("match_type"),
         "matched_keys",
         "confidence_pct",
@@ -157,9 +165,9 @@ def _described(
             f" WHEN delta_us <= {rules.medium_us} THEN 'medium'"
             f" WHEN delta_us <= {rules.weak_us} THEN 'weak' ELSE 'none' END"
         ).alias("time_quality"),
-        "signal_type",
-        "src",
-        "dst",
+        "event.signal_type",
+        "event.src",
+        "event.dst",
         "event_type",
         "event_label",
         "generation",
