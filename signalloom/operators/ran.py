@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import lcm
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom import dims
@@ -10,7 +12,6 @@ from signalloom.config import RanRules
 from signalloom.functions.causes import cause_label
 from signalloom.operators.packets import optional
 from signalloom.operators.transactions import epoch_us
-from signalloom.plans.bands import band_aggregate
 
 UE = ["capture_id", "ue_key"]
 FINDING = [
@@ -207,233 +208,240 @@ def timeline_samples(events: DataFrame, n: int = 10) -> DataFrame:
     return events.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-def _with_generation(events: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings carry the generation of the timeline, which is that of its last event."""
-    last = events.groupBy(*UE).agg(
-        F.expr("max_by(generation, struct(ts_us, frame_number)) AS generation")
+def _conditions() -> dict[str, Column]:
+    """Which events the rules look at."""
+    label, cause = F.lower("procedure_label"), F.lower("cause_label")
+    squeezed = F.expr("replace(replace(lower(procedure_label), ' ', ''), '_', '')")
+    failed = dims.contains_any(label, ["failure", "cancel"]) | dims.contains_any(
+        cause, dims.HANDOVER_CAUSE_WORDS
     )
-    return findings.drop("generation").join(last, UE)
+    released = dims.contains_any(label, ["release"]) & dims.contains_any(
+        cause, ["handover", "ho", "relocation"]
+    )
+    found = {
+        "is_release": squeezed.contains("uecontextrelease"),
+        "is_radio": dims.contains_any(cause, dims.RADIO_CAUSE_WORDS),
+        "is_lost": dims.contains_any(cause, ["radio link failure", "rlf", "radio connection"]),
+        "is_prepared": dims.contains_any(label, ["handover", "relocation", "pathswitch"])
+        & dims.contains_any(label, ["preparation", "request", "required"]),
+        "is_failure": failed,
+        "is_bad": failed | released,
+        "is_crowded": dims.contains_any(cause, dims.CONGESTION_CAUSE_WORDS),
+    }
+    return {name: F.coalesce(test, F.lit(False)) for name, test in found.items()}
+
+
+def _cell(at: str, width: int) -> str:
+    return f"(({at} - pmod({at}, {width}L)) div {width}L)"
+
+
+def _dealt(events: DataFrame, rules: RanRules, kinds: set[str]) -> DataFrame:
+    """Events and their questions, dealt by UE and block of time, with the generation of the UE's last event.
+
+    ``role`` 0 is the event at its own time; 1 and 2 ask for failures from just after a handover preparation and up to
+    the end of its window; 3 asks for the events up to the end of the congestion window, whose start the event itself
+    marks. Both windows' cells nest in a block, so a UE that holds much of the trace is cut along time. The
+    generation comes from one row per UE and block, told to each block of the UE.
+    """
+    block = lcm(rules.handover_window_us, rules.congestion_window_us)
+    latest = F.max(F.struct("ts_us", "frame_number", "generation"))
+    blocks = events.groupBy(*UE, F.expr(f"{_cell('ts_us', block)} AS block")).agg(latest.alias("_last"))
+    told = blocks.select(*UE, "block", F.max("_last").over(Window.partitionBy(*UE))["generation"].alias("told"))
+    roles = ["IF(wanted, named_struct('role', 0, 'at', ts_us), NULL)"]
+    wanted = {"UE_CONTEXT_RELEASE": "is_release", "RADIO_LINK_FAILURE": "is_lost", "HANDOVER_FAILURE": "is_bad OR is_prepared"}
+    if "HANDOVER_FAILURE" in kinds:
+        ends = (1, 1), (2, rules.handover_window_us)
+        roles += [f"IF(is_prepared, named_struct('role', {r}, 'at', ts_us + {d}L), NULL)" for r, d in ends]
+    if "SIGNALING_CONGESTION" in kinds:
+        roles.append(f"named_struct('role', 3, 'at', ts_us + {rules.congestion_window_us}L)")
+    own = "true" if "SIGNALING_CONGESTION" in kinds else " OR ".join(wanted[k] for k in sorted(kinds))
+    rows = events.select(*UE, "ts_us", "frame_number", "procedure_label", "cause_label", *[c.alias(n) for n, c in _conditions().items()])
+    rows = rows.withColumn("wanted", F.expr(own)).withColumn("_r", F.expr(f"explode(array_compact(array({', '.join(roles)})))"))
+    rows = rows.drop("wanted").select("*", "_r.role", "_r.at").drop("_r").withColumn("block", F.expr(_cell("at", block)))
+    rows = rows.unionByName(told, allowMissingColumns=True).repartition(*[F.col(c) for c in (*UE, "block")])
+    whole = Window.partitionBy(*UE, "block")
+    return rows.withColumn("generation", F.max("told").over(whole)).filter("role is not null").drop("told")
+
+
+def _answered(rows: DataFrame, rules: RanRules, kinds: set[str]) -> DataFrame:
+    """Dealt rows with what their windows hold on their side."""
+    if "HANDOVER_FAILURE" in kinds:
+        hit = F.struct(F.col("at").alias("ts_us"), "frame_number", "procedure_label", "cause_label", "is_failure")
+        cells = Window.partitionBy(*UE, "block", F.expr(_cell("at", rules.handover_window_us)))
+        hits = F.min(F.when((F.col("role") == 0) & F.col("is_bad"), hit))
+        sides = {1: hits.over(cells.orderBy(F.col("at").desc())), 2: hits.over(cells.orderBy(F.col("at").asc()))}
+        rows = rows.withColumn("_hit", F.when(F.col("role") == 1, sides[1]).when(F.col("role") == 2, sides[2]))
+    if "SIGNALING_CONGESTION" in kinds:
+        cells = Window.partitionBy(*UE, "block", F.expr(_cell("at", rules.congestion_window_us)))
+        event = F.col("role") == 0
+        place = F.when(event, F.struct(F.col("at").alias("ts_us"), "frame_number"))
+        counts = [F.count(F.when(event, 1)), F.max(event & F.col("is_crowded")), F.min(place), F.max(place)]
+        for name, order in (("_on", F.col("at").desc()), ("_up", F.col("at").asc())):
+            side = F.struct(*[c.over(cells.orderBy(order)).alias(n) for c, n in zip(counts, ("n", "crowded", "first", "last"), strict=True)])
+            rows = rows.withColumn(name, F.when(F.col("role") == (0 if name == "_on" else 3), side))
+    return rows
+
+
+def _ue_findings(events: DataFrame, rules: RanRules, kinds: set[str]) -> DataFrame:
+    """Findings of the wanted kinds per UE, from one pass over its blocks of time."""
+    rows = _answered(_dealt(events, rules, kinds), rules, kinds)
+    for name, kind in (("_hit", "struct<ts_us:bigint,frame_number:bigint,procedure_label:string,cause_label:string,is_failure:boolean>"), *((n, _SIDE) for n in ("_on", "_up"))):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    tests = {
+        "UE_CONTEXT_RELEASE": "role = 0 AND is_release",
+        "RADIO_LINK_FAILURE": "role = 0 AND is_lost",
+        "HANDOVER_FAILURE": "is_prepared AND role < 3",
+        "SIGNALING_CONGESTION": "role IN (0, 3) AND ts_us IS NOT NULL",
+    }
+    named = ", ".join(f"IF({tests[k]}, '{k}', NULL)" for k in sorted(kinds))
+    rows = rows.withColumn("type", F.expr(f"explode(array_compact(array({named})))"))
+    # both sides of each window meet; a crowded instant counts once, however many events it has
+    frame = "IF(type = 'SIGNALING_CONGESTION', NULL, frame_number)"
+    met = rows.groupBy(*UE, "type", "ts_us", F.expr(f"{frame} AS frame_number")).agg(
+        F.max("generation").alias("generation"),
+        F.expr("max(procedure_label) AS procedure_label"),
+        F.expr("max(cause_label) AS cause_label"),
+        F.expr("max(is_radio) AS is_radio"),
+        F.min("_hit").alias("_hit"),
+        F.max("_on").alias("_on"),
+        F.max("_up").alias("_up"),
+    )
+    met = met.withColumn("_n", F.expr("_on.n + coalesce(_up.n, 0)")).filter(
+        "CASE type WHEN 'HANDOVER_FAILURE' THEN _hit IS NOT NULL WHEN 'UE_CONTEXT_RELEASE' THEN generation IN ('4G', '5G')"
+        f" WHEN 'SIGNALING_CONGESTION' THEN _n >= {rules.congestion_events} ELSE true END"
+    )
+    if "SIGNALING_CONGESTION" in kinds:  # the first crowded instant of each UE
+        fields = ["ts_us", "frame_number", *[c for c in met.columns if c not in {*UE, "type", "ts_us", "frame_number"}]]
+        single = "IF(type = 'SIGNALING_CONGESTION', NULL, {})"
+        keys = [F.expr(f"{single.format(c)} AS _{c}") for c in ("ts_us", "frame_number")]
+        met = met.groupBy(*UE, "type", *keys).agg(F.min(F.struct(*fields)).alias("_m")).select(*UE, "type", "_m.*")
+    seconds = "format_string('%.3f', {} / 1e6D)"
+    last = "greatest(_on.last, _up.last)"
+    forms = {
+        "UE_CONTEXT_RELEASE": (
+            "IF(is_radio, 'HIGH', 'MEDIUM')",
+            "IF(is_radio, 90, 70)",
+            "IF(is_radio, 'warning', 'info')",
+            "concat('Context released', IF(is_radio, ' for a radio cause: ', ': '), coalesce(cause_label, 'none given'))",
+            "array(concat('Frame ', frame_number, ': ', procedure_label, ' - ', coalesce(cause_label, 'None')))",
+            "ts_us",
+        ),
+        "HANDOVER_FAILURE": (
+            "IF(_hit.is_failure, 'HIGH', 'MEDIUM')",
+            "IF(_hit.is_failure, 90, 70)",
+            "IF(_hit.is_failure, 'critical', 'warning')",
+            "IF(_hit.is_failure, concat('Handover failure detected: ', coalesce(_hit.procedure_label, 'None')),"
+            " concat('Possible handover failure (release after prep): ', coalesce(_hit.cause_label, 'None')))",
+            f"IF(_hit.is_failure, array(concat('Frame ', frame_number, ': HO Preparation at ', {seconds.format('ts_us')}),"
+            f" concat('Frame ', _hit.frame_number, ': Failure at ', {seconds.format('_hit.ts_us')}, ' - ',"
+            " coalesce(_hit.cause_label, 'None'))), array(concat('Frame ', frame_number, ': HO Preparation'),"
+            " concat('Frame ', _hit.frame_number, ': UE Release with HO-related cause')))",
+            "_hit.ts_us",
+        ),
+        "RADIO_LINK_FAILURE": (
+            "'HIGH'",
+            "95",
+            "'critical'",
+            "concat('Radio link lost: ', cause_label)",
+            "array(concat('Frame ', frame_number, ': ', coalesce(procedure_label, 'None'), ' - ', cause_label))",
+            "ts_us",
+        ),
+        "SIGNALING_CONGESTION": (
+            "IF(_on.crowded OR coalesce(_up.crowded, false), 'HIGH', 'MEDIUM')",
+            "IF(_on.crowded OR coalesce(_up.crowded, false), 85, 65)",
+            "'warning'",
+            f"concat('Signaling congestion: ', _n, ' events in {rules.congestion_window_us / 1e6}s window')",
+            f"array(concat('Frames ', _on.first.frame_number, ' to ', {last}.frame_number))",
+            f"{last}.ts_us",
+        ),
+    }
+    names = ["confidence", "confidence_pct", "severity", "description", "evidence", "end_us"]
+    cases = [
+        f"CASE type {' '.join(f'WHEN {k!r} THEN {forms[k][i]}' for k in sorted(kinds))} END AS {name}" for i, name in enumerate(names)
+    ]
+    return met.selectExpr(*UE, "type", "generation", *cases, "ts_us AS start_us").select(*FINDING)
 
 
-def _finding(kind: str) -> list[str]:
-    return [f"'{kind}' AS type", "ts_us AS start_us", "ts_us AS end_us"]
+_SIDE = (
+    "struct<n:bigint,crowded:boolean,first:struct<ts_us:bigint,frame_number:bigint>,last:struct<ts_us:bigint,frame_number:bigint>>"
+)
 
 
 def context_releases(events: DataFrame) -> DataFrame:
     """UE context releases of 4G and 5G UEs; a radio-related cause raises the confidence."""
-    squeezed = F.expr("replace(replace(lower(procedure_label), ' ', ''), '_', '')")
-    hits = events.filter(squeezed.contains("uecontextrelease"))
-    radio = dims.contains_any(F.lower("cause_label"), dims.RADIO_CAUSE_WORDS)
-    hits = _with_generation(events, hits).filter("generation in ('4G', '5G')")
-    return (
-        hits.withColumn("_radio", radio)
-        .selectExpr(
-            "capture_id",
-            *_finding("UE_CONTEXT_RELEASE"),
-            "generation",
-            "IF(_radio, 'HIGH', 'MEDIUM') AS confidence",
-            "IF(_radio, 90, 70) AS confidence_pct",
-            "IF(_radio, 'warning', 'info') AS severity",
-            "concat('Context released', IF(_radio, ' for a radio cause: ', ': '),"
-            " coalesce(cause_label, 'none given')) AS description",
-            "array(concat('Frame ', frame_number, ': ', procedure_label, ' - ',"
-            " coalesce(cause_label, 'None'))) AS evidence",
-            "ue_key",
-        )
-        .select(*FINDING)
-    )
+    return _ue_findings(events, _RULES, {"UE_CONTEXT_RELEASE"})
 
 
 def handover_failures(events: DataFrame, rules: RanRules = _RULES) -> DataFrame:
     """Handover preparations followed within the window by a failure, a cancel, a handover-related
     cause or a release with one. The first such event of the UE counts."""
-    label, cause = F.lower("procedure_label"), F.lower("cause_label")
-    prepared = dims.contains_any(label, ["handover", "relocation", "pathswitch"]) & (
-        dims.contains_any(label, ["preparation", "request", "required"])
-    )
-    failed = dims.contains_any(label, ["failure", "cancel"]) | dims.contains_any(
-        cause, dims.HANDOVER_CAUSE_WORDS
-    )
-    released = dims.contains_any(label, ["release"]) & dims.contains_any(
-        cause, ["handover", "ho", "relocation"]
-    )
-    columns = [*UE, "ts_us", "frame_number", "procedure_label", "cause_label"]
-    preps = events.filter(prepared).select(*columns)
-    bad = events.filter(failed | released).select(*columns, failed.alias("is_failure"))
-    hit = F.struct("ts_us", "frame_number", "procedure_label", "cause_label", "is_failure")
-    following = band_aggregate(
-        preps, bad, UE, 1, rules.handover_window_us, {"_hit": ("min", hit)}
-    ).filter("_hit is not null")
-    found = _with_generation(events, preps.join(following, [*UE, "ts_us"]))
-    seconds = "format_string('%.3f', {} / 1e6D)"
-    return found.selectExpr(
-        "capture_id",
-        "'HANDOVER_FAILURE' AS type",
-        "generation",
-        "IF(_hit.is_failure, 'HIGH', 'MEDIUM') AS confidence",
-        "IF(_hit.is_failure, 90, 70) AS confidence_pct",
-        "IF(_hit.is_failure, 'critical', 'warning') AS severity",
-        "IF(_hit.is_failure, concat('Handover failure detected: ',"
-        " coalesce(_hit.procedure_label, 'None')),"
-        " concat('Possible handover failure (release after prep): ',"
-        " coalesce(_hit.cause_label, 'None'))) AS description",
-        "IF(_hit.is_failure, array(concat('Frame ', frame_number, ': HO Preparation at ',"
-        f" {seconds.format('ts_us')}), concat('Frame ', _hit.frame_number, ': Failure at ',"
-        f" {seconds.format('_hit.ts_us')}, ' - ', coalesce(_hit.cause_label, 'None'))),"
-        " array(concat('Frame ', frame_number, ': HO Preparation'),"
-        " concat('Frame ', _hit.frame_number, ': UE Release with HO-related cause'))) AS evidence",
-        "ts_us AS start_us",
-        "_hit.ts_us AS end_us",
-        "ue_key",
-    ).select(*FINDING)
+    return _ue_findings(events, rules, {"HANDOVER_FAILURE"})
 
 
 def radio_link_failures(events: DataFrame) -> DataFrame:
     """Events whose cause names a radio link failure."""
-    named = dims.contains_any(
-        F.lower("cause_label"), ["radio link failure", "rlf", "radio connection"]
-    )
-    return (
-        _with_generation(events, events.filter(named))
-        .selectExpr(
-            "capture_id",
-            *_finding("RADIO_LINK_FAILURE"),
-            "generation",
-            "'HIGH' AS confidence",
-            "95 AS confidence_pct",
-            "'critical' AS severity",
-            "concat('Radio link lost: ', cause_label) AS description",
-            "array(concat('Frame ', frame_number, ': ', coalesce(procedure_label, 'None'),"
-            " ' - ', cause_label)) AS evidence",
-            "ue_key",
-        )
-        .select(*FINDING)
-    )
+    return _ue_findings(events, _RULES, {"RADIO_LINK_FAILURE"})
 
 
 def signalling_congestion(events: DataFrame, rules: RanRules = _RULES) -> DataFrame:
     """The first event of each UE with enough events in the window that starts with it."""
-    crowded = dims.contains_any(F.lower("cause_label"), dims.CONGESTION_CAUSE_WORDS)
-    ahead = band_aggregate(
-        events,
-        events.withColumn("_crowded", crowded),
-        UE,
-        0,
-        rules.congestion_window_us,
-        {
-            "_n": ("sum", F.lit(1)),
-            "_crowded": ("max", F.col("_crowded")),
-            "_last": ("max", F.struct("ts_us", "frame_number")),
-            "_first": ("min", F.struct("ts_us", "frame_number")),
-        },
-    )
-    anchors = (
-        ahead.filter(F.col("_n") >= rules.congestion_events)
-        .groupBy(*UE)
-        .agg(F.min(F.struct("ts_us", "_n", "_crowded", "_first", "_last")).alias("_a"))
-    )
-    seconds = rules.congestion_window_us / 1e6
-    return (
-        _with_generation(events, anchors)
-        .selectExpr(
-            "capture_id",
-            "'SIGNALING_CONGESTION' AS type",
-            "generation",
-            "IF(_a._crowded, 'HIGH', 'MEDIUM') AS confidence",
-            "IF(_a._crowded, 85, 65) AS confidence_pct",
-            "'warning' AS severity",
-            f"concat('Signaling congestion: ', _a._n, ' events in {seconds}s window')"
-            " AS description",
-            "array(concat('Frames ', _a._first.frame_number, ' to ', _a._last.frame_number))"
-            " AS evidence",
-            "_a.ts_us AS start_us",
-            "_a._last.ts_us AS end_us",
-            "ue_key",
-        )
-        .select(*FINDING)
-    )
+    return _ue_findings(events, rules, {"SIGNALING_CONGESTION"})
 
 
-def _first_frames(rows: DataFrame, n: int = 5) -> DataFrame:
-    """Per capture: count, span and the first ``n`` frames as evidence."""
-    order = Window.partitionBy("capture_id").orderBy("ts_us", "frame_number")
+def _capture_findings(events: DataFrame, rules: RanRules, kinds: dict[str, str], n: int = 5) -> DataFrame:
+    """Findings over whole captures, with the first ``n`` frames as evidence. ``kinds`` maps names to conditions."""
+    named = ", ".join(f"IF({test}, '{kind}', NULL)" for kind, test in kinds.items())
+    rows = events.select("capture_id", "ts_us", "frame_number", F.expr(f"explode(array_compact(array({named}))) AS _kind"))
+    key = ["capture_id", "_kind"]
+    order = Window.partitionBy(*key).orderBy("ts_us", "frame_number")
     head = (
         rows.withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") <= n)
-        .groupBy("capture_id")
+        .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("_r", "frame_number"))).alias("_f"))
     )
-    spans = rows.groupBy("capture_id").agg(
-        F.expr("count(1) AS _n"),
-        F.min("ts_us").alias("start_us"),
-        F.max("ts_us").alias("end_us"),
+    spans = rows.groupBy(*key).agg(
+        F.expr("count(1) AS _n"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us")
+    )
+    forms = {
+        "abort": ("TRANSPORT_INSTABILITY", "Transport", "HIGH", 90, "critical", "concat('SCTP ABORT detected (', _n, ' events)')", "transport_global", "true"),
+        "resent": (
+            "TRANSPORT_INSTABILITY", "Transport", "MEDIUM", 70, "warning", "concat('High SCTP retransmission rate (', _n, ' retrans)')",
+            "transport_global", f"_n > {rules.retransmissions}",
+        ),
+        "paging": (
+            "PAGING_FAILURE", "Mixed", "LOW", 40, "info",
+            "concat('High paging activity (', _n, ' paging events) - may indicate UE reachability issues')", "paging_global", f"_n > {rules.paging_events}",
+        ),
+    }
+    rows = ", ".join(
+        f"IF(_kind = '{k}' AND {test}, named_struct('type', '{kind}', 'generation', '{of}', 'confidence', '{level}', 'confidence_pct', {pct},"
+        f" 'severity', '{severity}', 'description', {text}, 'ue_key', '{ue}'), NULL)"
+        for k, (kind, of, level, pct, severity, text, ue, test) in forms.items()
+        if k in kinds
     )
-    evidence = F.expr("transform(_f, x -> concat('Frame ', x.frame_number))")
-    return spans.join(head, "capture_id").withColumn("evidence", evidence)
+    found = spans.join(head, key).withColumn("evidence", F.expr("transform(_f, x -> concat('Frame ', x.frame_number))"))
+    found = found.withColumn("_x", F.expr(f"explode(array_compact(array({rows})))"))
+    return found.select("capture_id", "_x.*", "evidence", "start_us", "end_us").select(*FINDING)
+
+
+_TRANSPORT = {"abort": "protocol = 'SCTP' AND chunk_type = '6'", "resent": "protocol = 'SCTP' AND retransmission"}
+_PAGING = {"paging": "contains(lower(procedure_label), 'paging')"}
 
 
 def transport_instability(events: DataFrame, rules: RanRules = _RULES) -> DataFrame:
     """SCTP aborts (chunk type 6) and many SCTP retransmissions per capture."""
-    sctp = events.filter("protocol = 'SCTP'")
-
-    def shaped(rows: DataFrame, level: str, pct: int, severity: str, text: str) -> DataFrame:
-        return rows.selectExpr(
-            "capture_id",
-            "'TRANSPORT_INSTABILITY' AS type",
-            "'Transport' AS generation",
-            f"'{level}' AS confidence",
-            f"{pct} AS confidence_pct",
-            f"'{severity}' AS severity",
-            f"{text} AS description",
-            "evidence",
-            "start_us",
-            "end_us",
-            "'transport_global' AS ue_key",
-        )
-
-    aborts = shaped(
-        _first_frames(sctp.filter("chunk_type = '6'")),
-        "HIGH",
-        90,
-        "critical",
-        "concat('SCTP ABORT detected (', _n, ' events)')",
-    )
-    resent = shaped(
-        _first_frames(sctp.filter("retransmission")).filter(F.col("_n") > rules.retransmissions),
-        "MEDIUM",
-        70,
-        "warning",
-        "concat('High SCTP retransmission rate (', _n, ' retrans)')",
-    )
-    return aborts.unionByName(resent)
+    return _capture_findings(events, rules, _TRANSPORT)
 
 
 def paging_activity(events: DataFrame, rules: RanRules = _RULES) -> DataFrame:
     """Captures with many paging events."""
-    pages = _first_frames(events.filter(F.lower("procedure_label").contains("paging")))
-    return pages.filter(F.col("_n") > rules.paging_events).selectExpr(
-        "capture_id",
-        "'PAGING_FAILURE' AS type",
-        "'Mixed' AS generation",
-        "'LOW' AS confidence",
-        "40 AS confidence_pct",
-        "'info' AS severity",
-        "concat('High paging activity (', _n, ' paging events) - may indicate UE reachability"
-        " issues') AS description",
-        "evidence",
-        "start_us",
-        "end_us",
-        "'paging_global' AS ue_key",
-    )
+    return _capture_findings(events, rules, _PAGING)
 
 
 def ran_findings(events: DataFrame, rules: RanRules = _RULES) -> DataFrame:
-    """All RAN findings over events that carry a ``ue_key``."""
-    return (
-        context_releases(events)
-        .unionByName(handover_failures(events, rules))
-        .unionByName(radio_link_failures(events))
-        .unionByName(signalling_congestion(events, rules))
-        .unionByName(transport_instability(events, rules))
-        .unionByName(paging_activity(events, rules))
-    )
+    """All RAN findings over events that carry a ``ue_key``: one pass per UE, one per capture."""
+    kinds = {"UE_CONTEXT_RELEASE", "HANDOVER_FAILURE", "RADIO_LINK_FAILURE", "SIGNALING_CONGESTION"}
+    per_ue = _ue_findings(events, rules, kinds)
+    return per_ue.unionByName(_capture_findings(events, rules, {**_TRANSPORT, **_PAGING}))
