@@ -10,6 +10,7 @@ from signalloom.catalog import (  # noqa: F401
     ran,
     report,
     sources,
+    streams,
     transactions,
     voice,
 )

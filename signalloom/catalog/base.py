@@ -32,6 +32,10 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         return sample_table(self.spark, self.sf_dir, name)
 
+    def stream(self, name: str) -> DataFrame:
+        """The derived table as a stream."""
+        return sample_table(self.spark, self.sf_dir, name, stream=True)
+
     def stored(self, name: str) -> DataFrame:
         """The derived table written once, for queries that read it several times."""
         return cut_lineage(sample_table(self.spark, self.sf_dir, name))

@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from signalloom.streaming.replay import stream_of
+
 # Frames of the derived tables are spread wide, so that a chunk of them is wide as well.
 SAMPLE_SPAN = 1 << 46
 
@@ -379,9 +381,10 @@ def table_sql(name: str, engine: str) -> str:
     return text.strip()
 
 
-def sample_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table over the parquet files in ``sf_dir``."""
+def sample_table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A derived table over the parquet files in ``sf_dir``, or a stream of its rows."""
     text = table_sql(name, "spark")
     source = re.search(r"^FROM (\w+)", text, re.MULTILINE).group(1)
     text = re.sub(rf"^FROM {source}\b", "FROM {source}", text, flags=re.MULTILINE)
-    return spark.sql(text, source=spark.read.parquet(f"{sf_dir}/{source}.parquet"))
+    path = f"{sf_dir}/{source}.parquet"
+    return spark.sql(text, source=stream_of(spark, path) if stream else spark.read.parquet(path))
