@@ -102,7 +102,12 @@ def _(t: Inputs) -> DataFrame:
         F.col("sip_Call_ID").alias("sip.Call-ID"),
         F.col("sip_Reason").alias("sip.Reason"),
     )
-    export.write.option("header", True).option("escape", '"').partitionBy("capture_id").csv(folder)
+    # files of two headers, in another order of fields
+    wide = export.filter("`frame.number` % 2 = 0").write.option("header", True).option("escape", '"')
+    wide.partitionBy("capture_id").csv(folder)
+    names = ["sip.Reason", "sip.Call-ID", "frame.number", "pfcp.msg_type", "capture_id"]
+    turned = export.filter("`frame.number` % 2 = 1").select(*[F.col(f"`{c}`") for c in names], F.lit("x").alias("eth.type"))
+    turned.write.mode("append").option("header", True).option("escape", '"').partitionBy("capture_id").csv(folder)
     return fields.read_fields(t.spark, folder).select(
         "capture_id",
         "frame_number",
@@ -121,14 +126,16 @@ def _normalised(rows: DataFrame) -> DataFrame:
     return events.groupBy("ts_us", "event_type", "cell_id", "rsrp").agg(F.expr("count(1) AS n"))
 
 
-# Files of two delimiters in one folder.
+# Files of two delimiters in one folder, with line breaks in quotes.
 @register("s5_radio_csv", _NORMALISED)
 def _(t: Inputs) -> DataFrame:
     folder = new_folder(t.spark)
-    rows = t.radio_rows.drop("trace_id")
+    note = F.when(F.col("row_no") % 3 == 0, F.lit('first line\n\nsecond; "line", end'))
+    rows = t.radio_rows.drop("trace_id").withColumn("note", note)
     for place, sep in enumerate(";,"):
         part = rows.filter(F.col("row_no") % 2 == place).drop("row_no")
-        part.write.mode("append").option("header", True).option("sep", sep).csv(folder)
+        part = part.write.mode("append").option("header", True).option("sep", sep)
+        part.option("escape", '"').csv(folder)
     return _normalised(radio_files.read_radio_csv(t.spark, folder))
 
 

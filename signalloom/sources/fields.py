@@ -2,43 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.schemas import column_name
-
-
-def name_of_file(path: str) -> Column:
-    """Name of the current row's file: its path below ``path`` without extension, so that equal names in different
-    folders differ; the bare name where ``path`` is the file or a pattern."""
-    below = F.regexp_extract(F.col("_metadata.file_path"), rf"\Q{path.rstrip('/')}\E/(.+?)(\.[^./]*)?$", 1)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    return F.coalesce(F.nullif(below, F.lit("")), name)
+from signalloom.sources.delimited import POSITION, read_delimited, spellings
 
 
 def read_fields(spark: SparkSession, path: str) -> DataFrame:
-    """CSV exports with a header, one folder per capture (``capture_id=...``) or one file per capture.
+    """CSV exports with a header per file, one folder per capture (``capture_id=...``) or one file per capture.
 
-    The header decides which columns there are; empty values become NULL and rows without any value
-    are dropped. Column names get underscores for dots and hyphens.
+    Each file's own header decides where its columns are; files of other fields share the table by name. Empty values
+    become NULL and rows without any value are dropped. Column names get underscores for dots and hyphens.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("inferSchema", False)
-        .csv(path)
-    )
-    names = [c for c in raw.columns if c != "capture_id"]
-    capture = (
-        F.col("capture_id").cast("string")
-        if "capture_id" in raw.columns
-        else name_of_file(path)
-    )
-    columns = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(column_name(c)) for c in names]
-    rows = raw.select(capture.alias("capture_id"), *columns)
-    return rows.dropna("all", subset=[column_name(c) for c in names])
+    raw = read_delimited(spark, path, [","])
+    capture = "capture_id" if "capture_id" in raw.columns else "trace_id"
+    names = [c for c in raw.columns if c not in {"trace_id", "capture_id", *POSITION}]
+    cells = spellings([column_name(c) for c in names], lambda n: F.coalesce(*[F.nullif(F.col(f"`{c}`"), F.lit("")) for c in names if column_name(c) == n]))
+    rows = raw.select(F.col(capture).alias("capture_id"), *cells)
+    return rows.dropna("all", subset=[c for c in rows.columns if c != "capture_id"])
 
 
 def rows_of_pack(fields: DataFrame, columns: list[str]) -> DataFrame:

@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 
 from signalloom.functions.radio import tag_values
 from signalloom.operators.radio import SYNONYMS, normalize_rows, radio_summary
-from signalloom.sources.fields import name_of_file
+from signalloom.sources.delimited import name_of_file, position, read_delimited, spellings
 
-# Names of lists that hold events, delimiters, and file extensions.
+# Names of lists that hold events, and file extensions.
 EVENT_LISTS = [
     "events",
     "data",
@@ -38,20 +38,9 @@ EVENT_LISTS = [
     "items",
     "logs",
 ]
-DELIMITERS = [",", ";", "\t", "|"]
 FORMATS = {"html": "html", "htm": "html", "csv": "csv", "json": "json", "xml": "xml"}
 
 
-def _position(path: str) -> list[Column]:
-    """Trace and file of a row, and its order there: start of the file block it was read from, then its place in it."""
-    return [
-        name_of_file(path).alias("trace_id"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
-    ]
-
-
 def _numbered(rows: DataFrame) -> DataFrame:
     """Replace the position columns by one bigint that keeps the order within a trace.
 
@@ -64,58 +53,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def read_radio_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited text with a header per file; blank lines are skipped.
-
-    Per file, the header line tells the delimiter (comma, semicolon, tab or bar, whichever it has most of), and the
-    whole file the encoding: UTF-8 if all its lines are valid, else Latin-1. Files of other columns share the table;
-    what a file lacks is NULL. Only header names are read on the driver.
-    """
-    lines = spark.read.text(path).select(*_position(path), "value").filter(F.trim("value") != "")
-    order = F.struct("_block", "_at")
-    files = lines.groupBy("_file").agg(
-        F.min_by("value", order).alias("_head"),
-        F.min(order).alias("_first"),
-        F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
-    )
-
-    def decoded(column: str) -> Column:
-        latin = F.decode(F.col(column).cast("binary"), "ISO-8859-1")
-        return F.when(F.col("_utf8"), F.col(column)).otherwise(latin)
-
-    files = files.withColumn("_head", F.regexp_replace(decoded("_head"), "^\ufeff", ""))
-    bare = F.regexp_replace("_head", '"[^"]*"', "")
-    times = {d: F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS}
-    ranked = [F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, (d, n) in enumerate(times.items())]
-    files = files.withColumn("_sep", F.array_max(F.array(*ranked)))
-    width = files.agg(F.max("_sep.n")).first()[0]
-    if width is None:
-        raise ValueError(f"no rows at {path}")
-    files = files.withColumn("_sep", F.col("_sep.d"))
-    shape = ", ".join(f"_c{i} string" for i in range(width + 1))
-
-    def split(line: Column) -> Column:
-        def parts(sep: str) -> Column:
-            # as the one element of an array, so that a line is parsed once for all its cells
-            row = F.array(F.from_csv(line, shape, {"sep": sep}))
-            return F.transform(row, lambda r: F.array(*[r[f"_c{i}"] for i in range(width + 1)]))[0]
-
-        return F.coalesce(*[F.when(F.col("_sep") == d, parts(d)) for d in DELIMITERS])
-
-    files = files.withColumn("_names", F.transform(split(F.col("_head")), F.trim)).drop("_head")
-    named = files.select(F.posexplode("_names").alias("place", "name")).filter("name <> ''")
-    found = named.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()
-    rows = lines.join(files, "_file").filter(order != F.col("_first"))
-    rows = rows.withColumn("_cells", split(decoded("value")))
-    cells = _spellings([r["name"] for r in found], lambda n: F.get("_cells", (F.array_position("_names", n) - 1).cast("int")))
-    return _numbered(rows.select("trace_id", "_file", "_block", "_at", *cells))
-
-
-def _spellings(names: list[str], value: Callable[[str], Column]) -> list[Column]:
-    """One column per name; names that differ in case only are one column, the first one's."""
-    groups: dict[str, list[str]] = defaultdict(list)
-    for name in names:
-        groups[name.lower()].append(name)
-    return [F.coalesce(*map(value, same)).alias(same[0]) for same in groups.values()]
+    """Delimited text with a header per file (:func:`signalloom.sources.delimited.read_delimited`)."""
+    return _numbered(read_delimited(spark, path))
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -236,7 +175,7 @@ def _xml_rows(spark: SparkSession, path: str, paths: list[str], tag: str) -> Dat
         else:
             name = "_text" if field.name == "_VALUE" else field.name.lstrip("_")
             columns.append(ref.cast("string").alias(name))
-    return raw.select(*_position(path), *columns)
+    return raw.select(*position(path), *columns)
 
 
 class _Page(html.parser.HTMLParser):
@@ -359,7 +298,7 @@ def _wide(rows: DataFrame) -> DataFrame:
     return rows.select(
         "trace_id",
         "row_no",
-        *_spellings(found, lambda n: F.col("cells")[n]),
+        *spellings(found, lambda n: F.col("cells")[n]),
         _lower_keys(rest).alias("raw"),
     )
 
@@ -385,7 +324,7 @@ def with_known_tags(rows: DataFrame) -> DataFrame:
 
 def diagram_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their order: trace_id, _block, _at, value. Large files are split."""
-    return spark.read.text(path).select(*_position(path), "value")
+    return spark.read.text(path).select(*position(path), "value")
 
 
 def diagram_events(lines: DataFrame) -> DataFrame:
