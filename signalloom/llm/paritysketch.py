@@ -38,6 +38,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SMALL = 250_000
 #: Parts beyond those that similar sets need, as a share of these: so many may be empty.
 SPARE = 0.2
+#: One in so many groups takes part in the first round of forests.
+FEW = 16
 #: Sets of a block; two blocks are compared in a task at a time.
 BLOCK = 1024
 
@@ -260,9 +262,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     several = own.where("a <> b").select("doc_id", "a")
     links = stored(base.where("set_id is not null").join(several, "doc_id").select("a", F.col("set_id").alias("b")).where("a <> b").distinct())
     tried = links
-    # two rounds of forests join most of each group of copies; the last round leaves out no close pair
-    for last in (False, False, True):
-        close = stored(_close(groups, sets, connected(links), num, den, forest=not last).join(tried, ["a", "b"], "left_anti"))
+    # two rounds of forests join most of each group of copies: near copies share most of their parts, so a share of all
+    # groups does at first; the last round takes all groups and leaves out no close pair
+    few = groups.where(F.pmod(F.xxhash64("part_key"), F.lit(FEW)) == 0)
+    for some, forest in ((few, True), (groups, True), (groups, False)):
+        close = stored(_close(some, sets, connected(links), num, den, forest).join(tried, ["a", "b"], "left_anti"))
         found = _linked(close, sets, docs, shingle, num, den)
         tried, links = stored(tried.union(close)), stored(links.union(found))
     components = connected(links)
