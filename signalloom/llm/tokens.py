@@ -43,6 +43,12 @@ def loose(text: str) -> bool:
     return "  " in text or " \n" in text or " \t" in text or " \r" in text or text.endswith(" ")
 
 
+def merging(text: str) -> bool:
+    """Tabs, carriage returns, or line ends that may share a pre-token: the lines are then not independent. One line
+    end, or two before a letter or mark, are pre-tokens of their own."""
+    return "\t" in text or "\r" in text or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n")
+
+
 def _byte_letters() -> dict[int, str]:
     others = [b for b in range(256) if b not in PRINTABLE]
     return {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -92,40 +98,56 @@ class Recent(dict):
 
 class ByteLevelIds:
     """Token ids of whole texts for a byte-level vocabulary without normaliser, as little-endian unsigned
-    32-bit integers. ``cache_size`` bounds the remembered chunks and pre-tokens."""
+    32-bit integers. ``cache_size`` bounds the remembered chunks, chunks at line starts and other pre-tokens each."""
 
-    def __init__(self, path: str, cache_size: int = 250_000) -> None:
+    def __init__(self, path: str, cache_size: int = 300_000) -> None:
         self.tokenizer = library(path)
         self.model = self.tokenizer.model
         self.pattern = regex.compile(BYTE_LEVEL)
         self.words = Recent(self._word, cache_size)
-        self.chunks = Recent(self._chunk, cache_size)
+        self.chunks = Recent(self._after_blank, cache_size)
+        self.starts = Recent(self._at_start, cache_size)
+        self.line_end = self._word("\n")
 
     def _word(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(LETTERS)
+        letters = "Ġ" + word[1:] if word[0] == " " and word[1:].isalpha() and word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
         ids = [t.id for t in self.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
-        """A chunk after a blank; a word, or a word and one other mark, needs no pattern."""
+    def _after_blank(self, chunk: str) -> bytes:
+        """A chunk and the blank before it; a word, or a word and one other mark, needs no pattern."""
         if chunk.isalpha():
-            return self.words[" " + chunk]
+            return self._word(" " + chunk)
         word, mark = chunk[:-1], chunk[-1:]
         if mark in MARKS and word.isalpha():
-            return self.words[" " + word] + self.words[mark]
+            return self.chunks[word] + self.words[mark]
         return self._split(" " + chunk)
 
+    def _at_start(self, chunk: str) -> bytes:
+        """The same without a blank, as at the start of a line."""
+        if chunk.isalpha():
+            return self._word(chunk)
+        word, mark = chunk[:-1], chunk[-1:]
+        if mark in MARKS and word.isalpha():
+            return self.starts[word] + self.words[mark]
+        return self._split(chunk)
+
     def _split(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return self.starts[first] + b"".join(map(self.chunks.__getitem__, rest))
+
     def encode(self, text: str) -> bytes:
         if unsafe(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if loose(text):
             return self._split(text)
-        first, *rest = text.split(" ")
-        return self._split(first) + b"".join(map(self.chunks.__getitem__, rest))
+        if merging(text):
+            return self._line(text)
+        return self.line_end.join(map(self._line, text.split("\n")))
 
 
 @lru_cache(maxsize=1)

@@ -28,6 +28,12 @@ def test_ids_and_counts_are_the_librarys(text):
     assert COUNTS.count(text) == len(tokens.library(WORDS).encode(text, add_special_tokens=False).ids)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Foo", " ", "\n", "\n\n", "\t", "\r", ".", ",", "'s", "é", "12", "!", "-"]), max_size=10).map("".join))
+def test_lines_are_the_librarys(text):
+    assert np.frombuffer(BY_ID.encode(text), "<u4").tolist() == library_ids(text)
+
+
 def test_first_fit_equals_a_plain_scan():
     rng = random.Random(1)
     lengths = [rng.randint(1, 99) for _ in range(500)] + [50] * 40
