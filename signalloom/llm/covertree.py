@@ -1,9 +1,11 @@
 """Exact top-k inner products by dual-tree search over cover trees (dealt operator 9).
 
-Vectors are dealt into blocks and each block is indexed by a cover tree; the queries are dealt into blocks of their own
-and indexed too. A task holds one tree of each kind. No product of a query below node Q and a vector below node R
-exceeds ``q.r + |q| rad(R) + |r| rad(Q) + rad(Q) rad(R)`` for their centres q, r and covering radii; a pair of nodes is
-dropped when that is below the worst k-th score among Q's queries. A last step merges the blocks' best.
+Vectors are dealt to the nearest of a bounded number of pivots, cells into blocks, and each block is indexed by a cover
+tree; the queries are dealt into blocks of their own and indexed too. A task holds one tree of each kind. No product of a
+query below node Q and a vector below node R exceeds ``q.r + |q| rad(R) + |r| rad(Q) + rad(Q) rad(R)`` for their centres
+q, r and covering radii; a pair of nodes is dropped when that is below the worst k-th score among Q's queries. The same
+holds for whole blocks: each block of queries first meets the block of the highest bound, then only those
+whose bound reaches its worst k-th score so far; trees move for these pairs alone. A last step merges the blocks' best.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from signalloom.llm.store import stored
 LEAF = 48
 #: Covering radii shrink by this factor from a node to its children.
 SHRINK = 1.4
+#: Pivots of one length of vectors at most, in number and in components.
+PIVOTS, PIVOT_COMPONENTS = 1024, 1 << 20
+BLOCKS = "dim long, number long, n long, centre array<double>, radius double, tree binary"
 
 
 @dataclass
@@ -81,10 +86,10 @@ class CoverTree:
 
 class DualSearch:
     """The ``k`` best of ``data`` for each point of ``queries``: (score, id) by falling score, then rising id. A
-    point with a query's own id does not count."""
+    point with a query's own id does not count. Scores below ``floor`` may be left out."""
 
-    def __init__(self, queries: CoverTree, data: CoverTree, k: int) -> None:
-        self.q, self.r, self.k = queries, data, k
+    def __init__(self, queries: CoverTree, data: CoverTree, k: int, floor: float = -np.inf) -> None:
+        self.q, self.r, self.k, self.floor = queries, data, k, floor
         n = len(queries.points)
         self.scores = np.full((n, k), -np.inf)
         self.found = np.full((n, k), np.iinfo(np.int64).max)
@@ -99,7 +104,7 @@ class DualSearch:
         return top + 1e-9 * (np.abs(top) + 1)  # rounding never drops a pair
 
     def worst(self, q: int) -> float:
-        return float(self.scores[self.q.below(q), -1].min(initial=np.inf))
+        return max(self.floor, float(self.scores[self.q.below(q), -1].min(initial=np.inf)))
 
     def run(self) -> None:
         stack = [(0, np.array([0]))] if len(self.q.points) and len(self.r.points) else []
@@ -178,54 +183,131 @@ def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
     return rows.mapInPandas(parse, "vec_id long, dim long, vec binary")
 
 
-def top_k(
-    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block: int = 8192, query_block: int = 4096
-) -> DataFrame:
-    """For each row of ``vectors`` (vec_id, embedding) whose id is divisible by ``every``: the ``k`` other rows of the
-    highest integer inner product, ties to the smaller id, as query_id, rank (from 1), vec_id, score.
+def with_cells(rows: DataFrame, counts: dict[int, int], of: int) -> DataFrame:
+    """The rows of the lengths in ``counts`` with ``cell``, their nearest pivot. Pivots are the rows of the lowest hashes, two for
+    each ``of`` rows up to a bound; they only decide in which block a row is."""
+    pivots = {}
+    for dim, n in counts.items():
+        most = max(1, min(PIVOTS, PIVOT_COMPONENTS // max(1, dim), 2 * (-(-n // of))))
+        own = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(most).select("vec")
+        pivots[dim] = np.stack([np.frombuffer(r.vec, "<f8") for r in own.collect()])
 
-    Rows without id or vector, or with null or non-finite components, take no part; vectors of another length than
-    a query's are not compared with it. Rows of a query's own id are its own. Repeated rows count once. Products are
-    exact below 2 ** 53. Extra columns are ignored; empty input, and a query without others, give no rows.
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, some in batch.groupby("dim", sort=False):
+                centres = pivots[int(dim)]
+                points = np.stack([np.frombuffer(v, "<f8") for v in some.vec])
+                gap = (centres**2).sum(axis=1)[None, :] - 2 * (points @ centres.T)
+                yield some.assign(cell=gap.argmin(axis=1).astype(np.int64))
+
+    known = rows.where(F.col("dim").isin(list(counts)))
+    return known.mapInPandas(assign, "vec_id long, dim long, vec binary, cell long")
 
-    ``block`` and ``query_block`` bound what a task holds. Blocks are dealt by a hash of the row, so equal vectors
-    are spread; each tree of data meets each tree of queries once, and returns ``k`` rows per query."""
-    rows = stored(whole_vectors(vectors, scale).dropDuplicates(["vec_id", "vec"]))
-    mine = F.col("vec_id") % every == 0
-    counts = {r.dim: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(mine, 1)).alias("q")).where("q > 0").collect()}
 
-    def deal(size: str, of: int) -> Column:
-        """Blocks by length of the vectors; lengths with queries are few: they are listed by the driver."""
-        number = F.lit(None).cast("long")
-        for dim, row in counts.items():
-            parts = max(1, -(-row[size] // of))
-            number = F.when(F.col("dim") == dim, F.pmod(F.xxhash64("vec_id", "vec"), F.lit(parts))).otherwise(number)
-        return number
+def block_trees(cells: DataFrame, of: int) -> DataFrame:
+    """A tree per block: each cell is dealt by hash into blocks of about ``of`` rows. Beside the tree: the number of
+    rows, and a ball (centre, radius) that holds them all."""
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
         points = np.stack([np.frombuffer(v, "<f8") for v in group.vec])
+        centre = points.mean(axis=0)
+        radius = float(np.sqrt(((points - centre) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
         tree = CoverTree.build(group.vec_id.to_numpy(np.int64), points)
-        return pd.DataFrame({"dim": [int(group.dim.iloc[0])], "tree": [pickle.dumps(tree, protocol=5)]})
+        first = group.iloc[0]
+        return pd.DataFrame(
+            {"dim": [first.dim], "number": [first.number], "n": [len(group)], "centre": [centre], "radius": [radius], "tree": [pickle.dumps(tree, protocol=5)]}
+        )
+
+    # one row per pivot: a bounded list
+    sizes = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / of).alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id", "vec"), F.col("parts"))
+    dealt = cells.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("number", F.col("cell") * F.lit(1 << 40) + part)
+    return dealt.groupBy("dim", "number").applyInPandas(index, BLOCKS)
+
+
+def block_bounds(queries: DataFrame, trees: DataFrame) -> DataFrame:
+    """dim, query_number, number, bound: no product between the two blocks exceeds ``bound``. Only balls are moved; every
+    ball of queries meets every ball of data of its length once, in as many tasks as there are shuffle partitions."""
+
+    def dot(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda total, a: total + a)
+
+    parts = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = trees.select("dim", "number", "centre", "radius").withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(parts)))
+    asked = queries.select("dim", F.col("number").alias("query_number"), F.col("centre").alias("query_centre"), F.col("radius").alias("query_radius"))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    norm, query_norm = F.sqrt(dot("centre", "centre")), F.sqrt(dot("query_centre", "query_centre"))
+    bound = dot("query_centre", "centre") + query_norm * F.col("radius") + F.col("query_radius") * (norm + F.col("radius"))
+    pairs = data.join(asked, ["dim", "salt"]).withColumn("bound", bound)
+    # rounding never drops a pair
+    return pairs.select("dim", "query_number", "number", (F.col("bound") + F.lit(1e-9) * (F.abs("bound") + 1)).alias("bound"))
+
+
+def search_pairs(pairs: DataFrame, queries: DataFrame, trees: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query of each pair of blocks (dim, query_number, number, floor): dim, query_number,
+    query_id, vec_id, score. Scores below ``floor`` may be left out."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for queries, data in zip(batch.query_tree, batch.tree, strict=True):
-                found = DualSearch(pickle.loads(queries), pickle.loads(data), k)
+            for row in batch.itertuples(index=False):
+                found = DualSearch(pickle.loads(row.query_tree), pickle.loads(row.tree), k, row.floor)
                 found.run()
-                yield found.results()
-
-    known = rows.withColumn("number", deal("n", block)).where("number is not null")
-    trees = stored(known.groupBy("dim", "number").applyInPandas(index, "dim long, tree binary"))
-    asked = rows.where(mine).withColumn("number", deal("q", query_block)).where("number is not null")
-    queries = stored(asked.groupBy("dim", "number").applyInPandas(index, "dim long, tree binary"))
-    # every tree of data once for each tree of queries of its length: keys numbered on both sides
-    order = W.partitionBy("dim").orderBy(F.xxhash64("tree"), "tree")
-    queries = queries.withColumn("query_number", F.row_number().over(order)).withColumnRenamed("tree", "query_tree")
-    many = queries.groupBy("dim").agg(F.max("query_number").alias("many"))
-    pairs = trees.join(many, "dim").withColumn("query_number", F.explode(F.sequence(F.lit(1), "many")))
-    pairs = pairs.join(queries, ["dim", "query_number"]).select("query_tree", "tree")
-    best = pairs.repartition(F.xxhash64("tree", "query_tree")).mapInPandas(search, "query_id long, vec_id long, score long")
+                yield found.results().assign(dim=row.dim, query_number=row.query_number)
+
+    asked = queries.select("dim", F.col("number").alias("query_number"), F.col("tree").alias("query_tree"))
+    both = pairs.join(trees.select("dim", "number", "tree"), ["dim", "number"]).join(asked, ["dim", "query_number"])
+    both = both.repartition("dim", "number", "query_number").select("dim", "query_number", "floor", "query_tree", "tree")
+    return both.mapInPandas(search, "dim long, query_number long, query_id long, vec_id long, score long")
+
+
+def open_pairs(bounds: DataFrame, done: DataFrame, best: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The pairs that may still hold a better or equal score than what ``best`` has for some query of the block, with that
+    block's worst k-th score as ``floor``. A block where a query has fewer than ``k`` keeps all its pairs."""
+    kth = best.groupBy("dim", "query_number", "query_id").agg(F.count("*").alias("found"), F.min("score").alias("score"))
+    worst = kth.where(F.col("found") >= k).groupBy("dim", "query_number").agg(F.count("*").alias("full"), F.min("score").alias("score"))
+    floors = queries.select("dim", F.col("number").alias("query_number"), "n").join(worst, ["dim", "query_number"], "left")
+    floor = F.when(F.col("full") >= F.col("n"), F.col("score").cast("double")).otherwise(F.lit(float("-inf")))
+    floors = floors.select("dim", "query_number", floor.alias("floor"))
+    left = bounds.join(done, ["dim", "query_number", "number"], "left_anti").join(floors, ["dim", "query_number"])
+    return left.where("bound >= floor").select("dim", "query_number", "number", "floor")
+
+
+def search_blocks(rows: DataFrame, k: int, every: int, block: int, query_block: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """All candidates (query_id, vec_id, score) of the two rounds, the bounds of all pairs of blocks, and the pairs of
+    the second round; None without queries."""
+    mine = F.col("vec_id") % every == 0
+    # lengths of vectors with queries are few
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(mine, 1)).alias("q")).where("q > 0").collect()
+    if not sizes:
+        return None
+    cells = stored(with_cells(rows, {r.dim: r.n for r in sizes}, block))
+    trees, queries = stored(block_trees(cells, block)), stored(block_trees(cells.where(mine), query_block))
+    bounds = stored(block_bounds(queries, trees))
+    top = bounds.groupBy("dim", "query_number").agg(F.max(F.struct("bound", "number")).alias("top"))
+    first = top.select("dim", "query_number", F.col("top.number").alias("number"), F.lit(float("-inf")).alias("floor"))
+    best = stored(search_pairs(first, queries, trees, k))
+    rest = stored(open_pairs(bounds, first, best, queries, k))
+    found = best.unionByName(search_pairs(rest, queries, trees, k)).select("query_id", "vec_id", "score")
+    return found, bounds, rest
+
+
+def top_k(
+    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, block: int = 4096, query_block: int = 2048
+) -> DataFrame:
+    """For each row of ``vectors`` (vec_id, embedding) whose id is divisible by ``every``: the ``k`` other rows of the
+    highest integer inner product, ties to the smaller id, as query_id, rank (from 1), vec_id, score.
+
+    Rows without id or vector, or with null or non-finite components, take no part; vectors of another length than
+    a query's are not compared with it. Rows of a query's own id are its own. Repeated rows count once. Products are
+    exact below 2 ** 53. Extra columns are ignored; empty input, and a query without others, give no rows.
+
+    ``block`` and ``query_block`` bound what a task holds. Rows of one cell are dealt to its blocks by a hash, so equal
+    vectors are spread; a pair of blocks meets at most once, and returns at most ``k`` rows per query."""
+    rows = stored(whole_vectors(vectors, scale).dropDuplicates(["vec_id", "vec"]))
+    searched = search_blocks(rows, k, every, block, query_block)
+    if searched is None:
+        return rows.where("false").selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0L AS score")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = best.dropDuplicates().withColumn("rank", rank).where(F.col("rank") <= k)
+    best = searched[0].dropDuplicates().withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

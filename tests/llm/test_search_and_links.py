@@ -43,6 +43,25 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     assert covertree.top_k(table.limit(0)).count() == 0
 
 
+def test_blocks_are_pruned_on_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(24, 6)) * 2000
+    points = {i: np.floor(centres[i % 24] + rng.normal(size=6) * 20).astype(int) for i in range(4800)}
+    rows = [(i, len(v), bytearray(v.astype("<f8").tobytes())) for i, v in points.items()]
+    table = spark.createDataFrame(rows, "vec_id long, dim long, vec binary").repartition(4)
+    found, bounds, rest = covertree.search_blocks(table, 5, 50, 50, 50)
+    queries = bounds.select("query_number").distinct().count()
+    assert (queries + rest.count()) / bounds.count() < 0.2
+    best = {}
+    for r in found.distinct().collect():
+        best.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    matrix = np.stack([points[i] for i in range(4800)])
+    for i in range(0, 4800, 50):
+        scores = matrix @ matrix[i]
+        want = sorted((-int(s), j) for j, s in enumerate(scores) if j != i)[:5]
+        assert sorted(best[i])[:5] == want
+
+
 def test_url_parts_and_rules(spark):
     urls = ["https://A.Example.NET/en/1?x#y", "http://example.net/de/", "http://b.example.com/de/x", "ftp://x.org?q=/fr/", "http://x.org/fr/#a", "nothing", None, "", "http://", "http://notnet/", "http://É.org:80/fr/", "x://net/"]
     pages = spark.createDataFrame([(i, u, None, "z") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
