@@ -229,9 +229,9 @@ def reason_display(reason: Column) -> Column:
     head, cause, text = reason["protocol"], reason["cause"], reason["text"]
     unmapped = F.concat(
         shown(head),
-        F.lit(" (code: "),
+        F.lit(" "),
         shown(cause),
-        F.lit(") - Vendor-specific, see documentation"),
+        F.lit(": unlisted code of the vendor"),
     )
     return (
         F.when(vendor_label(reason).isNotNull(), vendor_label(reason))

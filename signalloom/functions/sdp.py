@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LINES = r"\r\n|\r|\n"
-_MEDIA = r"m=(audio|video) (\d+) (?:RTP/AVP|RTP/SAVP|UDP/TLS/RTP/SAVP) ([\d\s]+)"
-_ADDRESS = r"c=IN IP[46] ([\d\.:a-fA-F]+)"
-_DIRECTION = r"a=(sendrecv|sendonly|recvonly|inactive)"
-_RTPMAP = r"a=rtpmap:(\d+) ([^/]+)"
+#: Fixed values of RFC 3264 and of the RTP profiles that are read.
+DIRECTIONS = ["sendrecv", "sendonly", "recvonly", "inactive"]
+PROFILES = ["RTP/AVP", "RTP/SAVP", "UDP/TLS/RTP/SAVP"]
+_ADDRESS_LETTERS = "0123456789abcdefABCDEF.:"
 
 MEDIA_TYPE = (
     "array<struct<type:string,ip:string,port:int,rtcp_port:int,codec:string,"
@@ -17,40 +17,54 @@ MEDIA_TYPE = (
 )
 
 
-def _group(line: Column, pattern: str, index: int) -> Column:
-    return F.nullif(F.regexp_extract(line, pattern, index), F.lit(""))
+def _words(line: Column) -> Column:
+    """The words of a line; the first one starts with the type of the line, as in ``m=audio``."""
+    return F.split(F.trim(line), " +")
+
+
+def _digits(word: Column) -> Column:
+    return (word != "") & (F.translate(word, "0123456789", "") == "")
+
+
+def _fields(line: Column) -> Column:
+    """What a line says: ``ip`` of a connection line, ``direction`` and ``mapped`` (payload type and codec) of attributes,
+    ``media`` (kind, port, payload types) of an audio or video line; NULL where it says nothing of the kind."""
+    words = _words(line)
+    first, second, third = (F.get(words, F.lit(i)) for i in range(3))
+    ip = F.substring_index(third, "/", 1)
+    known = (first == "c=IN") & second.isin("IP4", "IP6") & (ip != "") & (F.translate(ip, _ADDRESS_LETTERS, "") == "")
+    attribute = F.when(first.startswith("a="), F.substr(first, F.lit(3)))
+    pt = F.when(attribute.startswith("rtpmap:"), F.substr(attribute, F.lit(8)))
+    kind = F.when(first.isin("m=audio", "m=video"), F.substr(first, F.lit(3)))
+    media = kind.isNotNull() & _digits(second) & third.isin(PROFILES) & (F.size(words) > 3)
+    types = F.filter(F.slice(words, 4, F.greatest(F.size(words), F.lit(1))), _digits)
+    return F.struct(
+        F.when(known, ip).alias("ip"),
+        F.when(attribute.isin(DIRECTIONS), attribute).alias("direction"),
+        F.when(_digits(pt) & second.isNotNull(), F.struct(pt.alias("pt"), F.substring_index(second, "/", 1).alias("codec"))).alias("mapped"),
+        F.when(media, F.struct(kind.alias("kind"), second.try_cast("int").alias("port"), types.alias("types"))).alias("media"),
+    )
 
 
 def parse_sdp(body: Column, phase: Column) -> Column:
     """Audio and video lines of an SDP body, each with the last address and direction seen before it
     and the codec of its first payload type. One pass over the lines of the row, no shuffle."""
-    lines = F.split(body, _LINES)
-    codecs = F.transform(
-        F.filter(lines, lambda line: line.rlike(_RTPMAP)),
-        lambda line: F.struct(
-            F.regexp_extract(line, _RTPMAP, 1).alias("pt"),
-            F.regexp_extract(line, _RTPMAP, 2).alias("codec"),
-        ),
-    )
+    fields = F.transform(F.split(body, _LINES), _fields)
+    codecs = F.transform(F.filter(fields, lambda f: f["mapped"].isNotNull()), lambda f: f["mapped"])
 
     def codec_of(pt: Column) -> Column:
         listed = F.try_element_at(F.filter(codecs, lambda c: c["pt"] == pt), F.lit(-1))["codec"]
         return F.coalesce(listed, F.concat(F.lit("PT-"), pt))
 
-    def media(line: Column, ip: Column, direction: Column) -> Column:
-        kind = F.regexp_extract(line, _MEDIA, 1)
-        port = F.regexp_extract(line, _MEDIA, 2).try_cast("int")
-        types = F.split(F.trim(F.regexp_extract(line, _MEDIA, 3)), r"\s+")
-        first = F.coalesce(
-            F.nullif(F.get(types, F.lit(0)), F.lit("")), F.when(kind == "audio", "0").otherwise("96")
-        )
+    def entry(media: Column, ip: Column, direction: Column) -> Column:
+        first = F.coalesce(F.get(media["types"], F.lit(0)), F.when(media["kind"] == "audio", "0").otherwise("96"))
         return F.struct(
-            kind.alias("type"),
+            media["kind"].alias("type"),
             ip.alias("ip"),
-            port.alias("port"),
-            (port + 1).alias("rtcp_port"),
+            media["port"].alias("port"),
+            (media["port"] + 1).alias("rtcp_port"),
             codec_of(first).alias("codec"),
-            types.alias("payload_types"),
+            media["types"].alias("payload_types"),
             direction.alias("direction"),
             phase.alias("phase"),
         )
@@ -61,15 +75,14 @@ def parse_sdp(body: Column, phase: Column) -> Column:
         F.array().cast(MEDIA_TYPE).alias("found"),
     )
 
-    def step(state: Column, line: Column) -> Column:
-        ip = F.coalesce(_group(line, _ADDRESS, 1), state["ip"])
-        direction = F.coalesce(_group(line, _DIRECTION, 1), state["direction"])
+    def step(state: Column, field: Column) -> Column:
+        ip, direction = (F.coalesce(field[name], state[name]) for name in ("ip", "direction"))
         found = F.when(
-            line.rlike(_MEDIA), F.array_append(state["found"], media(line, ip, direction))
+            field["media"].isNotNull(), F.array_append(state["found"], entry(field["media"], ip, direction))
         ).otherwise(state["found"])
         return F.struct(ip.alias("ip"), direction.alias("direction"), found.alias("found"))
 
-    useful = F.filter(lines, lambda line: line.rlike(r"c=IN|a=(send|recv|inac)|m=(audio|video)"))
+    useful = F.filter(fields, lambda f: F.coalesce(f["ip"], f["direction"], f["media"]["kind"]).isNotNull())
     found = F.aggregate(useful, start, step, lambda state: state["found"])
     return F.coalesce(found, F.array().cast(MEDIA_TYPE))
 
@@ -85,23 +98,16 @@ def sdp_phase(msg_type: Column, code: Column) -> Column:
 
 def parse_preconditions(body: Column) -> Column:
     """RFC 3312 lines as struct (desired, current, confirmed)."""
-    lines = F.split(F.lower(body), _LINES)
-
-    def rows(pattern: str, names: list[str]) -> Column:
-        hits = F.filter(lines, lambda line: line.rlike(pattern))
-        return F.transform(
-            hits,
-            lambda line: F.struct(
-                *[F.regexp_extract(line, pattern, i + 1).alias(n) for i, n in enumerate(names)]
-            ),
-        )
+    lines = F.transform(F.split(F.lower(body), _LINES), _words)
+
+    def rows(attribute: str, names: list[str]) -> Column:
+        hits = F.filter(lines, lambda w: (F.get(w, F.lit(0)) == f"a={attribute}:qos") & (F.size(w) > len(names)))
+        return F.transform(hits, lambda w: F.struct(*[F.get(w, F.lit(i + 1)).alias(n) for i, n in enumerate(names)]))
 
     return F.struct(
-        rows(
-            r"a=des:qos\s+(\w+)\s+(\w+)\s+(\w+)", ["strength", "status_type", "direction"]
-        ).alias("desired"),
-        rows(r"a=curr:qos\s+(\w+)\s+(\w+)", ["type", "status"]).alias("current"),
-        rows(r"a=conf:qos\s+(\w+)\s+(\w+)", ["type", "status"]).alias("confirmed"),
+        rows("des", ["strength", "status_type", "direction"]).alias("desired"),
+        rows("curr", ["type", "status"]).alias("current"),
+        rows("conf", ["type", "status"]).alias("confirmed"),
     )
 
 
@@ -123,9 +129,10 @@ def mandatory_met(parsed: Column) -> Column:
 
 def session_expires(header: Column) -> Column:
     """Struct (seconds, refresher) of a header like ``1800;refresher=uac``."""
-    pattern = r"^(\d+)(?:;refresher=(\w+))?"
-    seconds = _group(header, pattern, 1).try_cast("int")
+    parts = F.transform(F.split(header, ";"), lambda p: F.trim(p))
+    seconds = F.get(parts, F.lit(0)).try_cast("int")
+    named = F.get(F.filter(parts, lambda p: p.startswith("refresher=")), F.lit(0))
     return F.when(
         seconds.isNotNull(),
-        F.struct(seconds.alias("seconds"), _group(header, pattern, 2).alias("refresher")),
+        F.struct(seconds.alias("seconds"), F.substr(named, F.lit(len("refresher=") + 1)).alias("refresher")),
     )

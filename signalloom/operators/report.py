@@ -107,7 +107,7 @@ def capture_points(flow_table: DataFrame) -> DataFrame:
         f"WHEN {test(present, absent)} THEN {point(name, text, expected, foreign)}"
         for name, present, absent, text, expected, foreign in CAPTURE_POINTS
     )
-    unknown = point("UNKNOWN", "Capture point could not be determined", [], [])
+    unknown = point("UNKNOWN", "The protocols seen fit no known place in the network", [], [])
     out = sets.withColumn("_p", F.expr(f"CASE {cases} ELSE {unknown} END"))
     return out.select("capture_id", "observed", "_p.*")
 
