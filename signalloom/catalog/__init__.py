@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.catalog import (  # noqa: F401
+    ingest,
     lookups,
     packets,
     people,

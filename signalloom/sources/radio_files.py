@@ -57,7 +57,7 @@ def read_radio_csv(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(read_delimited(spark, path))
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: trace_id, _file and its text as page."""
     text = F.regexp_replace(F.make_valid_utf8("value"), "^\ufeff", "")
     files = spark.read.text(path, wholetext=True)
@@ -96,7 +96,7 @@ def _cells(rows: list) -> list[dict[str, str]]:
 
 def read_radio_json(spark: SparkSession, path: str) -> DataFrame:
     """A list of objects per file, or objects holding one (:func:`json_rows`). A file is read by one task."""
-    return _wide(_rows_of_pages(_whole_files(spark, path), json_rows))
+    return _wide(_rows_of_pages(whole_files(spark, path), json_rows))
 
 
 def row_element(text: str, depth: int = 3) -> str | None:
@@ -137,7 +137,7 @@ def _row_elements(spark: SparkSession, path: str) -> dict[str, list[str]]:
         for batch in batches:
             yield pd.DataFrame({"file": batch["_file"], "tag": [row_element(p) for p in batch["page"]]})
 
-    found = _whole_files(spark, path).select("_file", "page").mapInPandas(find, "file string, tag string")
+    found = whole_files(spark, path).select("_file", "page").mapInPandas(find, "file string, tag string")
     files: dict[str, list[str]] = defaultdict(list)
     for row in found.filter("tag is not null").orderBy("file").collect():
         files[row["tag"]].append(unquote(row["file"]))
@@ -306,7 +306,7 @@ def _wide(rows: DataFrame) -> DataFrame:
 def read_radio_html(spark: SparkSession, path: str) -> DataFrame:
     """HTML exports, decided page by page: script JSON or the largest table; a page without either gives the events of
     its diagram lines."""
-    rows = _rows_of_pages(_whole_files(spark, path), page_rows)
+    rows = _rows_of_pages(whole_files(spark, path), page_rows)
     events = diagram_events(diagram_lines(spark, path))
     events = events.join(rows.select("trace_id").distinct(), "trace_id", "left_anti")
     return _wide(rows).unionByName(with_known_tags(events), allowMissingColumns=True)
