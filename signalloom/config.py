@@ -50,6 +50,7 @@ class MediaRules:
 @dataclass(frozen=True)
 class RtpRules:
     clock_rate: int = 8000
+    one_wrap: bool = False
     min_packets: int = 10
     jitter_warning_ms: float = 50.0
     jitter_critical_ms: float = 100.0

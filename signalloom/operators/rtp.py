@@ -23,31 +23,47 @@ _TIMES = MediaRules()
 
 
 def extended_sequence(
-    rtp_packets: DataFrame, keys: list[str] = STREAM, span: int = CHUNK_FRAMES
+    rtp_packets: DataFrame, keys: list[str] = STREAM, span: int = CHUNK_FRAMES, one_wrap: bool = False
 ) -> DataFrame:
-    """Packets with ``_p`` (the one before in arrival order) and ``_ext``, the sequence number without wraps.
+    """Packets with ``_p`` (the one before in arrival order), ``_ext``, the sequence number without wraps, and ``_turn``,
+    the wraps since the packet before.
 
     A step of more than half the 16-bit range is a wrap, forwards or (a late packet) back. Wraps are summed inside
-    chunks of the frame number and then over chunks, of which a stream has one row each.
+    chunks of the frame number and then over chunks, of which a stream has one row each. With ``one_wrap`` a stream is
+    judged as a whole: if its numbers span more than half the range, its low ones come after its high ones.
     """
     before = F.struct("ts_us", "rtp_ts", "seq")
-    rows = rtp_packets.withColumn("_order", F.col("frame_number").cast("bigint"))
-    steps = with_neighbours(rows, keys, "_order", {"_p": ("lag", before)}, span).withColumns(
-        {
-            "_turn": F.expr(
-                "CASE WHEN seq - _p.seq < -32768 THEN 1L WHEN seq - _p.seq > 32768 THEN -1L ELSE 0L END"
-            ),
-            "_chunk": F.expr(f"_order div {span}L"),
-        }
-    )
+    turn = "CASE WHEN {0} - {1} < -32768 THEN 1L WHEN {0} - {1} > 32768 THEN -1L ELSE 0L END"
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_order")
     across = Window.partitionBy(*keys).orderBy("_chunk")
-    chunks = steps.groupBy(*keys, "_chunk").agg(F.sum("_turn").alias("_sum"))
-    chunks = chunks.withColumn("_before", F.sum("_sum").over(across) - F.col("_sum"))
+    rows = rtp_packets.withColumn("_order", F.col("frame_number").cast("bigint"))
+    rows = rows.withColumn("_chunk", F.expr(f"_order div {span}L"))
+    steps = rows.withColumn("_p", F.lag(before).over(inside)).withColumn("_turn", F.expr(turn.format("seq", "_p.seq")))
+    # the first row of a chunk follows the last one of the chunk before
+    chunks = steps.groupBy(*keys, "_chunk").agg(
+        F.min_by("seq", "_order").alias("_first"), F.max_by(before, "_order").alias("_last"), F.sum("_turn").alias("_sum")
+    )
+    chunks = chunks.withColumn("_ahead", F.lag("_last").over(across))
+    chunks = chunks.withColumn("_step", F.expr(turn.format("_first", "_ahead.seq")))
+    chunks = chunks.withColumn("_before", F.sum(F.col("_sum") + F.col("_step")).over(across) - F.col("_sum"))
     counted = steps.withColumn("_inside", F.sum("_turn").over(inside))
-    joined = counted.join(chunks.drop("_sum"), [*keys, "_chunk"])
+    joined = counted.join(chunks.drop("_first", "_last", "_sum"), [*keys, "_chunk"])
+    joined = joined.withColumns(
+        {"_turn": F.expr("IF(_p IS NULL, _step, _turn)"), "_p": F.expr("coalesce(_p, _ahead)")}
+    )
     ext = joined.withColumn("_ext", F.expr("seq + 65536L * (_before + _inside)"))
-    return ext.drop("_chunk", "_before", "_inside")
+    ext = ext.drop("_chunk", "_before", "_inside", "_ahead", "_step")
+    if not one_wrap:
+        return ext
+    ranges = rtp_packets.groupBy(*keys).agg(F.expr("max(seq) - min(seq) > 32768 AS _wrapped"))
+    late = "IF(_wrapped AND {0} < 32768, 1L, 0L)"
+    once = ext.join(ranges, keys).withColumns(
+        {
+            "_ext": F.expr(f"seq + 65536L * {late.format('seq')}"),
+            "_turn": F.expr(f"{late.format('seq')} - {late.format('_p.seq')}"),
+        }
+    )
+    return once.drop("_wrapped")
 
 
 def rtp_streams(
@@ -57,12 +73,13 @@ def rtp_streams(
     span: int = CHUNK_FRAMES,
     keys: list[str] = STREAM,
 ) -> DataFrame:
-    """Metrics per stream (call and SSRC, or other ``keys``), however often its sequence number wraps.
+    """Metrics per stream (call and SSRC, or other ``keys``), however often its sequence number wraps, or with
+    ``rules.one_wrap`` as if it wrapped once at most.
 
     Jitter and reordering follow arrival order (the order of the sequence if ``strict``). Packets are first reduced
     to one row per sequence number, which tells lost and repeated ones.
     """
-    rows = extended_sequence(rtp_packets, keys, span)
+    rows = extended_sequence(rtp_packets, keys, span, rules.one_wrap)
     if strict:
         rows = rows.withColumn("_order", F.expr("shiftleft(_ext, 31) + frame_number % 2147483648L"))
         before = F.struct("ts_us", "rtp_ts", "seq")
@@ -104,7 +121,8 @@ def packets_of_calls(
     )
     live = ends.distinct().join(media_spans(call_table, times), CALL)
     at = rtp_packets.withColumn("_at", F.col("ts_us"))
-    return overlap_join(at, live, ENDPOINT, ("ts_us", "_at"), ("live_us", "gone_us")).drop("_at", "live_us", "gone_us")
+    met = overlap_join(live, at, ENDPOINT, ("live_us", "gone_us"), ("ts_us", "_at"))
+    return met.select(*ENDPOINT, *[c for c in rtp_packets.columns if c not in ENDPOINT], "call_id")
 
 
 def streams_of_calls(
