@@ -5,7 +5,11 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from signalloom.catalog import CATALOG
+from signalloom.operators import media
+from signalloom.plans.spans import _listed, overlap_join
 from test_catalog import FOLDER, _plain, _sorted
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -26,7 +30,7 @@ def larger(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["a28_a29_rtp_streams", "a30_call_quality", "d9_quality_findings", "j4_media_streams", "j11_streams_of_calls"])
+@pytest.mark.parametrize("name", ["a28_a29_rtp_streams", "a30_call_quality", "d9_quality_findings", "j4_media_streams", "j11_streams_of_calls", "f2_call_media", "u1_voice_findings"])
 def test_query_equals_sql_on_copies(spark, larger, name):
     folder, con = larger
     frame = CATALOG[name].query(spark, folder)
@@ -36,3 +40,28 @@ def test_query_equals_sql_on_copies(spark, larger, name):
     names = [d[0] for d in result.description]
     want = [tuple(_plain(row[names.index(c)]) for c in columns) for row in result.fetchall()]
     assert want and _sorted(got) == _sorted(want)
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sdp_is_parsed_once(spark):
+    rows = spark.sql("select 'c' capture_id, id call_id, id frame_number, 'INVITE' msg_type, 0 status_code, concat('c=IN IP4 1.1.1.', id) sdp from range(3)")
+    assert _plan(media.media_lines(rows)).count("split(sdp") == 1
+    assert _plan(media.call_media(media.media_lines(rows))).count("split(sdp") == 1
+
+
+def test_parts_of_streams_are_summed_before_they_are_dealt(spark, larger):
+    plan = _plan(CATALOG["j4_media_streams"].query(spark, larger[0]))
+    keys = [line.split("functions=")[0] for line in plan.splitlines() if "Aggregate(" in line]
+    assert keys and not any("end_us" in line for line in keys)
+
+
+def test_points_are_listed_once_for_short_spans(spark):
+    rows = "select 'k' k, id * 1000000 {0}, id * 1000000 + 5 {1}, id {2} from range(200)"
+    spans, points = (spark.sql(rows.format(*names)) for names in ("beh", "uvi"))
+    met = overlap_join(spans, points, ["k"], ("b", "e"), ("u", "v"))
+    assert met.count() == 200
+    top = points.select(F.lit(0)).limit(1).scalar()
+    assert _listed(points, "u", "v", 900_000_000, top).count() == 200
