@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from signalloom.config import CorrelationRules
 from signalloom.functions.causes import confidence_level
 from signalloom.operators.packets import optional
+from signalloom.plans.deal import deal
 
 KEY = ["trace_id"]
 _RULES = CorrelationRules()
 _VALUE = ["trace_id", "kind", "value"]
+# Identities of either plane that one task looks at.
+IDENTITIES_EACH = 200_000
 
 
 def entity_time(*candidates: Column) -> Column:
@@ -119,7 +122,7 @@ def _lowest_events(events: DataFrame, asked: DataFrame, rules: CorrelationRules)
     told = told.selectExpr(*_VALUE, "block", "array(3) AS bands", "-1L AS at", "event")
 
     rows = timed.unionByName(told).unionByName(asks, allowMissingColumns=True)
-    rows = rows.repartition(*[F.col(c) for c in (*_VALUE, "block")])
+    rows = deal(rows, [F.col(c) for c in (*_VALUE, "block")], events.count() + asked.count(), IDENTITIES_EACH)
     rows = rows.withColumn("band", F.explode("bands")).drop("bands")
     inner = " ".join(f"WHEN {i} THEN {cell('at', w)}" for i, w in enumerate(widths))
     rows = rows.withColumn("cell", F.expr(f"CASE band {inner} END"))

@@ -12,6 +12,7 @@ from signalloom.config import RanRules
 from signalloom.functions.causes import cause_label
 from signalloom.operators.packets import optional
 from signalloom.operators.transactions import epoch_us
+from signalloom.plans.deal import deal
 
 UE = ["capture_id", "ue_key"]
 FINDING = [
@@ -28,6 +29,8 @@ FINDING = [
     "ue_key",
 ]
 _RULES = RanRules()
+# Events, with their questions, of one task.
+EVENTS_EACH = 100_000
 
 # Protocol, its generation, the fields that show it, its procedure field and causes.
 PACKS = [
@@ -258,7 +261,8 @@ def _dealt(events: DataFrame, rules: RanRules, kinds: set[str]) -> DataFrame:
     rows = events.select(*UE, "ts_us", "frame_number", "procedure_label", "cause_label", *[c.alias(n) for n, c in _conditions().items()])
     rows = rows.withColumn("wanted", F.expr(own)).withColumn("_r", F.expr(f"explode(array_compact(array({', '.join(roles)})))"))
     rows = rows.drop("wanted").select("*", "_r.role", "_r.at").drop("_r").withColumn("block", F.expr(_cell("at", block)))
-    rows = rows.unionByName(told, allowMissingColumns=True).repartition(*[F.col(c) for c in (*UE, "block")])
+    rows = rows.unionByName(told, allowMissingColumns=True)
+    rows = deal(rows, [F.col(c) for c in (*UE, "block")], events.count(), EVENTS_EACH)
     whole = Window.partitionBy(*UE, "block")
     return rows.withColumn("generation", F.max("told").over(whole)).filter("role is not null").drop("told")
 

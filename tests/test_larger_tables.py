@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalloom.catalog import CATALOG
-from signalloom.operators import media
+from signalloom.operators import correlate, media, ran
+from signalloom.plans.deal import deal
 from signalloom.plans.spans import _listed, overlap_join
 from test_catalog import FOLDER, _plain, _sorted
 
@@ -65,3 +66,19 @@ def test_points_are_listed_once_for_short_spans(spark):
     assert met.count() == 200
     top = points.select(F.lit(0)).limit(1).scalar()
     assert _listed(points, "u", "v", 900_000_000, top).count() == 200
+
+
+def test_many_rows_are_dealt_into_parts_by_their_number(spark):
+    rows = spark.range(5000).withColumn("k", F.col("id") % 700)
+    assert deal(rows, [F.col("k")], 5000, 100).rdd.getNumPartitions() == 50
+    assert deal(rows, [F.col("k")], 5000, 4000).rdd.getNumPartitions() == 8
+    assert sorted(r["id"] for r in deal(rows, [F.col("k")], 5000, 5000).collect()) == list(range(5000))
+
+
+def test_rules_and_correlations_hold_over_many_parts(spark, monkeypatch):
+    names = ["d21_ran_findings", "j10_correlations"]
+    few = [_sorted(tuple(map(str, r)) for r in CATALOG[n].query(spark, FOLDER).collect()) for n in names]
+    monkeypatch.setattr(ran, "EVENTS_EACH", 30)
+    monkeypatch.setattr(correlate, "IDENTITIES_EACH", 100)
+    many = [_sorted(tuple(map(str, r)) for r in CATALOG[n].query(spark, FOLDER).collect()) for n in names]
+    assert few[0] and few[1] and few == many
