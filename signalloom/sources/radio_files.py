@@ -99,45 +99,112 @@ def read_radio_json(spark: SparkSession, path: str) -> DataFrame:
     return _wide(_rows_of_pages(whole_files(spark, path), json_rows))
 
 
+class _Rows:
+    """Finds the row element (:func:`row_element`) of an XML text that comes in pieces."""
+
+    def __init__(self, depth: int) -> None:
+        self._depth = depth
+        self._opened: list[tuple[int, Counter]] = []
+        self._best = (1, 0, None)
+        self._seen = 0
+        self._bad = False
+        self._parser = expat.ParserCreate()
+        self._parser.StartElementHandler, self._parser.EndElementHandler = self._start, self._end
+
+    def _start(self, tag: str, _: dict) -> None:
+        self._seen += 1
+        # what is deeper than any row is not counted
+        if self._opened and len(self._opened) <= self._depth + 1:
+            self._opened[-1][1][tag] += 1
+        self._opened.append((self._seen, Counter()))
+
+    def _end(self, _: str) -> None:
+        at, children = self._opened.pop()
+        if len(self._opened) <= self._depth and children:
+            tag, times = children.most_common(1)[0]
+            if times >= 2:
+                self._best = max(self._best, (times, -at, tag), key=lambda b: b[:2])
+
+    def feed(self, text: str, last: bool = False) -> None:
+        if not self._bad:
+            try:
+                self._parser.Parse(text.encode(), last)
+            except expat.ExpatError:
+                self._bad = True
+
+    def found(self) -> str | None:
+        self.feed("", True)
+        return None if self._bad else self._best[2]
+
+
 def row_element(text: str, depth: int = 3) -> str | None:
     """The element repeated most often below one parent, at most ``depth`` levels under the root; of equal ones that
     of the outer or earlier parent. None if nothing repeats or the text is no XML."""
-    parser = expat.ParserCreate()
-    opened: list[tuple[int, Counter]] = []
-    best = (1, 0, None)
-    seen = 0
-
-    def start(tag: str, _: dict) -> None:
-        nonlocal seen
-        seen += 1
-        if opened:
-            opened[-1][1][tag] += 1
-        opened.append((seen, Counter()))
-
-    def end(_: str) -> None:
-        nonlocal best
-        at, children = opened.pop()
-        if len(opened) <= depth and children:
-            tag, times = children.most_common(1)[0]
-            if times >= 2:
-                best = max(best, (times, -at, tag), key=lambda b: b[:2])
+    rows = _Rows(depth)
+    rows.feed(text)
+    return rows.found()
 
-    parser.StartElementHandler, parser.EndElementHandler = start, end
-    try:
-        parser.Parse(text.encode(), True)
-    except expat.ExpatError:
-        return None
-    return best[2]
+
+# Characters of one piece of an XML text.
+PIECE = 16_384
+
+
+def _xml_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """XML files in pieces of some KB: _file, _block, _at, piece. Files are read in blocks and split behind tags, so a
+    piece is a run of tags; ``>`` stands before each tag's rest, and what ends the file is told by ``_at``."""
+    tags = spark.read.text(path, lineSep=">").select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.make_valid_utf8("value").alias("value"),
+    )
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, at, held, size = None, 0, [], 0
+        for batch in batches:
+            out = []
+            for file, block, value in zip(batch["_file"], batch["_block"], batch["value"], strict=True):
+                if held and (place != (file, block) or size > PIECE):
+                    out.append((*place, at, ">".join(held)))
+                    at, held, size = at + 1, [], 0
+                if place != (file, block):
+                    place, at = (file, block), 0
+                held.append(value)
+                size += len(value) + 1
+            if out:
+                yield pd.DataFrame(out, columns=["_file", "_block", "_at", "piece"])
+        if held:
+            yield pd.DataFrame([(*place, at, ">".join(held))], columns=["_file", "_block", "_at", "piece"])
+
+    return tags.mapInPandas(gather, "_file string, _block long, _at long, piece string")
 
 
 def _row_elements(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files by their row element; names only reach the driver."""
+    """Files by their row element; names only reach the driver. A file passes one task piece by piece."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"file": batch["_file"], "tag": [row_element(p) for p in batch["page"]]})
+        file, rows, end = None, None, ""
 
-    found = whole_files(spark, path).select("_file", "page").mapInPandas(find, "file string, tag string")
+        def named() -> pd.DataFrame:
+            # the last tag of a file that ends with it has lost its end
+            if end.rpartition(">")[2].lstrip().startswith("<"):
+                rows.feed(">")
+            return pd.DataFrame({"file": [file], "tag": [rows.found()]})
+
+        for batch in batches:
+            for name, piece in zip(batch["_file"], batch["piece"], strict=True):
+                if name != file:
+                    if rows:
+                        yield named()
+                    file, rows, end = name, _Rows(3), ""
+                    rows.feed(piece.removeprefix("\ufeff"))
+                else:
+                    rows.feed(">" + piece)
+                end = piece
+        if rows:
+            yield named()
+
+    pieces = _xml_pieces(spark, path).repartition("_file").sortWithinPartitions("_file", "_block", "_at")
+    found = pieces.select("_file", "piece").mapInPandas(find, "file string, tag string")
     files: dict[str, list[str]] = defaultdict(list)
     for row in found.filter("tag is not null").orderBy("file").collect():
         files[row["tag"]].append(unquote(row["file"]))

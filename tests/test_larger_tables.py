@@ -11,6 +11,7 @@ from signalloom.catalog import CATALOG
 from signalloom.operators import correlate, media, ran
 from signalloom.plans.deal import deal
 from signalloom.plans.spans import _listed, overlap_join
+from signalloom.sources import radio_files
 from test_catalog import FOLDER, _plain, _sorted
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -82,3 +83,17 @@ def test_rules_and_correlations_hold_over_many_parts(spark, monkeypatch):
     monkeypatch.setattr(correlate, "IDENTITIES_EACH", 100)
     many = [_sorted(tuple(map(str, r)) for r in CATALOG[n].query(spark, FOLDER).collect()) for n in names]
     assert few[0] and few[1] and few == many
+
+
+def test_xml_rows_are_found_piece_by_piece(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(radio_files, "PIECE", 40)
+    row = "<ev><name>a &gt; b</name><cell id='1'/></ev>"
+    texts = {"a": f"<log>{row * 300}</log>", "b": f"﻿<?xml version='1.0'?>\n<r><x>{row * 3}</x>text > more</r>\n", "c": "<log><ev>", "d": "<r><row/><row/></r> <!-- e -->", "e": "none", "f": f"<log>{row * 2}</log>x"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    found = radio_files._row_elements(spark, str(tmp_path))
+    got = {file.rsplit("/", 1)[1][0]: tag for tag, files in found.items() for file in files}
+    want = {name: radio_files.row_element(text.removeprefix("﻿")) for name, text in texts.items()}
+    assert got == {name: tag for name, tag in want.items() if tag} == {"a": "ev", "b": "ev", "d": "row"}
+    pieces = radio_files._xml_pieces(spark, str(tmp_path)).filter("_file like '%a.xml'")
+    assert max(len(r["piece"]) for r in pieces.collect()) < 100
