@@ -51,3 +51,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and continue from it. Unlike after :func:`cut_lineage` its size is
+    known to the plans that read it, and they read only the columns they need."""
+    path = new_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
