@@ -296,9 +296,7 @@ def _(t: Inputs) -> DataFrame:
       FROM fx_paired GROUP BY 1) USING (capture_id)""",
 )
 def _(t: Inputs) -> DataFrame:
-    paired = _paired(t)
-    out = ops.temporal_summary(ops.temporal_anomalies(paired), paired)
-    return out.select(
+    return ops.temporal_summary(_paired(t)).select(
         "capture_id",
         "total_anomalies",
         "critical_count",

@@ -1,5 +1,6 @@
 """Steps that read their input once, however many results they need from it."""
 
+from signalloom.operators import transactions as ops
 from signalloom.sources.delimited import POSITION, read_delimited
 
 
@@ -17,3 +18,30 @@ def test_delimited_text_is_read_once(spark, tmp_path):
     got = sorted((r["trace_id"], r["id"], r["né"], r['n"x'], r["a\nb"]) for r in rows.collect())
     assert got == [("a", "1", "two\nlines", "ü", None), ("a", "2", "b", None, None), ("b", "3", None, None, "x\ny")]
     assert set(POSITION) < set(rows.columns)
+
+
+def test_summary_of_anomalies_pairs_once(spark):
+    rows = [
+        ("c", 1, 0, "PFCP", "m", None, None, "1", "s", "a", "b", False),
+        ("c", 2, 1_200_000, "PFCP", "m", "1", None, "1", "s", "b", "a", False),  # a warning, as is the 95th percentile
+        ("c", 3, 0, "GTPv2-C", "m", None, None, "1", "s", "a", "b", True),
+        ("c", 4, 0, "GTPv2-C", "m", None, None, "2", "s", "a", "b", True),  # two timeouts, and a storm
+        ("d", 5, 0, "PFCP", "m", None, None, "1", "s", "a", "b", None),
+        ("d", 6, 10, "PFCP", "m", "1", None, "1", "s", "b", "a", None),
+        ("d", 7, 0, "SIP", "m", None, None, None, None, "a", "b", None),
+    ]
+    schema = "capture_id string, frame_number long, ts_us long, protocol string, message_type string, cause string, cause_label string, seq string, sess_id string, src string, dst string, retransmission boolean"
+    paired = ops.pair_transactions(spark.createDataFrame(rows, schema))
+    summary = ops.temporal_summary(paired)
+    assert "Window" not in _plan(summary.select("timeout_count"))
+    names = ["total_anomalies", "critical_count", "warning_count", "timeout_count", "retransmission_count", "protocols_analyzed"]
+    got = {r["capture_id"]: tuple(r[n] for n in names) for r in summary.collect()}
+    assert got == {"c": (5, 2, 3, 2, 2, ["PFCP"]), "d": (0, 0, 0, 0, 0, ["PFCP"])}
+    severities = sorted((r["capture_id"], r["severity"]) for r in ops.temporal_anomalies(paired).collect())
+    assert severities == [("c", "critical")] * 2 + [("c", "warning")] * 3
+
+
+def test_pairing_carries_only_what_is_read(spark):
+    rows = spark.range(4).selectExpr("'c' capture_id", "id frame_number", "id ts_us", "'PFCP' protocol", "'m' message_type", "'1' cause", "'wide label' cause_label", "'1' seq", "'s' sess_id", "'a' src", "'b' dst")
+    plan = ops.pair_transactions(rows.repartition(2)).select("latency_us")._jdf.queryExecution().optimizedPlan().toString()
+    assert "latency_us" in plan and "wide label" not in plan
