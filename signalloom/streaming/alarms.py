@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,42 +24,52 @@ _RULES = RanRules()
 
 
 class _Unanswered(StatefulProcessor):
-    """Rows of one key, kept from the oldest request that is not decided yet."""
+    """Rows of one key, kept from the oldest request that is not decided yet. What comes at once is one entry of the state:
+    rows of frame, time, due time and kind, as the bytes of an array."""
+
+    REQUEST, ANSWER, TOLD = range(3)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "frame long, ts long, answer boolean, due long")
+        self.rows = handle.getListState("rows", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = []
+        first = []
         for batch in rows:
-            found = batch[["frame_number", "ts_us", "answer", "due_us"]]
-            self.rows.appendList([(int(f), int(t), bool(a), int(d)) for f, t, a, d in found.itertuples(index=False)])
-            due += batch.due_us[~batch.answer.astype(bool)].tolist()
-        if due:
-            self.handle.registerTimer(-(-int(min(due)) // 1000))
+            kind = np.where(batch.answer.to_numpy(dtype=bool), self.ANSWER, self.REQUEST)
+            found = np.column_stack([batch[c].to_numpy(dtype="<i8") for c in ("frame_number", "ts_us", "due_us")] + [kind])
+            self.rows.appendValue((found.astype("<i8").tobytes(),))
+            due = found[kind == self.REQUEST, 2]
+            if len(due):
+                first.append(int(due.min()))
+        if first:
+            self.handle.registerTimer(-(-min(first) // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.rows.get())
-        lost, open_ = [], []
-        for i, (frame, ts, answer, due) in enumerate(rows):
-            if answer:
-                continue
-            after = rows[i + 1] if i + 1 < len(rows) else None
-            if due > now:
-                open_.append((i, due))
-            elif after is None or not after[2] or after[1] > due:
-                lost.append((frame, ts, due))
-        if open_:
-            self.rows.put(rows[open_[0][0] :])
-            self.handle.registerTimer(-(-min(d for _, d in open_) // 1000))
+        kept = [np.frombuffer(r[0], dtype="<i8").reshape(-1, 4) for r in self.rows.get()]
+        if not kept:
+            return
+        rows = np.concatenate(kept)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        frame, ts, due, kind = rows.T
+        asked = kind == self.REQUEST
+        waits = asked & (due > now)
+        answered = np.zeros(len(rows), dtype=bool)
+        answered[:-1] = (kind[1:] == self.ANSWER) & (ts[1:] <= due[:-1])
+        lost = asked & ~waits & ~answered
+        if waits.any():
+            # requests that are decided stay between the others, but are not told again
+            rest = rows.copy()
+            rest[asked & ~waits, 3] = self.TOLD
+            self.rows.put([(rest[waits.argmax() :].tobytes(),)])
+            self.handle.registerTimer(-(-int(due[waits].min()) // 1000))
         else:
             self.rows.clear()
-        names = dict(zip(REQUEST_KEY, key, strict=True))
-        if lost:
-            alarm = pd.DataFrame(lost, columns=["frame_number", "ts_us", "due_us"])
+        if lost.any():
+            names = dict(zip(REQUEST_KEY, key, strict=True))
+            alarm = pd.DataFrame({"frame_number": frame[lost], "ts_us": ts[lost], "due_us": due[lost]})
             yield alarm.assign(capture_id=names["capture_id"], protocol=names["protocol"])[
                 ["capture_id", "protocol", "frame_number", "ts_us", "due_us"]
             ]

@@ -1,7 +1,11 @@
 """Steps that read their input once, however many results they need from it."""
 
+import pandas as pd
+
 from signalloom.operators import transactions as ops
 from signalloom.sources.delimited import POSITION, read_delimited
+from signalloom.streaming import alarms
+from signalloom.streaming.replay import replayed
 
 
 def _plan(frame):
@@ -45,3 +49,39 @@ def test_pairing_carries_only_what_is_read(spark):
     rows = spark.range(4).selectExpr("'c' capture_id", "id frame_number", "id ts_us", "'PFCP' protocol", "'m' message_type", "'1' cause", "'wide label' cause_label", "'1' seq", "'s' sess_id", "'a' src", "'b' dst")
     plan = ops.pair_transactions(rows.repartition(2)).select("latency_us")._jdf.queryExecution().optimizedPlan().toString()
     assert "latency_us" in plan and "wide label" not in plan
+
+
+class _Entries(list):
+    appendValue = list.append  # noqa: N815
+    appendList = list.extend  # noqa: N815
+
+
+class _Handle:
+    def __init__(self):
+        self.state, self.timers = _Entries(), []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.state
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_rows_that_come_at_once_are_one_entry_of_the_state():
+    alarm, handle = alarms._Unanswered(), _Handle()
+    alarm.init(handle)
+    rows = pd.DataFrame({"frame_number": range(1000), "ts_us": range(1000), "answer": [False] * 1000, "due_us": range(5000, 6000)})
+    list(alarm.handleInputRows(("c",), iter([rows, rows.assign(answer=True)]), None))
+    assert len(handle.state) == 2 and handle.timers == [5]
+
+
+def test_a_request_is_told_once_among_frames_out_of_time_order(spark, tmp_path):
+    second = 1_000_000
+    schema = "capture_id string, frame_number long, ts_us long, protocol string, message_type string, cause string, cause_label string, seq string, sess_id string, src string, dst string"
+    times = [[(1, 110, "1"), (2, 100, "1")], [(3, 117.5, "2")], [(4, 130, "3")]]
+    for i, part in enumerate(times):
+        rows = [("c", f, int(s * second), "PFCP", "Req", None, None, q, None, "a", "b") for f, s, q in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = replayed(alarms.unanswered_alarms(stream)).collect()
+    assert sorted((r["frame_number"], r["due_us"] // second) for r in got) == [(1, 115), (2, 105)]
