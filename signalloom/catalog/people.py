@@ -7,7 +7,7 @@ from signalloom.catalog.base import Inputs, joined, register
 from signalloom.catalog.packets import _CLASSIFIED, _classified
 from signalloom.operators import nodes
 from signalloom.operators import subscribers as ops
-from signalloom.session import cut_lineage
+from signalloom.session import stored
 from signalloom.sources.sample_tables import SAMPLE_SPAN
 
 _IDS = """
@@ -115,7 +115,12 @@ fx_end AS (SELECT capture_id, src AS ip, dst AS peer, protocol, true AS sent FRO
 def _node_transactions(t: Inputs) -> DataFrame:
     from signalloom.operators.transactions import build_transactions
 
-    return cut_lineage(build_transactions(t.fields))
+    return build_transactions(t.fields)
+
+
+def _stored_nodes(t: Inputs) -> DataFrame:
+    """What the node operators read of the transactions, written once for queries that read it several times."""
+    return stored(_node_transactions(t).select("capture_id", "frame_number", "protocol", "message_type", "src", "dst", "diameter_app"))
 
 
 @register("a36_role_votes", f"WITH {_VOTES} SELECT * FROM fx_votes")
@@ -136,7 +141,7 @@ def _(t: Inputs) -> DataFrame:
     FROM fx_end GROUP BY 1, 2""",
 )
 def _(t: Inputs) -> DataFrame:
-    return nodes.node_evidence(_node_transactions(t)).select(
+    return nodes.node_evidence(_stored_nodes(t)).select(
         "capture_id", "ip", joined("protocols"), "messages_sent", "messages_received", "peers"
     )
 
@@ -152,7 +157,7 @@ def _(t: Inputs) -> DataFrame:
     SELECT DISTINCT capture_id, ip FROM fx_end WHERE (capture_id, ip) NOT IN (SELECT (capture_id, ip) FROM fx_role)""",
 )
 def _(t: Inputs) -> DataFrame:
-    tx = _node_transactions(t)
+    tx = _stored_nodes(t)
     return nodes.unresolved_nodes(tx, nodes.classify_nodes(nodes.role_votes(tx)))
 
 
@@ -236,8 +241,7 @@ fx_seq AS (
 
 def _ladder(t: Inputs) -> DataFrame:
     roles = nodes.classify_nodes(nodes.role_votes(_node_transactions(t)))
-    packets = cut_lineage(_classified(t))
-    return nodes.message_sequence(packets, roles, *_map(t), span=SAMPLE_SPAN)
+    return stored(nodes.message_sequence(_classified(t), roles, *_map(t), span=SAMPLE_SPAN))
 
 
 @register(
@@ -245,7 +249,7 @@ def _ladder(t: Inputs) -> DataFrame:
     f"WITH {_LADDER} SELECT capture_id, frame_number, rank FROM fx_seq",
 )
 def _(t: Inputs) -> DataFrame:
-    out = nodes.sample_messages(t.stored("packets"), span=SAMPLE_SPAN)
+    out = nodes.sample_messages(t.packets, span=SAMPLE_SPAN)
     return out.select("capture_id", "frame_number", "rank")
 
 

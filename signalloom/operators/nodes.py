@@ -9,6 +9,7 @@ from signalloom import dims
 from signalloom.config import CHUNK_FRAMES
 from signalloom.operators.packets import optional
 from signalloom.plans.ranks import rows_at_ranks
+from signalloom.session import stored
 
 NODE = ["capture_id", "ip"]
 
@@ -257,7 +258,8 @@ def message_sequence(
     max_messages: int = 100,
     span: int = CHUNK_FRAMES,
 ) -> DataFrame:
-    """The message ladder: sampled packets with node names and a protocol text, in rank order."""
+    """The message ladder: sampled packets with node names and a protocol text, in rank order. The sample is written once,
+    so that packets are not searched again for the addresses in it."""
 
     def given(name: str, kind: str) -> str:
         return name if name in packets.columns else f"CAST(NULL AS {kind})"
@@ -265,7 +267,7 @@ def message_sequence(
     gtp, teid = given("gtp_type", "int"), given("gtp_teid", "bigint")
     method, status = given("sip_method", "string"), given("sip_status", "int")
     pfcp, app = given("pfcp_type", "string"), given("diameter_app_id", "bigint")
-    sampled = sample_messages(packets, max_messages, span).withColumn(
+    sampled = stored(sample_messages(packets, max_messages, span)).withColumn(
         "info",
         F.expr(
             f"CASE WHEN {pfcp} IS NOT NULL THEN concat('PFCP ', {pfcp})"

@@ -1,8 +1,8 @@
 """Rows at given ranks of a per-key total order, found by counting instead of by a global sort.
 
-Ranks are located in three steps: seconds of the key, then instants of that second, then rows of
-that instant. Each step counts with map-side combine and looks only into the part the step before
-named, so no task sees a whole key.
+Ranks are located step by step: spans of 19 hours of the key, seconds of such a span, instants of a second, rows of an
+instant. Each step counts with map-side combine and looks only into the parts the step before named, so no task sees a
+whole key, and a window holds at most 65536 counts of a step however long the key lasts (spans: one per 19 hours).
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SECOND = 1 << 20  # microseconds per first-level bucket
+from signalloom.session import stored
+
+_SPAN = 1 << 36  # microseconds per bucket of the first step, and of the second
+_SECOND = 1 << 20
 
 
 def rows_at_ranks(
@@ -30,6 +33,7 @@ def rows_at_ranks(
     """
     placed = df.withColumns(
         {
+            "_span": F.expr(f"`{ts}` div {_SPAN}L"),
             "_sec": F.expr(f"`{ts}` div {_SECOND}L"),
             "_part": F.expr(f"`{seq}` div {span}L"),
         }
@@ -39,10 +43,10 @@ def rows_at_ranks(
         w = Window.partitionBy(*group).orderBy(*order)
         return F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
-    seconds = placed.groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n"))
-    counted = seconds.select(
+    spans = placed.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    counted = spans.select(
         "*",
-        (running(keys, ["_sec"]) - F.col("_n")).alias("_before"),
+        (running(keys, ["_span"]) - F.col("_n")).alias("_before"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("total"),
     )
     start, step, last = ranks(F.col("total"))
@@ -62,24 +66,29 @@ def rows_at_ranks(
                 " 'left', _start + k * _step - _before))"
             ),
         )
-        .select(*keys, "_sec", "total", "_want")
+        .select(*keys, "_span", "total", "_want")
     )
     kept = (
         "transform(filter(_want, w -> w.left >= _before and w.left < _before + _n),"
         " w -> named_struct('rank', w.rank, 'left', w.left - _before))"
     )
-    instants = (
-        placed.join(first.select(*keys, "_sec"), [*keys, "_sec"], "left_semi")
-        .groupBy(*keys, "_sec", ts, "_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    second = (
-        instants.withColumn("_before", running([*keys, "_sec"], [ts, "_part"]) - F.col("_n"))
-        .join(first, [*keys, "_sec"])
-        .withColumn("_want", F.expr(kept))
-        .filter(F.size("_want") > 0)
-        .select(*keys, ts, "_part", "total", "_want")
-    )
+
+    def within(found: DataFrame, outer: list[str], inner: list[str]) -> DataFrame:
+        """The parts ``inner`` of the parts ``outer`` found before that hold wanted ranks. What is found is a table of at
+        most one row per rank, written so that Spark knows how small it is and need not shuffle the rows to it."""
+        found = stored(found)
+        group = [*keys, *outer]
+        counts = placed.join(found.select(*group), group, "left_semi").groupBy(*group, *inner).agg(F.count(F.lit(1)).alias("_n"))
+        return (
+            counts.withColumn("_before", running(group, inner) - F.col("_n"))
+            .join(found, group)
+            .withColumn("_want", F.expr(kept))
+            .filter(F.size("_want") > 0)
+            .select(*keys, *inner, "total", "_want")
+        )
+
+    seconds = within(first, ["_span"], ["_sec"])
+    second = stored(within(seconds, ["_sec"], [ts, "_part"]))
     spot = [*keys, ts, "_part"]
     w = Window.partitionBy(*spot).orderBy(seq)
     return (
@@ -89,5 +98,5 @@ def rows_at_ranks(
         .withColumn("_hit", F.explode("_want"))
         .filter(F.col("_hit.left") == F.col("_left"))
         .withColumn("rank", F.col("_hit.rank"))
-        .drop("_sec", "_part", "_left", "_want", "_hit")
+        .drop("_span", "_sec", "_part", "_left", "_want", "_hit")
     )

@@ -1,11 +1,20 @@
 """Steps that read their input once, however many results they need from it."""
 
+import os
+import re
+
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from signalloom.catalog import CATALOG
 from signalloom.operators import transactions as ops
+from signalloom.plans import ranks
+from signalloom.session import stored
 from signalloom.sources.delimited import POSITION, read_delimited
 from signalloom.streaming import alarms
 from signalloom.streaming.replay import replayed
+from test_catalog import FOLDER
 
 
 def _plan(frame):
@@ -46,9 +55,9 @@ def test_summary_of_anomalies_pairs_once(spark):
 
 
 def test_pairing_carries_only_what_is_read(spark):
-    rows = spark.range(4).selectExpr("'c' capture_id", "id frame_number", "id ts_us", "'PFCP' protocol", "'m' message_type", "'1' cause", "'wide label' cause_label", "'1' seq", "'s' sess_id", "'a' src", "'b' dst")
+    rows = spark.range(4).selectExpr("'c' capture_id", "id frame_number", "id ts_us", "'PFCP' protocol", "'m' message_type", "IF(id % 2 = 1, '1', NULL) cause", "concat('label', id) cause_label", "'1' seq", "'s' sess_id", "'a' src", "'b' dst")
     plan = ops.pair_transactions(rows.repartition(2)).select("latency_us")._jdf.queryExecution().optimizedPlan().toString()
-    assert "latency_us" in plan and "wide label" not in plan
+    assert "ts_us" in plan and "label" not in plan
 
 
 class _Entries(list):
@@ -85,3 +94,24 @@ def test_a_request_is_told_once_among_frames_out_of_time_order(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     got = replayed(alarms.unanswered_alarms(stream)).collect()
     assert sorted((r["frame_number"], r["due_us"] // second) for r in got) == [(1, 115), (2, 105)]
+
+
+def test_ranks_are_found_in_spans_of_a_long_key(spark, monkeypatch):
+    hour = 3_600_000_000
+    times = f"IF(id % 3 = 0, id div 3 % 40, id) * {hour} + id % 7 - 100 * {hour}"
+    rows = spark.range(3000).selectExpr("IF(id % 10 = 0, 'b', 'a') k", f"{times} ts", "id * 1000 seq")
+    plans = []
+    monkeypatch.setattr(ranks, "stored", lambda df: (plans.append(_plan(df)), stored(df))[1])
+    pick = lambda total: (F.lit(5).cast("bigint"), F.lit(37).cast("bigint"), total - 1)
+    got = {(r["k"], r["rank"], r["seq"], r["total"]) for r in ranks.rows_at_ranks(rows, ["k"], "ts", "seq", pick, 5000).collect()}
+    order = {k: sorted((r["ts"], r["seq"]) for r in rows.collect() if r["k"] == k) for k in "ab"}
+    assert got == {(k, i, all_[i][1], len(all_)) for k, all_ in order.items() for i in range(5, len(all_), 37)}
+    # seconds and instants are counted within their span and second, never over the whole key
+    assert len(plans) == 3 and not any(re.search(r"Window.*\[k#\d+\], \[(_sec|ts)#", plan) for plan in plans)
+    assert re.search(r"Window.*\[k#\d+, _span#\d+L?\], \[_sec#", plans[1])
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_ladder_is_searched_once(spark):
+    plan = _plan(CATALOG["l1_message_sequence"].query(spark, FOLDER))
+    assert "lineitem" not in plan and "Exchange" not in plan
