@@ -97,3 +97,16 @@ def test_xml_rows_are_found_piece_by_piece(spark, tmp_path, monkeypatch):
     assert got == {name: tag for name, tag in want.items() if tag} == {"a": "ev", "b": "ev", "d": "row"}
     pieces = radio_files._xml_pieces(spark, str(tmp_path)).filter("_file like '%a.xml'")
     assert max(len(r["piece"]) for r in pieces.collect()) < 100
+
+
+@pytest.mark.parametrize("name", ["d1_one_way_audio", "d2_silent_calls"])
+def test_messages_are_read_once(spark, larger, name):
+    folder, con = larger
+    frame = CATALOG[name].query(spark, folder)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_") == 1  # the packets
+    columns = sorted(frame.columns)
+    got = [tuple(_plain(row[c]) for c in columns) for row in frame.collect()]
+    result = con.execute(CATALOG[name].sql)
+    names = [d[0] for d in result.description]
+    want = [tuple(_plain(row[names.index(c)]) for c in columns) for row in result.fetchall()]
+    assert want and _sorted(got) == _sorted(want)

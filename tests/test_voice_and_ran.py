@@ -220,3 +220,70 @@ def test_open_calls_hold_their_media(spark):
     nulls = packets.withColumn("ts_us", F.lit(None).cast("long"))
     assert m.media_streams(lines, m.media_traffic(nulls), calls).count() == 0
     assert m.media_streams(lines.limit(0), m.media_traffic(packets), calls).count() == 0
+
+
+def test_seconds_of_one_direction_share_a_row(spark):
+    from signalloom.operators import media as m
+
+    _, _, packets = _reused_port(spark, 3)
+    (row, *rest) = sorted(m.media_traffic(packets).collect(), key=lambda r: r["from_us"])
+    assert len(rest) <= 3 and sum(row[f"packets_{k}"] for k in range(m.BLOCK)) == 20
+    assert (row["begin_1"], row["until_1"], row["first_frame_1"], row["bytes_1"], row["packets_5"]) == (1_000_000, 1_750_000, 4, 400, 0)
+
+
+def test_media_streams_equal_a_plain_count(spark):
+    from collections import defaultdict
+
+    from signalloom.config import MediaRules
+    from signalloom.operators import media as m
+
+    rng = random.Random(11)
+    rules = MediaRules(slack_us=300_000, open_us=4_000_000)
+    a, b, c = ("10.0.0.1", 4000), ("10.0.0.2", 5000), ("10.9.9.9", 6000)
+    lines = [("c", f"k{i}", "audio", "AMR", ph, *rng.choice([a, b])) for i in range(12) for ph in ("offer", "answer")] * 2
+    calls = []
+    for i in range(12):
+        begin = rng.randint(-9_000_000, 40_000_000)
+        calls.append(("c", f"k{i}", rng.choice(["ESTABLISHED", "TERMINATED", "FAILED"]), begin, begin + rng.randint(0, 20_000_000)))
+    packets = []
+    for i in range(900):
+        src, dst = rng.sample([a, b, c], 2)
+        packets.append(("c", rng.randint(0, 10**6), rng.randint(-12_000_000, 60_000_000), rng.choice([None, 100, 60]), src[0], dst[0], src[1], dst[1]))
+    packets += packets[:50] + [("c", 1, None, 1, a[0], b[0], a[1], b[1]), ("c", 1, 5, 1, None, b[0], a[1], b[1])]
+
+    parts = defaultdict(list)
+    for _, frame, ts, length, *ends in packets:
+        if ts is not None and None not in ends:
+            parts[(*ends, ts // rules.slot_us)].append((ts, frame, length or 0))
+    want = defaultdict(set)
+    for _, call, _, _, phase, ip, port in lines:
+        (state, begin, end) = next(x[2:] for x in calls if x[1] == call)
+        live, gone = begin - rules.slack_us, end + rules.slack_us + (rules.open_us if state == "ESTABLISHED" else 0)
+        for (src, dst, sport, dport, slot), rows in parts.items():
+            for towards, at in ((True, (dst, dport)), (False, (src, sport))):
+                if at == (ip, port) and min(rows)[0] <= gone and max(rows)[0] >= live:
+                    way = "Network->UE" if towards == (phase == "offer") else "UE->Network"
+                    want[call, src, sport, dst, dport, way].add((src, dst, sport, dport, slot))
+    want = {
+        (*key, sum(len(parts[p]) for p in hit), sum(x[2] for p in hit for x in parts[p]),
+         (max(max(parts[p])[0] for p in hit) - min(min(parts[p])[0] for p in hit)) / 1e6, min(x[1] for p in hit for x in parts[p]))
+        for key, hit in want.items()
+    }
+    # ports may be long on one side
+    df = spark.createDataFrame(packets, "capture_id string, frame_number long, ts_us long, length int, src_ip string, dst_ip string, src_port long, dst_port long")
+    media_ = spark.createDataFrame(lines, "capture_id string, call_id string, type string, codec string, phase string, ip string, port int")
+    table = spark.createDataFrame(calls, "capture_id string, call_id string, state string, start_us long, end_us long")
+    got = m.media_streams(media_, m.media_traffic(df, rules), table, rules).select(
+        "call_id", "src_ip", "src_port", "dst_ip", "dst_port", "direction", "packets", "bytes", "duration_sec", "first_frame"
+    )
+    assert len(want) > 20 and {tuple(r) for r in got.collect()} == want
+
+
+def test_traffic_of_no_call_is_not_dealt(spark):
+    from signalloom.operators import media as m
+
+    lines, calls, packets = _reused_port(spark, 2)
+    out = m.media_streams(lines, m.media_traffic(packets), calls)
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    # ends are held against the endpoints of calls before they are dealt to meet their times
+    assert ["LeftSemi" in j for j in joins] == [False, True]
