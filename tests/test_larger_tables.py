@@ -1,16 +1,18 @@
 """Registered queries against their SQL on copies of the smallest data set with shifted keys."""
 
 import os
+import time
 
 import duckdb
 import pytest
 
 from pyspark.sql import functions as F
 
-from signalloom.catalog import CATALOG
+from signalloom.catalog import CATALOG, voice
 from signalloom.operators import correlate, media, ran
 from signalloom.plans.deal import deal
 from signalloom.plans.spans import _listed, overlap_join
+from signalloom.session import stored
 from signalloom.sources import radio_files
 from test_catalog import FOLDER, _plain, _sorted
 
@@ -110,3 +112,33 @@ def test_messages_are_read_once(spark, larger, name):
     names = [d[0] for d in result.description]
     want = [tuple(_plain(row[names.index(c)]) for c in columns) for row in result.fetchall()]
     assert want and _sorted(got) == _sorted(want)
+
+
+@pytest.mark.parametrize("name", ["u1_voice_findings", "a41_voice_statistics"])
+def test_voice_stores_what_it_reads(spark, larger, name, monkeypatch):
+    folder, con = larger
+    kept, keep = [], voice.stored
+    monkeypatch.setattr(voice, "stored", lambda df: kept.append(set(df.columns)) or keep(df))
+    frame = CATALOG[name].query(spark, folder)
+    calls, lines, streams = kept
+    assert {"state", "classification"} <= calls and not calls & {"timing", "kpis", "transfer", "session_timer", "reason_header"}
+    assert "phase" in lines and not streams & {"bytes", "first_frame"}
+    columns = sorted(frame.columns)
+    got = [tuple(_plain(row[c]) for c in columns) for row in frame.collect()]
+    result = con.execute(CATALOG[name].sql)
+    names = [d[0] for d in result.description]
+    want = [tuple(_plain(row[names.index(c)]) for c in columns) for row in result.fetchall()]
+    assert want and _sorted(got) == _sorted(want)
+
+
+def test_what_was_shuffled_for_a_stored_table_goes(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    had = files()
+    rows = stored(spark.range(1000).repartition(3, "id"))
+    end = time.time() + 20
+    while (left := {f for f in files() - had if f.startswith("shuffle_")}) and time.time() < end:
+        time.sleep(0.5)
+    assert rows.count() == 1000 and not left
